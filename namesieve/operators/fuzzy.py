@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.operators.lexicon import Lexicon, bounded_side
+from namesieve.operators.lexicon import Lexicon
 
 # --- fixed values --------------------------------------------------------------
 MIN_TERM = 5  # shorter terms match exactly only
@@ -40,9 +40,7 @@ def fuzzy_match(queries: DataFrame, terms: DataFrame, text: str = "query") -> Da
     """
     distinct = queries.select(F.col(text).alias("query")).distinct()
     listed = terms.select("term").distinct()
-    exact = distinct.join(
-        bounded_side(listed.select(F.col("term").alias("query"))), "query", "left_semi"
-    )
+    exact = distinct.join(listed.select(F.col("term").alias("query")), "query", "left_semi")
     long_terms = listed.where(F.length("term") >= MIN_TERM).select(
         "term", F.explode(F.array_distinct(deletions(F.col("term")))).alias("signature")
     )
@@ -50,7 +48,7 @@ def fuzzy_match(queries: DataFrame, terms: DataFrame, text: str = "query") -> Da
         "query", F.explode(F.array_distinct(deletions(F.col("query")))).alias("signature")
     )
     near = signed.join(
-        bounded_side(long_terms),
+        long_terms,
         (signed["signature"] == long_terms["signature"])
         & within_one_edit(signed["query"], long_terms["term"]),
         "left_semi",

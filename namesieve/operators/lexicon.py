@@ -3,6 +3,9 @@
 A word-list table has the columns ``list, lang, term``.  :class:`Lexicon` compiles it to
 one row per term with a bit mask of the lists that hold the term, so that any number of
 lists is probed with a single join.
+
+The plain joins at the end carry no hint: adaptive execution broadcasts a word-list side
+when its measured size is below the session's threshold, and splits skewed keys otherwise.
 """
 
 from __future__ import annotations
@@ -131,14 +134,6 @@ class Lexicon:
         return max([1, *(self.longest[n] for n in names)])
 
 
-def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side after counting it, otherwise leave the choice to the planner.
-
-    ``df`` should be cheap to count (checkpointed, or a projection of a small table).
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def hit_list(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(F.lit(BIT[name])) != 0
 
@@ -146,19 +141,19 @@ def hit_list(mask: Column, name: str) -> Column:
 def dictionary_exact(df: DataFrame, terms: DataFrame, text: str, flag: str = "listed") -> DataFrame:
     """Flag rows whose ``text`` is a listed term.  ``terms`` has one column ``term``."""
     keys = terms.select(F.col("term").alias(text)).distinct().withColumn(flag, F.lit(True))
-    return df.join(bounded_side(keys), text, "left").withColumn(
+    return df.join(keys, text, "left").withColumn(
         flag, F.coalesce(F.col(flag), F.lit(False))
     )
 
 
 def keep_listed(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     keys = terms.select(F.col("term").alias(text)).distinct()
-    return df.join(bounded_side(keys), text, "left_semi")
+    return df.join(keys, text, "left_semi")
 
 
 def drop_listed(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     keys = terms.select(F.col("term").alias(text)).distinct()
-    return df.join(bounded_side(keys), text, "left_anti")
+    return df.join(keys, text, "left_anti")
 
 
 def select_lists(terms: DataFrame, without: tuple[str, ...]) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from namesieve.operators.lexicon import bounded_side
-
 ENGLISH = ("en", "manual")
 
 
@@ -38,7 +37,7 @@ def list_flags(list_tokens: DataFrame) -> DataFrame:
 
 def flag_corpus(corpus_tokens: DataFrame, list_tokens: DataFrame) -> DataFrame:
     """Corpus tokens with ``found, found_en, found_others, found_novel``."""
-    flags = bounded_side(list_flags(list_tokens))
+    flags = list_flags(list_tokens)
     no = F.lit(False)
     return (
         corpus_tokens.join(flags, "token", "left")
@@ -75,10 +74,8 @@ def category(strings: DataFrame) -> DataFrame:
 def category_share(strings: DataFrame) -> DataFrame:
     """Count and share of strings per category."""
     counts = category(strings).groupBy("type").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(  # one row on either side of three
-        "type", "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    # the window sees the three counted categories only
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
 def label_set_counts(strings: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from namesieve import fixed
 from namesieve.functions.shape import collapse_runs
 from namesieve.functions.text import fold_word, nfc, words
-from namesieve.operators.lexicon import bounded_side
 
 
 def token_frequency(df: DataFrame, text: str = "input") -> DataFrame:
@@ -39,6 +38,20 @@ def rank_bands(freq: DataFrame, first: int = 1_000, second: int = 10_000) -> Dat
     )
 
 
+FREQUENT = 10_000
+
+
+def join_frequent_first(rows: DataFrame, freq: DataFrame, key: str) -> DataFrame:
+    """Left join of token rows with a vocabulary that may be too large to broadcast.
+
+    The most frequent tokens, which would overload single tasks, are a fixed number of rows
+    and are broadcast; rows with other tokens join by shuffle.
+    """
+    hot = F.broadcast(freq.orderBy(F.desc("cnt"), key).limit(FREQUENT))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(freq, key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def frequency_stats(df: DataFrame, freq: DataFrame, key: str, text: str = "input") -> DataFrame:
     """Min, max and mean corpus count of the words of each string.
 
@@ -51,7 +64,7 @@ def frequency_stats(df: DataFrame, freq: DataFrame, key: str, text: str = "input
         .groupBy(key, "token")
         .agg(F.count("*").alias("times"))
     )
-    counted = seen.join(bounded_side(freq), "token", "left").withColumn(
+    counted = join_frequent_first(seen, freq, "token").withColumn(
         "cnt", F.coalesce("cnt", F.lit(0))
     )
     stats = counted.groupBy(key).agg(
@@ -89,7 +102,7 @@ def translate_tokens(
 ) -> DataFrame:
     """Replace known abbreviations word by word; other words stay as they are."""
     spread = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    side = bounded_side(mapping.select("abbreviation", "replacement"))
+    side = mapping.select("abbreviation", "replacement")
     joined = spread.join(side, F.lower("word") == side["abbreviation"], "left").withColumn(
         "new", F.coalesce("replacement", "word")
     )
@@ -150,7 +163,7 @@ def tag_sequences(
         tags = tags.join(keep.select("token", F.lit(True).alias("kept")), "token", "full_outer").select(
             "token", F.when(F.col("kept"), F.col("token")).otherwise(F.col("tag")).alias("tag")
         )
-    joined = spread.join(bounded_side(tags), "token", "left").withColumn(
+    joined = spread.join(tags, "token", "left").withColumn(
         "tag", F.coalesce("tag", F.lit(default))
     )
     return _rejoin(joined, df, key, "tag", out).withColumn(out, collapse_runs(F.col(out)))
