@@ -143,16 +143,21 @@ def grams(tokens: Column, longest: int) -> Column:
 
     Capping the length is exact for membership tests when no listed term is longer.
     """
-    count = F.size(tokens)
-    at = lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), count - i)),
-        lambda n: F.struct(
-            i.alias("start"),
-            n.alias("n"),
-            F.array_join(F.slice(tokens, i + 1, n), " ").alias("term"),
-        ),
-    )
-    every = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), at))
-    return F.when(count > 0, every).otherwise(
-        F.array().cast("array<struct<start:int,n:int,term:string>>")
-    )
+
+    def of(ws: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                ws,
+                lambda w, i: F.transform(
+                    F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i)),
+                    lambda n: F.struct(
+                        i.alias("start"),
+                        n.alias("n"),
+                        F.array_join(F.slice(ws, i + 1, n), " ").alias("term"),
+                    ),
+                ),
+            )
+        )
+
+    # binds the token array once; a lambda body would otherwise repeat its computation
+    return F.flatten(F.transform(F.array(tokens), of))

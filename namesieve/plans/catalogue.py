@@ -713,7 +713,7 @@ def single_word_top(spark, sf):
 @query
 def slice_sorted(spark, sf):
     rows = inputs.labels(spark, sf).where("label <> prediction").select("doc_id", "label")
-    return ds.slice_sorted(rows, 20, 40, "doc_id")
+    return ds.slice_sorted(rows, 5, 15, "doc_id")
 
 
 @query

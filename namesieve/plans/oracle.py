@@ -418,7 +418,7 @@ SQL["attach_counts"] = f"""WITH {SEG}, {TALK}, c AS (SELECT input, count(*) AS n
 SQL["top_weighted"] = "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 150"
 SQL["single_word_top"] = f"""WITH {SEG} SELECT input, count(*) AS numdocs FROM seg WHERE len({words('input')}) = 1
  GROUP BY input ORDER BY numdocs DESC, input LIMIT 20"""
-SQL["slice_sorted"] = f"WITH {LAB} SELECT doc_id, label FROM lab WHERE label <> prediction ORDER BY doc_id LIMIT 20 OFFSET 20"
+SQL["slice_sorted"] = f"WITH {LAB} SELECT doc_id, label FROM lab WHERE label <> prediction ORDER BY doc_id LIMIT 10 OFFSET 5"
 SQL["shuffled_sample"] = "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':1323'), doc_id LIMIT 60"
 SQL["stratified_split"] = f"""WITH {LAB}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':7'), doc_id) AS k,
  count(*) OVER (PARTITION BY label) AS n FROM lab)
@@ -426,3 +426,195 @@ SQL["stratified_split"] = f"""WITH {LAB}, r AS (SELECT doc_id, label, row_number
 SQL["similar_pairs"] = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
  SELECT q.vec_id AS query_id, o.vec_id AS other_id, round(list_dot_product(q.v, o.v), 6) AS dot FROM e q JOIN e o ON q.label = 0 AND o.label <> 0
  ORDER BY list_dot_product(q.v, o.v) DESC, query_id, other_id LIMIT 100"""
+
+# ---------------------------------------------------------------- the rule cascade
+W = r"[\p{L}\p{M}\p{N}_]"
+NS = "[^" + WS[1:]
+LISTED = {
+    "lt": "type", "lsm": "subject_modifier", "lom": "org_modifier", "lcs": "common_subject",
+    "le": "word_ending", "lloc": "location", "lcn": "company_name", "lu": "university",
+    "lcsf": "company_suffix", "lct": "company_type", "lal": "allow", "ldn": "deny",
+    "law": "acronym_allow",
+}
+LISTS = (
+    "ls AS (SELECT "
+    + ", ".join(f"coalesce(list(term) FILTER (list = '{n}'), []) AS {c}" for c, n in LISTED.items())
+    + ", list(term) FILTER (list IN ('subject', 'subject_modifier')) AS lsub,"
+    " coalesce(list(lower(term)) FILTER (list = 'expanded_subject'), []) AS lxs FROM terms)"
+)
+
+
+def single(x: str) -> str:
+    """Zero or more leading modifiers, then a listed subject."""
+    t = f"string_split({x}, ' ')"
+    stop = f"coalesce(nullif(list_position(list_transform({t}, lambda w: list_contains(lsm, w)), FALSE), 0), len({t}))"
+    return (
+        f"coalesce(list_bool_or(list_transform(generate_series(1, {stop}),"
+        f" lambda k: list_contains(lsub, array_to_string({t}[k:], ' ')))), FALSE)"
+    )
+
+
+def cascade(cte: str, src: str, v1: bool = False, off: tuple[int, ...] = ()) -> str:
+    """CTEs ending in ``res``: all rule columns and the predictions of distinct strings."""
+    ofs = "|".join(fixed.OF_WORDS_V1 if v1 else fixed.OF_WORDS)
+    ands = "|".join(fixed.AND_WORDS_V1 if v1 else fixed.AND_WORDS)
+    last_and = "and" if v1 else ands
+    base = normal_v1("input") if v1 else normal("input")
+    pats = {
+        "m2": (rf"^(\S+) (?:{ands}) (\S+) (.+)$", 3),
+        "m3": (rf"^(\S+) (\S+) (?:{ands}) (\S+) (.+)$", 4),
+        "t2": (rf"^(.+?) (?:{ands}) (.+)$", 2),
+        "t3": (rf"^(.+) (?:{ands}) (.+) (?:{ands}) (.+)$", 3),
+        "l3": (rf"^(.+) (.+) (?:{last_and}) (.+)$", 3),
+    }
+    groups = ", ".join(
+        f"CASE WHEN linked AND regexp_matches(x, {lit(p)}) THEN regexp_extract(x, {lit(p)}, {g}) END AS {name}_{g}"
+        for name, (p, k) in pats.items()
+        for g in range(1, k + 1)
+    )
+    sm = "list_contains(lsm, {})".format
+    compound = " OR ".join(
+        (
+            f"({sm('m2_1')} AND {sm('m2_2')} AND {single('m2_3')})",
+            f"({sm('m3_1')} AND {sm('m3_2')} AND {sm('m3_3')} AND {single('m3_4')})",
+            f"({single('t2_1')} AND {single('t2_2')})",
+            f"({single('t3_1')} AND {single('t3_2')} AND {single('t3_3')})",
+            f"({single('t3_1')} AND {single('(t3_2 || ' + lit(' and ') + ' || t3_3)')})",
+            f"({single('(t3_1 || ' + lit(' and ') + ' || t3_2)')} AND {single('t3_3')})",
+            f"({single('l3_1')} AND {single('l3_2')} AND {single('l3_3')})",
+        )
+    )
+    of_lazy, of_word = rf"^(.+?) (?:{ofs}) (.+)$", rf"^([\w.?]+) (?:{ofs}) (.+)$"
+    of_one = rf"^(.+) (?:{ofs}) (\S+)$"
+    ins = "|".join(fixed.IN_WORDS)
+    studies = rf"^Department of Studies in ({NS}+)$" if v1 else rf"^({W}+) (?:{ofs}) {W}+ (?:{ins}) ({NS}+)$"
+    suffix = rf"^[a-zA-Z]+{WS}([a-zA-Z0-9 ]*)$"
+
+    def rx(col: str, p: str, g: int) -> str:
+        return f"CASE WHEN regexp_matches({col}, {lit(p)}) THEN regexp_extract({col}, {lit(p)}, {g}) END"
+
+    parts = {
+        "p13t": rx("nosw", of_lazy, 1), "p13s": rx("nosw", of_lazy, 2),
+        "p12t": rx("nosw", of_word, 1), "p12s": rx("nosw", of_word, 2),
+        "p14t": rx("nosw", r"^(\S+) (.+)$", 1), "p14s": rx("nosw", r"^(\S+) (.+)$", 2),
+        "p15s": rx("nosw", r"^(.+) (\S+)$", 1), "p15t": rx("nosw", r"^(.+) (\S+)$", 2),
+        "p16u": rx("nosw", r"^(\w+) (.+) (\S+)$", 1), "p16s": rx("nosw", r"^(\w+) (.+) (\S+)$", 2),
+        "p16t": rx("nosw", r"^(\w+) (.+) (\S+)$", 3),
+        "p17t": "'x'" if v1 else rx("org", studies, 1), "p17s": f"lower({rx('org', studies, 1 if v1 else 2)})",
+        "p21t": rx("nosw", of_one, 1), "p8": rx("norm" if v1 else "org", suffix, 1),
+    }
+    known = f"(list_contains(lt, w) OR list_contains(lsub, w) OR list_contains(lom, w) OR w IN {in_list(tuple(ofs.split('|')))})"
+    ending = "coalesce(list_bool_or(list_transform(generate_series(4, length(w) - 4), lambda i: list_contains(le, w[i + 1:]))), FALSE)"
+    ws = "list_filter(string_split(nosw, ' '), lambda w: w <> '')"
+    several = "TRUE" if v1 else "len(nt) >= 2"
+    runs = r"regexp_extract_all(org, '\p{L}+')"
+    title = f"(len({runs}) > 0 AND list_bool_and(list_transform({runs}, lambda r: regexp_matches(r, '^\\p{{Lu}}\\p{{Ll}}*$'))))"
+    one = f"len({words('org')}) = 1"
+    mixed = f"(regexp_matches(org, '\\p{{Ll}}') AND regexp_matches(org, '\\p{{Lu}}') AND NOT {title})"
+    caps = "(NOT regexp_matches(org, '\\p{Ll}') AND NOT list_contains(lsub, base))"
+    if v1:
+        al = "list_filter(list_filter(string_split_regex(org, '[^a-zA-Z0-9]+'), lambda w: w <> ''), lambda w: w NOT IN ('ENT', 'HIV', 'AIDS', 'GI'))"
+        rom = "w IN ('I', 'II', 'III', 'IV', 'V')"
+        cons = f"list_filter({al}, lambda w: NOT ({rom}))"
+        like = f"len(list_filter({cons}, lambda w: len(regexp_extract_all(regexp_replace(regexp_replace(w, '^[a-f0-9]', ''), '^(Bio|Geo|Nano|Neuro|Cardio)+', ''), '[A-Z]')) >= 3)) > 0"
+        low = f"len(list_filter({cons}, lambda w: w <> upper(w))) > 0"
+        noroman = f"len(list_filter({al}, lambda w: {rom})) = 0"
+        capws = "[A-Z." + WS[1:]
+        acro = (
+            f"CASE WHEN {one} THEN {mixed} OR {caps} ELSE ({like} AND {low}) OR ({noroman} AND (regexp_matches(org, {lit('.+' + chr(92) + '(' + capws + '+' + chr(92) + ')$')})"
+            f" OR regexp_matches(org, {lit('^' + capws + '+[-' + WS[1:] + '+.+$')}))) END"
+        )
+    else:
+        a = "array_to_string(acr, ' ')"
+        acro = f"({one} AND NOT list_contains(law, org) AND ({mixed} OR {caps})) OR (length({a}) BETWEEN 4 AND 12 AND NOT list_contains(law, {a}))"
+    dep12 = (
+        "starts_with(nosw, 'dep') AND len(list_filter(lcs, lambda c: strpos(nosw[5:], c) > 0)) > 0"
+        if v1
+        else "list_contains(lt, p12t) AND list_contains(lcs, p12s)"
+    )
+    u16 = "p16u = 'university'" if v1 else "list_contains(lu, p16u)"
+    g = "GEN"
+    s = "SPE"
+    rule = {
+        0: ("org = ''", s), 1: (f"regexp_matches(org, {lit(rf'^Dep[a-z]*[.]* (?:{'of' if v1 else ofs}) [A-Z]{{1,2}}E$')})", g),
+        2: ("regexp_matches(org, '^[A-Z]{2,3} Dep[a-z]*[.]*')", g), 3: ("list_contains(lxs, lower(base))", g),
+        4: ("list_has_any(gr, lloc)", s), 5: ("list_has_any(gr, lcn)", s),
+        6: (f"{several} AND list_has_any(gr, lct)", s), 7: (f"{several} AND list_has_any(gr, lu)", s),
+        8: ("list_contains(lcsf, p8)", s), 9: (f"regexp_matches(org, {lit(rf'{W}{W},{WS}+[0-9]{{5}}(?:-[0-9]{{4}})?')})", s),
+        10: ("regexp_matches(org, '^[A-Z]{1,2}E Dep[a-z]*[.]*$')", g), 11: ("regexp_matches(org, '^Dep[a-z]*[.]*.+University')", s),
+        12: (dep12, g), 13: ("list_contains(lt, p13t) AND k13", g), 14: ("list_contains(lt, p14t) AND k14", g),
+        15: ("list_contains(lt, p15t) AND (k15 OR list_contains(lsm, p15s))", g),
+        16: (f"{u16} AND list_contains(lt, p16t) AND (k16 OR list_contains(lsm, p16s))", g),
+        17: (("" if v1 else "list_contains(lt, p17t) AND ") + "list_contains(lsub, p17s)", g),
+        18: ("k18", g), 19: ("list_contains(lt, nosw)", g),
+        21: (f"list_contains(lt, p21t) AND NOT contains(lower(p21t), '{'hospital' if v1 else 'hosp'}')", g),
+        22: (f"coalesce(list_bool_and(list_transform({ws}, lambda w: {known})), TRUE)", g),
+        23: (f"coalesce(list_bool_and(list_transform({ws}, lambda w: {known} OR {ending})), TRUE)", g),
+        24: (acro, s), 25: ("TRUE", g),
+    }
+    order = (
+        [1, 2, 4, 5, 6, 7, 8, "al", "dn", 10, 24, 11, *range(12, 24), 25] if v1 else ["al", "dn", *range(26)]
+    )
+    order = [k for k in order if k not in off]
+    name = lambda k: k if isinstance(k, str) else f"rule_{k:02d}"
+    at = order.index(20)
+    before, after = (", ".join(name(k) for k in ks) for ks in (order[:at], order[at + 1 :]))
+    cols = ", ".join(
+        (f"CASE WHEN {c} THEN '{v}' END" if k in order else "NULL::VARCHAR") + f" AS rule_{k:02d}" for k, (c, v) in rule.items()
+    )
+    all_rules = ", ".join(
+        f"z.rule_{k:02d}" if k != 20 else "CASE WHEN ch.tail = 'GEN' THEN 'GEN' END AS rule_20" for k in range(26)
+    )
+    return f"""RECURSIVE {TERMS}, {LISTS}, {cte},
+ b0 AS (SELECT input, {base} AS base FROM (SELECT DISTINCT input FROM {src})), n0 AS (SELECT *, {strip('base')} AS norm FROM b0),
+ lv AS (SELECT input AS root, 0 AS depth, input AS org, base, norm, {no_stops('norm')} AS nosw FROM n0 UNION ALL
+  SELECT root, depth + 1, tail, tail, {strip('tail')}, {no_stops(strip('tail'))} FROM (SELECT root, depth, nosw[strpos(nosw, ' ') + 1:] AS tail FROM lv
+   WHERE strpos(nosw, ' ') > 0 AND split_part(nosw, ' ', 1) IN (SELECT term FROM terms WHERE list = 'org_modifier'))),
+ nt AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: w <> '') AS nt, {acr('org')} AS acr, {', '.join(f'{e} AS {k}' for k, e in parts.items())} FROM lv),
+ gr AS (SELECT *, list_concat(nt, list_transform(generate_series(1, len(nt) - 1), lambda i: nt[i] || ' ' || nt[i + 1])) AS gr FROM nt),
+ cand AS (SELECT DISTINCT unnest([nosw, p13s, p14s, p15s, p16s]) AS x FROM nt),
+ link AS (SELECT x, regexp_matches(x, {lit(f' (?:{ands}) ')}) AS linked FROM cand WHERE x IS NOT NULL),
+ grp AS (SELECT x, linked, {groups} FROM link),
+ sub AS (SELECT x, coalesce({single('x')} OR (linked AND ({compound})), FALSE) AS ok FROM grp, ls),
+ ev AS (SELECT gr.*, ls.*, s13.ok AS k13, s14.ok AS k14, s15.ok AS k15, s16.ok AS k16, s18.ok AS k18 FROM gr
+  LEFT JOIN sub s13 ON s13.x = p13s LEFT JOIN sub s14 ON s14.x = p14s LEFT JOIN sub s15 ON s15.x = p15s LEFT JOIN sub s16 ON s16.x = p16s LEFT JOIN sub s18 ON s18.x = nosw, ls),
+ z AS (SELECT root, depth, nosw, CASE WHEN list_contains(lal, nosw) THEN 'GEN' END AS al, CASE WHEN list_contains(ldn, nosw) THEN 'SPE' END AS dn, {cols} FROM ev),
+ ch AS (SELECT root, list_reduce(list_prepend('', list(coalesce({before}, '') || '|' || coalesce({after}, '') ORDER BY depth DESC) FILTER (depth > 0)),
+   lambda a, e: CASE WHEN split_part(e, '|', 1) <> '' THEN split_part(e, '|', 1) WHEN a = 'GEN' THEN 'GEN' ELSE split_part(e, '|', 2) END) AS tail FROM z GROUP BY root),
+ al AS (SELECT z.root AS input, z.nosw AS norm_no_sw, z.al, z.dn, {all_rules} FROM z LEFT JOIN ch ON z.root = ch.root WHERE depth = 0),
+ res AS (SELECT *, coalesce(al, dn) AS list_prediction, coalesce({', '.join(name(k) for k in order if not isinstance(k, str))}) AS rule_first,
+  coalesce({', '.join(name(k) for k in order)}) AS prediction FROM al)"""
+
+
+RULES = ", ".join(f"rule_{k:02d}" for k in range(26))
+DOCS_RES = cascade(SEG, "seg")
+TALK_RES = cascade(TALK, "talk")
+SQL["classify_strings"] = f"WITH {DOCS_RES} SELECT input, list_prediction, rule_first, prediction FROM res"
+SQL["classify_rows"] = f"WITH {DOCS_RES} SELECT doc_id, prediction, count(*) AS n FROM seg JOIN res USING (input) GROUP BY ALL"
+SQL["classify_without_switches"] = f"WITH {cascade(TALK, 'talk', off=(9, 24))} SELECT input, prediction FROM res"
+SQL["classify_v1"] = f"WITH {cascade(TALK, 'talk', v1=True)} SELECT input, prediction FROM res"
+SQL["rule_matrix"] = f"WITH {TALK_RES} SELECT input, {RULES} FROM res"
+SQL["modifier_chain"] = f"WITH {DOCS_RES} SELECT input, norm_no_sw, rule_20 FROM res WHERE rule_20 IS NOT NULL"
+NONE = "None"
+_mask = [f"rule_{k:02d}" for k in fixed.TUNED_RULES]
+SQL["rule_mask"] = (
+    f"WITH {TALK_RES} SELECT input, {', '.join(f'coalesce({c}, {lit(NONE)}) AS {c}' for c in _mask)},"
+    f" coalesce({', '.join(_mask)}, 'None') AS rule_first FROM res"
+)
+LINKSTR = f"{FRAG}, lnk AS (SELECT text AS input FROM ({extracted('fr', 'page_id, part', 'xml', ('a',))}))"
+SQL["rule_prefix"] = f"WITH {cascade(LINKSTR, 'lnk')} SELECT input, " + ", ".join(
+    f"coalesce({', '.join(f'rule_{j:02d}' for j in range(k + 1))}, 'None') AS prefix_{k:02d}" for k in range(26)
+) + " FROM res"
+SQL["score_by_rule"] = f"WITH {cascade(LSEG, 'lseg')}, m AS (SELECT label, res.* FROM lseg JOIN res USING (input)), c AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS system, count(v) AS pc, count(*) FILTER (v = 'GEN') AS p, count(*) FILTER (v = 'GEN' AND label = 'GEN') AS tp,"
+    f" count(*) FILTER (label = 'GEN') AS a, count(*) AS n FROM (SELECT label, {e} AS v FROM m)"
+    for k in range(26)
+    for n, e in (
+        (f"rule_{k:02d}", f"rule_{k:02d}"),
+        (f"rule_00-{k:02d}", f"coalesce({', '.join(f'rule_{j:02d}' for j in range(k + 1))}, NULL)"),
+    )
+) + f") SELECT system, pc AS prediction_count, {prf('tp', 'p', 'a')}, pc / n AS pct_predicted FROM c"
+SQL["rule_overlap"] = (
+    f"WITH {TALK_RES} SELECT CAST({' + '.join(f'(rule_{k:02d} IS NOT NULL)::INT' for k in range(26))} AS INTEGER) AS n_rules,"
+    " count(*) AS n FROM res GROUP BY 1"
+)
