@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.functions import shape, text
 from namesieve.operators import acronyms as ac
 from namesieve.operators import dataset as ds
-from namesieve.operators import fuzzy, lexicon, markup, overlap, rules, scoring, similarity, tokens
+from namesieve.operators import features, fuzzy, kernel, learning, lexicon, markup, overlap, rules
+from namesieve.operators import scoring, similarity, tokens
 from namesieve.operators import spans as sp
 from namesieve.operators.normalize import preprocess, remove_stopwords_by_join
 from namesieve.plans import inputs
@@ -28,10 +30,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def big(column: str):
-    return F.col(column).cast("bigint").alias(column)
-
-
 # ---------------------------------------------------------------- normalisation
 
 
@@ -242,7 +240,7 @@ def rule_matrix(spark, sf):
 
 @query
 def subject_match(spark, sf):
-    """Bench marks's pieces that are subjects (rule 18), through the fuzzy profile as well."""
+    """Pieces and words of benchmark that are subjects (rule 18), through the fuzzy profile as well."""
     lists = inputs.word_lists(spark, sf).select("list", "term")
     strings = inputs.pieces(table(spark, sf, "benchmark"), "text").select("input").distinct()
     words = strings.select(F.explode(F.split(F.lower("input"), "[^a-z]+")).alias("input"))
@@ -738,3 +736,56 @@ def similar_pairs(spark, sf):
         rows.where("label = 0"), rows.where("label <> 0"), 100, key="vec_id"
     )
     return best.select("query_id", "other_id", F.round("dot", 6).alias("dot"))
+
+
+# ---------------------------------------------------------------- features and learning
+
+
+def _training(spark, sf):
+    rows = inputs.pieces(table(spark, sf, "benchmark"), "text", "item_id").select(
+        "input", F.lit("GEN").alias("label"), F.length("input").cast("double").alias("numdocs")
+    )
+    return inputs.labelled_segments(spark, sf).select(
+        "input", "label", F.col("numdocs").cast("double").alias("numdocs")
+    ).unionByName(rows)
+
+
+def _hybrid(spark, sf):
+    lists = inputs.word_lists(spark, sf)
+    lex = inputs.lexicon(spark, sf)
+    model = learning.fit_hybrid(
+        _training(spark, sf), lex, lists, lists.where("list = 'type'"), max_iter=10
+    )
+    return model, lex
+
+
+@query
+def feature_overhead(spark, sf):
+    model, lex = _hybrid(spark, sf)
+    talk = inputs.pieces(table(spark, sf, "conversations"), "text")
+    return features.feature_overhead(model.vectors(rules.rule_matrix(talk, lex)))
+
+
+@query
+def svm_quality(spark, sf):
+    """Scores of the hybrid model on its training strings, weighted."""
+    model, lex = _hybrid(spark, sf)
+    return scoring.score(model.predict(_training(spark, sf), lex), weight="numdocs")
+
+
+@query
+def fitted_state(spark, sf):
+    model, _ = _hybrid(spark, sf)
+    return features.fitted_state(model.features, spark)
+
+
+@query
+def kernel_map(spark, sf):
+    """Landmark similarities of the embedding vectors."""
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    )
+    size = len(rows.first().features)
+    fitted = kernel.fit_kernel(rows, size, key="vec_id", kind="rbf", landmarks=50)
+    mapped = kernel.apply_kernel(rows, fitted)
+    return mapped.select("vec_id", F.round(vector_to_array("mapped")[0], 4).alias("first"))
