@@ -153,7 +153,10 @@ def grams(tokens: Column, longest: int) -> Column:
                     lambda n: F.struct(
                         i.alias("start"),
                         n.alias("n"),
-                        F.array_join(F.slice(ws, i + 1, n), " ").alias("term"),
+                        # by position: a slice would copy the whole array for every n-gram
+                        F.array_join(
+                            F.transform(F.sequence(i, i + n - 1), lambda j: F.get(ws, j)), " "
+                        ).alias("term"),
                     ),
                 ),
             )

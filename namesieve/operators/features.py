@@ -137,15 +137,18 @@ def _indicator_of_frequent(column: str) -> tuple[list, str]:
     return stage, f"{column}_top"
 
 
-def _binned(column: str, opts: FeatureOptions) -> tuple[list, str]:
-    stage = [
+def _binned(columns: list[str], opts: FeatureOptions) -> tuple[list, list[str]]:
+    """Quantile bins of all columns in one pass, then one-hot."""
+    bins = [f"{c}_bin" for c in columns]
+    hot = [f"{c}_hot" for c in columns]
+    stages = [
         QuantileDiscretizer(
-            inputCol=column, outputCol=f"{column}_bin", numBuckets=opts.n_bins,
+            inputCols=columns, outputCols=bins, numBuckets=opts.n_bins,
             relativeError=opts.quantile_error,
         ),
-        OneHotEncoder(inputCol=f"{column}_bin", outputCol=f"{column}_hot", dropLast=False),
+        OneHotEncoder(inputCols=bins, outputCols=hot, dropLast=False),
     ]
-    return stage, f"{column}_hot"
+    return stages, hot
 
 
 def _tag_stages(column: str, opts: FeatureOptions, ngrams: tuple[int, int], joined: bool = True):
@@ -186,10 +189,9 @@ def feature_pipeline(opts: FeatureOptions) -> Pipeline:
         parts.append(out)
     binned = ["char_len", "word_len", "freq_capitals", "mean_freq"]
     binned += ["freq_all_caps"] if opts.all_caps else []
-    for column in binned:
-        more, out = _binned(column, opts)
-        stages += more
-        parts.append(out)
+    more, outs = _binned(binned, opts)
+    stages += more
+    parts += outs
     for wanted, column, ngrams, joined in (
         (opts.word_list, "tags", opts.tag_ngrams, True),
         (opts.word_list_top, "tags_top", opts.tag_ngrams, True),
@@ -247,8 +249,9 @@ def fitted_state(model: PipelineModel, spark) -> DataFrame:
     for stage in model.stages:
         if hasattr(stage, "vocabulary"):
             rows += [(stage.getInputCol(), "vocabulary", i, v) for i, v in enumerate(stage.vocabulary)]
-        elif hasattr(stage, "getSplits"):
-            rows += [(stage.getInputCol(), "bin_edge", i, str(v)) for i, v in enumerate(stage.getSplits())]
+        elif hasattr(stage, "getSplitsArray"):
+            for column, splits in zip(stage.getInputCols(), stage.getSplitsArray()):
+                rows += [(column, "bin_edge", i, str(v)) for i, v in enumerate(splits)]
     return spark.createDataFrame(rows, "stage string, kind string, position int, value string")
 
 

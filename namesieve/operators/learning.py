@@ -37,8 +37,12 @@ class HybridModel:
         prof: Profile | None = None,
         mapping: DataFrame | None = None,
     ) -> DataFrame:
-        """``input, prediction``: the allow and deny lists override the model."""
-        scored = self.svm.transform(self.vectors(rule_matrix(strings, lexicon, prof), mapping))
+        """``input, prediction``: the allow and deny lists override the model.
+
+        The rule outputs feed several feature branches, so they are materialised once.
+        """
+        matrix = checkpointed(rule_matrix(strings, lexicon, prof))
+        scored = self.svm.transform(self.vectors(matrix, mapping))
         learnt = F.when(F.col("svm_label") == 1.0, fixed.GEN).otherwise(fixed.SPE)
         return scored.select("input", F.coalesce("list_prediction", learnt).alias("prediction"))
 
@@ -121,6 +125,19 @@ def fit_hybrid(
     return HybridModel(options, state, features, svm)
 
 
+def weighted_score(
+    model: HybridModel,
+    gold: DataFrame,
+    lexicon: Lexicon,
+    prof: Profile | None = None,
+    beta: float = 1.0,
+) -> DataFrame:
+    """Weighted scores on ``input, label, numdocs``; rows of one string and label are merged."""
+    merged = gold.groupBy("input", "label").agg(F.sum("numdocs").alias("numdocs"))
+    predicted = model.predict_distinct(gold, lexicon, prof)
+    return score(merged.join(predicted, "input"), weight="numdocs", beta=beta)
+
+
 def random_options(n: int, seed: int = 0, rules: Iterable[int] = range(26)) -> list[tuple[FeatureOptions, float]]:
     """``n`` seeded points of the search space: feature toggles, bins, rule mask, regularisation."""
     rng = random.Random(seed)
@@ -158,8 +175,7 @@ def search(
     trials, best = [], None
     for options, reg_param in points:
         model = fit_hybrid(train, lexicon, terms, top_level, options, prof, reg_param=reg_param)
-        labelled = model.predict(dev, lexicon, prof)
-        row = score(labelled, weight="numdocs", beta=beta).first()
+        row = weighted_score(model, dev, lexicon, prof, beta).first()
         trials.append({"options": options, "reg_param": reg_param, "f_score": row.f_score})
         if best is None or row.f_score > best[0]:
             best = (row.f_score, model)

@@ -73,6 +73,7 @@ class Lexicon:
     stop_words: tuple[str, ...]
     org_modifiers: tuple[str, ...]
     common_subjects: tuple[str, ...]
+    first_words: tuple[str, ...] | None  # first words of all terms; None if too many
 
     @classmethod
     def compile(cls, terms: DataFrame) -> "Lexicon":
@@ -105,12 +106,17 @@ class Lexicon:
             stats.append(F.count(F.when(listed, 1)).alias(f"k_{name}"))
         row = compiled.agg(*stats).first()
 
-        def literal(name: str) -> tuple[str, ...]:
+        inline = ("stop_word", "org_modifier", "common_subject")
+        for name in inline:
             if row[f"k_{name}"] > LITERAL_TERMS:
                 raise ValueError(f"list {name} has more than {LITERAL_TERMS} terms")
-            listed = compiled.where(F.col("mask").bitwiseAND(F.lit(BIT[name])) != 0)
-            return tuple(sorted(r.term for r in listed.select("term").collect()))
+        literals = compiled.where(F.col("mask").bitwiseAND(F.lit(mask_of(*inline))) != 0).collect()
+
+        def literal(name: str) -> tuple[str, ...]:
+            return tuple(sorted(r.term for r in literals if r.mask & BIT[name]))
 
+        first = compiled.where("term <> ''").select(F.substring_index("term", " ", 1).alias("w"))
+        firsts = first.distinct().limit(LITERAL_TERMS + 1).collect()
         return cls(
             terms=compiled,
             n_terms=row.n,
@@ -120,6 +126,7 @@ class Lexicon:
             stop_words=literal("stop_word"),
             org_modifiers=literal("org_modifier"),
             common_subjects=literal("common_subject"),
+            first_words=tuple(r.w for r in firsts) if len(firsts) <= LITERAL_TERMS else None,
         )
 
     @property

@@ -153,10 +153,11 @@ def _probe_all(levels: DataFrame, lexicon: Lexicon, prof: Profile) -> Column:
         "type", "subject", "university", "common_subject", "org_modifier", "fuzzy_subject"
     )
     # Without connectors only terms that end at one of the last two words are looked at.
-    needed = sp.gram_probes(sp.CONTENT, "tokens", longest, "linked OR i + k >= n - 1")
+    first = lexicon.first_words
+    needed = sp.gram_probes(sp.CONTENT, "tokens", longest, first, "linked OR i + k >= n - 1")
     suffix_of = norm if v1 else org
     parts = [
-        sp.gram_probes(sp.NORM, "norm_tokens", norm_longest),
+        sp.gram_probes(sp.NORM, "norm_tokens", norm_longest, first),
         needed,
         sp.exact_probe(sp.WHOLE, content),
         sp.exact_probe(
@@ -170,7 +171,7 @@ def _probe_all(levels: DataFrame, lexicon: Lexicon, prof: Profile) -> Column:
         sp.ending_probes(F.col("tokens"), lexicon.longest_chars["word_ending"]),
         F.when(
             F.col("and_variant"),
-            sp.gram_probes(sp.CONTENT_AND, "and_tokens", longest),
+            sp.gram_probes(sp.CONTENT_AND, "and_tokens", longest, first),
         ).otherwise(sp.no_probes()),
     ]
     studies = _studies_pattern(prof)
@@ -359,30 +360,34 @@ def _evaluate(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
     acronym = (
         F.lit("") if prof.generation == 1 else F.array_join(extract_acronyms(F.col("org")), " ")
     )
+    closing = (
+        "filter(and_pos, p -> get(tokens, p) = 'and')" if prof.generation == 1 else "and_pos"
+    )
+    joined = f"transform(tokens, w -> IF({member_of('w', prof.and_words)}, 'and', w))"
     levels = (
-        levels.withColumn("tokens", F.expr(tokens.format("norm_no_sw")))
-        .withColumn("norm_tokens", F.expr(tokens.format("norm")))
-        .withColumn("acronym", acronym)
-        .withColumn("n", F.size("tokens"))
-        .withColumn("of_pos", _positions("tokens", prof.of_words))
-        .withColumn("and_pos", _positions("tokens", prof.and_words))
-        .withColumn("linked", F.expr("size(of_pos) + size(and_pos) > 0"))
-        .withColumn(
-            "and_variant",
-            F.expr("exists(and_pos, p -> get(tokens, p) <> 'and')"),
+        levels.withColumns(
+            {
+                "tokens": F.expr(tokens.format("norm_no_sw")),
+                "norm_tokens": F.expr(tokens.format("norm")),
+                "acronym": acronym,
+            }
         )
-        .withColumn(
-            "and_tokens",
-            F.expr(
-                f"IF(and_variant, transform(tokens, w -> IF({member_of('w', prof.and_words)},"
-                " 'and', w)), cast(array() AS array<string>))"
-            ),
+        .withColumns(
+            {
+                "n": F.size("tokens"),
+                "of_pos": _positions("tokens", prof.of_words),
+                "and_pos": _positions("tokens", prof.and_words),
+            }
+        )
+        .withColumns(
+            {
+                "linked": F.expr("size(of_pos) + size(and_pos) > 0"),
+                "and_variant": F.expr("exists(and_pos, p -> get(tokens, p) <> 'and')"),
+                "list_pos": F.expr(closing),
+            }
         )
         .withColumn(
-            "list_pos",
-            F.expr("filter(and_pos, p -> get(tokens, p) = 'and')")
-            if prof.generation == 1
-            else F.col("and_pos"),
+            "and_tokens", F.expr(f"IF(and_variant, {joined}, cast(array() AS array<string>))")
         )
     )
     carried = ["org", "norm", "norm_no_sw", "tokens", "acronym", "n", "of_pos", "and_pos", "list_pos"]

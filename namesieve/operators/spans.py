@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesieve.functions.text import member_of
 from namesieve.operators.lexicon import Lexicon
 
 PROBE = "struct<slot:int,start:int,n:int,term:string>"
@@ -38,20 +39,34 @@ def exact_probe(slot: int, term: Column) -> Column:
     return F.when(term.isNotNull(), F.array(probe)).otherwise(no_probes())
 
 
-def gram_probes(slot: int, tokens: str, longest: int, wanted: str = "true") -> Column:
+def gram_probes(
+    slot: int,
+    tokens: str,
+    longest: int,
+    first_words: tuple[str, ...] | None = None,
+    wanted: str = "true",
+) -> Column:
     """Probe the word n-grams of a token column, n = 1..``longest``.
 
+    An n-gram can only be listed if its first word starts some term, so other positions are
+    skipped before anything is built (``first_words`` of the lexicon, if it is small enough).
     ``wanted`` restricts the longer n-grams; it may refer to the start ``i`` and length ``k``.
     """
+    starts = (
+        f"filter(transform({tokens}, (w, i) -> IF({member_of('w', first_words)}, i, -1)), i -> i >= 0)"
+        if first_words is not None
+        else f"transform({tokens}, (w, i) -> i)"
+    )
     probe = f"named_struct('slot', {slot}, 'start', i, 'n', {{k}}, 'term', {{term}})"
-    single = probe.format(k=1, term="w")
     if longest <= 1:
-        return F.expr(f"transform({tokens}, (w, i) -> {single})")
-    gram = probe.format(k="k", term=f"IF(k = 1, w, array_join(slice({tokens}, i + 1, k), ' '))")
+        return F.expr(f"transform({starts}, i -> {probe.format(k=1, term=f'get({tokens}, i)')})")
+    # by position: a slice would copy the whole array for every n-gram
+    joined = f"array_join(transform(sequence(i, i + k - 1), j -> get({tokens}, j)), ' ')"
+    gram = probe.format(k="k", term=f"IF(k = 1, get({tokens}, i), {joined})")
     lengths = f"sequence(1, least({longest}, size({tokens}) - i))"
     if wanted != "true":
         lengths = f"filter({lengths}, k -> k = 1 OR {wanted})"
-    return F.expr(f"flatten(transform({tokens}, (w, i) -> transform({lengths}, k -> {gram})))")
+    return F.expr(f"flatten(transform({starts}, i -> transform({lengths}, k -> {gram})))")
 
 
 def ending_probes(tokens: Column, longest_ending: int) -> Column:

@@ -17,6 +17,7 @@ from namesieve.operators import spans as sp
 from namesieve.operators.normalize import preprocess, remove_stopwords_by_join
 from namesieve.plans import inputs
 from namesieve.plans.inputs import table
+from namesieve.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,7 +72,7 @@ def remove_stopwords(spark, sf):
 
 @query
 def token_ngrams(spark, sf):
-    rows = preprocess(table(spark, sf, "documents"), (), "text")
+    rows = preprocess(inputs.documents(spark, sf, "text"), (), "text")
     grams = rows.select(F.explode(shape.grams(F.split("norm", " "), 3)).alias("g"))
     return (
         grams.select("g.n", "g.term")
@@ -143,7 +144,7 @@ def repair_ragged_tsv(spark, sf):
 
 
 def _document_tokens(spark, sf):
-    rows = table(spark, sf, "documents").select(
+    rows = inputs.documents(spark, sf, "text").select(
         F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")
     )
     return rows.where("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
@@ -177,7 +178,7 @@ def dictionary_ngram_hits(spark, sf):
     names = ("location", "company_name", "company_type", "university")
     rows = preprocess(inputs.segments(spark, sf).select("input").distinct(), lex.stop_words)
     rows = rows.withColumn("toks", text.words(F.col("norm")))
-    probes = sp.gram_probes(sp.NORM, "toks", lex.max_words(*names))
+    probes = sp.gram_probes(sp.NORM, "toks", lex.max_words(*names), lex.first_words)
     found = sp.find_spans(rows, lex, ["input"], ["norm"], probes).select(
         sp.mask_at(sp.NORM).alias("m")
     )
@@ -388,23 +389,23 @@ def baseline_delta(spark, sf):
 
 @query
 def token_frequency(spark, sf):
-    return tokens.token_frequency(table(spark, sf, "documents"), "text")
+    return tokens.token_frequency(inputs.documents(spark, sf, "text"), "text")
 
 
 @query
 def token_rank_bands(spark, sf):
-    return tokens.rank_bands(tokens.token_frequency(table(spark, sf, "documents"), "text"))
+    return tokens.rank_bands(tokens.token_frequency(inputs.documents(spark, sf, "text"), "text"))
 
 
 @query
 def top_words(spark, sf):
-    freq = tokens.token_frequency(table(spark, sf, "documents"), "text")
+    freq = tokens.token_frequency(inputs.documents(spark, sf, "text"), "text")
     return tokens.top_tokens(freq, 100)
 
 
 @query
 def frequency_stats(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("input"))
+    rows = inputs.documents(spark, sf, "text").withColumnRenamed("text", "input")
     return tokens.frequency_stats(rows, tokens.token_frequency(rows), "doc_id")
 
 
@@ -434,14 +435,14 @@ def _mapping(spark, sf):
 
 @query
 def translate_tokens(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("input"))
+    rows = inputs.documents(spark, sf, "text").withColumnRenamed("text", "input")
     done = tokens.translate_tokens(rows, _mapping(spark, sf), "doc_id")
     return done.select("doc_id", F.md5("translated").alias("translated"))
 
 
 @query
 def tag_sequences(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("input"))
+    rows = inputs.documents(spark, sf, "text").withColumnRenamed("text", "input")
     tags = tokens.tag_table(inputs.word_lists(spark, sf))
     keep = tokens.top_tokens(tokens.token_frequency(rows), 100)
     done = tokens.tag_sequences(rows, tags, "doc_id", keep=keep)
@@ -763,14 +764,15 @@ def _hybrid(spark, sf):
 def feature_overhead(spark, sf):
     model, lex = _hybrid(spark, sf)
     talk = inputs.pieces(table(spark, sf, "conversations"), "text")
-    return features.feature_overhead(model.vectors(rules.rule_matrix(talk, lex)))
+    matrix = checkpointed(rules.rule_matrix(talk, lex))
+    return features.feature_overhead(model.vectors(matrix))
 
 
 @query
 def svm_quality(spark, sf):
     """Scores of the hybrid model on its training strings, weighted."""
     model, lex = _hybrid(spark, sf)
-    return scoring.score(model.predict(_training(spark, sf), lex), weight="numdocs")
+    return learning.weighted_score(model, _training(spark, sf), lex)
 
 
 @query

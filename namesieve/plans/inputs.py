@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.operators.lexicon import Lexicon, normalise_terms
+from namesieve.session import spread
 
 # Sentences and lines of a text; every piece of every text is used.
 PIECE = r"[.!?]+[ \n]+|\n+"
@@ -42,13 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents``; its texts are parsed at length, so small scans are spread."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 def pieces(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text, PIECE)).alias("pos", "input"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, numdocs, pos, input``: all pieces of all documents."""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("n_chars", "numdocs")
+    docs = documents(spark, sf_dir, "lang", "n_chars", "text").withColumnRenamed("n_chars", "numdocs")
     return pieces(docs, "text", "doc_id", "lang", "numdocs")
 
 
