@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from namesieve.operators import spans as sp
 from namesieve.operators.normalize import preprocess, remove_stopwords_by_join
 from namesieve.plans import inputs
 from namesieve.plans.inputs import table
-from namesieve.session import checkpointed
+from namesieve.session import checkpointed, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,8 +28,12 @@ ARTICLE_TAGS = ("h1", "b")
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(tuned(spark), sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 # ---------------------------------------------------------------- normalisation

@@ -454,7 +454,9 @@ def single(x: str) -> str:
     )
 
 
-def cascade(cte: str, src: str, v1: bool = False, off: tuple[int, ...] = ()) -> str:
+def cascade(
+    cte: str, src: str, v1: bool = False, off: tuple[int, ...] = (), lists: str = LISTS
+) -> str:
     """CTEs ending in ``res``: all rule columns and the predictions of distinct strings."""
     ofs = "|".join(fixed.OF_WORDS_V1 if v1 else fixed.OF_WORDS)
     ands = "|".join(fixed.AND_WORDS_V1 if v1 else fixed.AND_WORDS)
@@ -565,7 +567,7 @@ def cascade(cte: str, src: str, v1: bool = False, off: tuple[int, ...] = ()) ->
     all_rules = ", ".join(
         f"z.rule_{k:02d}" if k != 20 else "CASE WHEN ch.tail = 'GEN' THEN 'GEN' END AS rule_20" for k in range(26)
     )
-    return f"""RECURSIVE {TERMS}, {LISTS}, {cte},
+    return f"""RECURSIVE {TERMS}, {cte}, {lists},
  b0 AS (SELECT input, {base} AS base FROM (SELECT DISTINCT input FROM {src})), n0 AS (SELECT *, {strip('base')} AS norm FROM b0),
  lv AS (SELECT input AS root, 0 AS depth, input AS org, base, norm, {no_stops('norm')} AS nosw FROM n0 UNION ALL
   SELECT root, depth + 1, tail, tail, {strip('tail')}, {no_stops(strip('tail'))} FROM (SELECT root, depth, nosw[strpos(nosw, ' ') + 1:] AS tail FROM lv
@@ -618,3 +620,53 @@ SQL["rule_overlap"] = (
     f"WITH {TALK_RES} SELECT CAST({' + '.join(f'(rule_{k:02d} IS NOT NULL)::INT' for k in range(26))} AS INTEGER) AS n_rules,"
     " count(*) AS n FROM res GROUP BY 1"
 )
+
+# subjects within one edit: the subject list grows by the near n-grams of the probed strings
+PROBES = (
+    f"bp AS (SELECT unnest(string_split_regex(text, {lit(PIECE)})) AS input FROM benchmark),"
+    " pr AS (SELECT DISTINCT input FROM (SELECT input FROM bp UNION ALL"
+    " SELECT unnest(string_split_regex(lower(input), '[^a-z]+')) FROM bp) WHERE input <> '')"
+)
+NEAR = (
+    f"{PROBES}, b1 AS (SELECT {normal('input')} AS base FROM pr), n1 AS (SELECT {strip('base')} AS norm FROM b1),"
+    f" c1 AS (SELECT string_split({no_stops('norm')}, ' ') AS t FROM n1),"
+    " g1 AS (SELECT DISTINCT array_to_string(t[i:i + k - 1], ' ') AS g FROM"
+    " (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM c1, (SELECT unnest([1, 2, 3]) AS k))),"
+    " st AS (SELECT DISTINCT term FROM terms WHERE list IN ('subject', 'subject_modifier') AND length(term) >= 5),"
+    " fz AS (SELECT DISTINCT g FROM g1 JOIN st ON abs(length(g) - length(term)) <= 1 AND levenshtein(g, term) <= 1"
+    " AND (regexp_replace(g, '[a-z0-9 ]', '', 'g') = regexp_replace(term, '[a-z0-9 ]', '', 'g')"
+    " OR length(regexp_replace(g, '[a-z0-9 ]', '', 'g')) < length(regexp_replace(term, '[a-z0-9 ]', '', 'g'))))"
+)
+STRICT = "list(term) FILTER (list IN ('subject', 'subject_modifier')) AS lsub"
+LOOSE = (
+    "(SELECT list(DISTINCT t) FROM (SELECT term AS t FROM terms WHERE list IN ('subject', 'subject_modifier')"
+    " UNION ALL SELECT g FROM fz)) AS lsub"
+)
+SQL["subject_match"] = (
+    f"SELECT l.input, s.rule_18 AS strict, l.rule_18 AS loose FROM (WITH {cascade(PROBES, 'pr')} SELECT input, rule_18 FROM res) s"
+    f" JOIN (WITH {cascade(NEAR, 'pr', lists=LISTS.replace(STRICT, LOOSE))} SELECT input, rule_18 FROM res) l USING (input)"
+    " WHERE l.rule_18 IS NOT NULL"
+)
+
+# open elements as a depth that never falls below zero; the element on top of the stack at a
+# depth is the latest one opened there
+CHECKS = f"""{FRAG}, tg AS (SELECT page_id, part, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (SELECT page_id, part,
+  regexp_extract_all(xml, '<(/?[A-Za-z][^\\s/>]*(?:\\s[^>]*?)?/?)>', 1) AS ts FROM fr)),
+ kd AS (SELECT *, regexp_extract(t, '^/?([^\\s/>]+)', 1) AS nm, CASE WHEN starts_with(t, '/') THEN -1 WHEN ends_with(t, '/') THEN 0 ELSE 1 END AS k FROM tg),
+ cs AS (SELECT *, sum(k) OVER (PARTITION BY page_id, part ORDER BY pos) AS c FROM kd),
+ da AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY page_id, part ORDER BY pos)) AS after FROM cs),
+ dp AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY page_id, part ORDER BY pos), 0) AS depth FROM da),
+ pa AS (SELECT a.page_id, a.part, a.pos, any_value(a.nm) AS nm, any_value(a.k) AS k, any_value(a.depth) AS depth,
+   max_by(o.nm, o.pos) FILTER (o.depth = a.depth - 1) AS parent, max_by(o.nm, o.pos) FILTER (o.depth = 0) AS root
+  FROM dp a LEFT JOIN dp o ON o.page_id = a.page_id AND o.part = a.part AND o.pos < a.pos AND o.k = 1 GROUP BY a.page_id, a.part, a.pos),
+ fl AS (SELECT page_id, part, bool_or(k = -1 AND (depth = 0 OR parent <> nm)) AS bad, bool_or(k >= 0 AND depth = 0 AND nm <> 'li') AS top_level,
+   bool_or(k >= 0 AND depth > 0 AND nm = 'li') AS nested, bool_or(k >= 0 AND nm = 'a' AND NOT (depth = 1 AND root = 'li')) AS deep_element,
+   bool_or(k >= 0 AND depth > 0 AND parent = 'a') AS sub_element FROM pa GROUP BY page_id, part),
+ op AS (SELECT page_id, part, max_by(after, pos) > 0 AS left_open FROM dp GROUP BY page_id, part),
+ vd AS (SELECT page_id, part, coalesce(bad OR left_open, FALSE) AS unbalanced, coalesce(top_level, FALSE) AS top_level,
+   coalesce(nested, FALSE) AS nested, coalesce(deep_element, FALSE) AS deep_element, coalesce(sub_element, FALSE) AS sub_element
+  FROM fr LEFT JOIN fl USING (page_id, part) LEFT JOIN op USING (page_id, part)),
+ vr AS (SELECT *, CASE WHEN unbalanced THEN 'unbalanced' WHEN top_level THEN 'top_level' WHEN nested THEN 'nested'
+   WHEN deep_element THEN 'deep_element' WHEN sub_element THEN 'sub_element' END AS reject_reason FROM vd)"""
+SQL["validate_tagged"] = f"WITH {CHECKS} SELECT * FROM vr"
+SQL["reject_counts"] = f"WITH {CHECKS} SELECT coalesce(reject_reason, 'valid') AS reason, count(*) AS n FROM vr GROUP BY 1"

@@ -13,13 +13,21 @@ def build_session(app_name: str = "namesieve", **conf: str) -> SparkSession:
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # rule stages cost far more per byte than the default 1 MB floor assumes
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tuned(builder.getOrCreate())
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Let stages after a small shuffle keep their parallelism.
+
+    A string of 60 bytes costs far more work in the rule stages than the default floor of
+    1 MB per merged partition assumes.  Large shuffles are not affected.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
