@@ -4,8 +4,7 @@ A word-list table has the columns ``list, lang, term``.  :class:`Lexicon` compil
 one row per term with a bit mask of the lists that hold the term, so that any number of
 lists is probed with a single join.
 
-The plain joins at the end carry no hint: adaptive execution broadcasts a word-list side
-when its measured size is below the session's threshold, and splits skewed keys otherwise.
+Joins against single lists use :func:`measured_side`, which checks the size before hinting.
 """
 
 from __future__ import annotations
@@ -145,22 +144,36 @@ def hit_list(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(F.lit(BIT[name])) != 0
 
 
+def measured_side(df: DataFrame) -> DataFrame:
+    """Materialise a word-list side and hint it for broadcast only if it turned out small.
+
+    The other side is then not shuffled; a large list leaves the join to the planner.
+    """
+    side = checkpointed(df)
+    width = sum(
+        (F.coalesce(F.octet_length(n), F.lit(0)) for n, t in side.dtypes if t == "string"),
+        F.lit(0),
+    )
+    row = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(side) if row.n <= BROADCAST_ROWS and row.b <= BROADCAST_BYTES else side
+
+
 def dictionary_exact(df: DataFrame, terms: DataFrame, text: str, flag: str = "listed") -> DataFrame:
     """Flag rows whose ``text`` is a listed term.  ``terms`` has one column ``term``."""
     keys = terms.select(F.col("term").alias(text)).distinct().withColumn(flag, F.lit(True))
-    return df.join(keys, text, "left").withColumn(
+    return df.join(measured_side(keys), text, "left").withColumn(
         flag, F.coalesce(F.col(flag), F.lit(False))
     )
 
 
 def keep_listed(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     keys = terms.select(F.col("term").alias(text)).distinct()
-    return df.join(keys, text, "left_semi")
+    return df.join(measured_side(keys), text, "left_semi")
 
 
 def drop_listed(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     keys = terms.select(F.col("term").alias(text)).distinct()
-    return df.join(keys, text, "left_anti")
+    return df.join(measured_side(keys), text, "left_anti")
 
 
 def select_lists(terms: DataFrame, without: tuple[str, ...]) -> DataFrame:

@@ -58,28 +58,26 @@ def extract_tagged_dom(
     ``dom_ordinal`` counts in that order, ``ordinal`` in document order.  A text with a stray
     ``&`` is not well formed: it comes back as null with ``malformed`` set.
     """
-    rank = F.lit(None).cast("int")
-    for i, tag in enumerate(tags):
-        rank = F.when(F.col("tag") == tag, i).otherwise(rank)
-    lead = F.regexp_extract("text", "(?s)^[^<]*", 0)
-    rows = extract_tagged(df, keys, xml, tags).select(
-        *keys, "ordinal", "tag", rank.alias("rank"), lead.alias("lead")
+    ranks = ", ".join(f"'{tag}', {i}" for i, tag in enumerate(tags))
+    pattern = sql_string(element(tags))
+    elements = F.expr(
+        f"""array_sort(transform(
+              zip_with(regexp_extract_all({xml}, {pattern}, 1),
+                       regexp_extract_all({xml}, {pattern}, 2),
+                       (g, x) -> named_struct('tag', g, 'text', x)),
+              (e, i) -> named_struct('rank', element_at(map({ranks}), e.tag), 'ordinal', i,
+                'tag', e.tag, 'lead', regexp_extract(e.text, '(?s)^[^<]*', 0))))"""
+    )
+    rows = df.select(*keys, F.posexplode(elements).alias("dom_ordinal", "e")).select(
+        *keys, "dom_ordinal", "e.ordinal", "e.tag", "e.lead"
     )
     malformed = F.col("lead").rlike(BAD_ENTITY)
     decoded = F.expr("xpath_string(concat('<r>', lead, '</r>'), '/r')")
     text = F.when(malformed, F.lit(None).cast("string")).when(
         F.contains("lead", F.lit("&")), decoded
     ).otherwise(F.col("lead"))
-    # elements of one record only: collected, ordered and numbered inside the record's row
-    ordered = rows.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("rank", "ordinal", "tag", text.alias("text"), malformed.alias("malformed"))
-            )
-        ).alias("es")
-    )
-    return ordered.select(*keys, F.posexplode("es").alias("dom_ordinal", "e")).select(
-        *keys, "dom_ordinal", "e.ordinal", "e.tag", "e.text", "e.malformed"
+    return rows.select(
+        *keys, "dom_ordinal", "ordinal", "tag", text.alias("text"), malformed.alias("malformed")
     )
 
 

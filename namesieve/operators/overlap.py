@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from namesieve.operators.lexicon import measured_side
+
 ENGLISH = ("en", "manual")
 
 
 def mark_found(list_tokens: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
     """List tokens with ``found``: does the corpus contain the token."""
-    vocabulary = corpus_tokens.select("token").distinct().withColumn("found", F.lit(True))
-    return list_tokens.join(vocabulary, "token", "left").withColumn(
+    # only list tokens leave the corpus side, so its vocabulary is never shuffled whole
+    listed = measured_side(list_tokens.select("token").distinct())
+    seen = corpus_tokens.select("token").join(listed, "token", "left_semi").distinct()
+    return list_tokens.join(seen.withColumn("found", F.lit(True)), "token", "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
 
@@ -37,7 +41,7 @@ def list_flags(list_tokens: DataFrame) -> DataFrame:
 
 def flag_corpus(corpus_tokens: DataFrame, list_tokens: DataFrame) -> DataFrame:
     """Corpus tokens with ``found, found_en, found_others, found_novel``."""
-    flags = list_flags(list_tokens)
+    flags = measured_side(list_flags(list_tokens))
     no = F.lit(False)
     return (
         corpus_tokens.join(flags, "token", "left")

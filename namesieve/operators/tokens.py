@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from namesieve import fixed
 from namesieve.functions.shape import collapse_runs
 from namesieve.functions.text import fold_word, nfc, words
+from namesieve.operators.lexicon import measured_side
 
 
 def token_frequency(df: DataFrame, text: str = "input") -> DataFrame:
@@ -102,7 +103,7 @@ def translate_tokens(
 ) -> DataFrame:
     """Replace known abbreviations word by word; other words stay as they are."""
     spread = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    side = mapping.select("abbreviation", "replacement")
+    side = measured_side(mapping.select("abbreviation", "replacement"))
     joined = spread.join(side, F.lower("word") == side["abbreviation"], "left").withColumn(
         "new", F.coalesce("replacement", "word")
     )
@@ -163,7 +164,7 @@ def tag_sequences(
         tags = tags.join(keep.select("token", F.lit(True).alias("kept")), "token", "full_outer").select(
             "token", F.when(F.col("kept"), F.col("token")).otherwise(F.col("tag")).alias("tag")
         )
-    joined = spread.join(tags, "token", "left").withColumn(
+    joined = spread.join(measured_side(tags), "token", "left").withColumn(
         "tag", F.coalesce("tag", F.lit(default))
     )
     return _rejoin(joined, df, key, "tag", out).withColumn(out, collapse_runs(F.col(out)))
