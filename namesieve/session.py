@@ -21,12 +21,14 @@ def build_session(app_name: str = "namesieve", **conf: str) -> SparkSession:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Let stages after a small shuffle keep their parallelism.
+    """Settings for stages that do much work on few bytes.
 
     A string of 60 bytes costs far more work in the rule stages than the default floor of
-    1 MB per merged partition assumes.  Large shuffles are not affected.
+    1 MB per merged partition assumes.  The groups collected there are single strings, so
+    hash aggregation may hold many of them before it falls back to sorting.
     """
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     return spark
 
 
