@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from namesieve.llm import near, substrings, toxicity
 from namesieve.llm.decontaminate import contamination
 from namesieve.llm.queries import fit_toxicity, pack_documents
+from namesieve.llm.ship import ship
 from namesieve.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.3."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit_toxicity(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return _where(docs, toxicity.score(docs, model), F.col("score") < 0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
+    ship(spark)
     return near.keep_one(docs)
 
 
@@ -33,6 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that lose nothing stay as they are, blanks included.
     """
+    ship(spark)
     cut = substrings.remove_repeats(docs).where("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")
     )
@@ -52,6 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences."""
+    ship(spark)
     return pack_documents(docs)
 
 

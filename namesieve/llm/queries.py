@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import bpe, chat, decontaminate, language, lines, near, packing, parsing, substrings, toxicity
+from namesieve.llm.ship import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

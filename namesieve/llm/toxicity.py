@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namesieve.llm.chunks import chunked, slices, split_tails
+from namesieve.session import checkpointed
 
 # Letters that digits and symbols stand for.
 LEET = {
@@ -33,6 +34,7 @@ LEET = {
 }
 SEPARATORS = " .,-_*'`~^:;/\\"
 REPLACE, SKIP_REPEAT, DROP, JOIN, BREAK = 0.7, 0.3, 4.0, 0.2, 0.5
+LOSE = 3.0  # more, if the character has letters to stand for
 N = 27  # boundary and a-z
 MAX_CACHE = 400_000
 
@@ -88,7 +90,8 @@ class Restorer:
         c = text[i]
         if "a" <= c <= "z":
             found = [(c, 0.0)]
-            if i and text[i - 1] == c:
+            # Only runs of three or more are read as fewer letters; doubles are spelling.
+            if i and text[i - 1] == c and (text[i - 2 : i] == c + c or text[i + 1 : i + 2] == c):
                 found.append(("", SKIP_REPEAT))
             return found
         found = [(x, REPLACE) for x in LEET.get(c, "")]
@@ -97,7 +100,8 @@ class Restorer:
         elif c.isalpha():
             found.append((c, 0.0))
         else:
-            found += [("", DROP), (" ", BREAK)]
+            lose = LOSE if found else 0.0
+            found += [("", DROP + lose), (" ", BREAK + lose)]
         return found
 
     def decode(self, text: str) -> str:
@@ -156,7 +160,8 @@ def _repeats(word: str) -> bool:
 def restored(texts: pa.Array, restore: Restorer):
     """Restored words of texts: distinct chunks' words, chunk codes, first chunks, words of spaced runs.
 
-    Runs of three or more single-letter chunks are decoded together; they are (text, words) pairs.
+    Runs of three or more single-letter chunks are decoded together; they are (text, words) pairs, the
+    last word being all of the run.
     """
     distinct, codes, starts = chunked(texts)
     stems, stem_of, _, _ = split_tails(distinct)
@@ -176,7 +181,8 @@ def restored(texts: pa.Array, restore: Restorer):
         for a, b in zip(begin[close - begin >= 3].tolist(), close[close - begin >= 3].tolist()):
             spaced = " ".join(stems[c] for c in codes[a:b]).lower()
             owner = int(np.searchsorted(starts, a, side="right")) - 1
-            runs.append((owner, restore.decode(spaced).split()))
+            found = restore.decode(spaced)
+            runs.append((owner, [*found.split(), found.replace(" ", "")]))
     return words, codes, starts, runs
 
 
@@ -195,12 +201,14 @@ def fit_toxicity(
     label: str = "toxic",
     min_support: int = 8,
     min_share: float = 0.5,
+    min_part: float = 0.01,
     max_words: int = 4096,
 ) -> ToxicModel:
     """Character model over all ``docs``, word model over all labelled rows of ``train``.
 
     ``max_words`` bounds the word model: the words of most toxic documents, of those in at least
-    ``min_support`` toxic documents with a toxic share of ``min_share`` or more.
+    ``min_support`` toxic documents and a part ``min_part`` of all, with a toxic share of
+    ``min_share`` or more.
     """
     costs = char_costs(char_counts(docs, text))
 
@@ -237,17 +245,34 @@ def fit_toxicity(
     counts = once.select("label", F.explode_outer("words").alias("word")).groupBy("word").agg(
         F.sum("label").alias("toxic"), F.count("*").alias("n")
     )
-    kept = (
-        counts.where(F.col("word").isNotNull())
-        .where((F.col("toxic") >= min_support) & (F.col("toxic") >= min_share * F.col("n")))
-        .orderBy(F.desc("toxic"), "word")
-        .limit(max_words)
-        .collect()
-    )
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not total["n"]:
         return ToxicModel(costs, 0.0, {})
-    words = {r["word"]: (r["toxic"] + 0.1) / (r["n"] + 1.0) for r in kept}
+    support = max(min_support, min_part * (total["toxic"] or 0))
+    enough = (F.col("toxic") >= support) & (F.col("toxic") >= min_share * F.col("n"))
+    named = counts.where(F.col("word").isNotNull() & enough)
+    named = named.orderBy(F.desc("toxic"), "word").limit(max_words).collect()
+    share = {r["word"]: (r["toxic"] + 0.1) / (r["n"] + 1.0) for r in named}
+    # Words that only accompany stronger ones are left out: in rounds, the strongest words among the
+    # documents that no chosen word explains yet.
+    wanted = once.select(
+        "label", F.array_intersect("words", F.array(*map(F.lit, share)) if share else F.array().cast("array<string>")).alias("words")
+    )
+    wanted = checkpointed(wanted.where(F.size("words") > 0))
+    chosen: list[str] = []
+    while share:
+        left = wanted
+        if chosen:
+            left = left.where(~F.arrays_overlap("words", F.array(*map(F.lit, chosen))))
+        found = left.select("label", F.explode("words").alias("word")).groupBy("word").agg(
+            F.sum("label").alias("toxic"), F.count("*").alias("n")
+        )
+        found = [r for r in found.where(enough).collect() if r["word"] not in chosen]
+        if not found:
+            break
+        most = max(r["toxic"] for r in found)
+        chosen += sorted(r["word"] for r in found if r["toxic"] >= 0.7 * most)
+    words = {w: share[w] for w in chosen}
     # Base: toxic share among documents without any such word, from the same training rows.
     model = ToxicModel(costs, 0.0, words)
     rest = score(train.where(F.col(label).isNotNull()), model, key, text, keep=label).where("n_words = 0")
@@ -281,6 +306,8 @@ def score(
                     found[i].update(toxic[c])
                 for i, ws in runs:
                     found[i].update(number[w] for w in ws if w in number)
+                    # Where words begin in a run is a guess, so a listed word may begin anywhere.
+                    found[i].update(n for w, n in number.items() if len(w) >= 4 and w in ws[-1])
                 clean = [rest + sum(odds[w] for w in sorted(s)) for s in found]
                 columns = [
                     part.column("key"), pa.array(-np.expm1(clean), pa.float64()),
