@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from namesieve.llm.chunks import gather, slices
 from namesieve.llm.substrings import _rows, with_spans
 from namesieve.llm.windows import (
-    Hasher, Sketch, covered, merged_sketch, spans_of, symbol_table, whole_groups, window_runs,
+    Hasher, Sketch, covered, merged_sketch, mix, spans_of, symbol_table, whole_groups, window_runs,
 )
 
 BYTES = 50
@@ -99,6 +99,9 @@ def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch
             pa.binary(), len(size),
             [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(data, first, size).tobytes())],
         )
+    # Settled rows need no group: they spread over all tasks.
+    tids = part.column("tid").to_numpy().view(np.uint64)[text]
+    keys = np.where(size > 0, keys, mix(first.astype(np.uint64) ^ content ^ tids))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(keys.view(np.int64)), pa.array(docs), part.column("tid").take(pa.array(text)),

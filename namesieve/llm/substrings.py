@@ -68,6 +68,7 @@ def candidate_runs(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.Reco
     copies 0 and no words, and are known to be repeated.
     """
     words = Words(part.column("text"))
+    tids = part.column("tid").to_numpy().view(np.uint64)
     keys, first, count = window_runs(words.hashes, words.starts, length, GRAM)
     keep = sketch.repeated(keys)
     keys, first, count = keys[keep], first[keep], count[keep]
@@ -88,6 +89,8 @@ def candidate_runs(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.Reco
     copies = np.zeros(len(keys), np.int64)
     copies[new] = np.diff(np.append(np.flatnonzero(new), len(keys)))
     doc = np.searchsorted(words.starts, first, side="right") - 1
+    # Rows without words need no group: they spread over all tasks.
+    keys = np.where(new, keys, mix(first.astype(np.uint64) ^ content ^ tids[doc]))
     begin = words.begin[first]
     size = np.where(new, words.end[first + count + length - 2] - begin, 0) if len(first) else first
     data = gather(words.data, begin, size)

@@ -1,0 +1,8 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def shipped(spark):
+    from namesieve.llm.ship import ship
+
+    return ship(spark)
