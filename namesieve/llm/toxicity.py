@@ -14,6 +14,7 @@ left out.  Near copies among training documents count once (one per bottom sketc
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import inf
@@ -213,7 +214,7 @@ def fit_toxicity(
     """
     costs = char_costs(char_counts(docs, text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, set[str]]]:
         restore = Restorer(costs)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
@@ -221,75 +222,96 @@ def fit_toxicity(
                 extra: dict[int, set[str]] = {}
                 for owner, found in runs:
                     extra.setdefault(owner, set()).update(found)
-                sets = []
+                labels = part.column("label").to_pylist()
                 for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                     own = {w for c in np.unique(codes[a:b]) for w in words[c]} | extra.get(i, set())
-                    sets.append(sorted(w for w in own if 2 <= len(w) <= 40))
-                least = [sorted(zlib.crc32(w.encode()) for w in s)[:SIGN] for s in sets]
-                sign = [zlib.crc32(repr(x).encode()) for x in least]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"), part.column("label"), pa.array(sign, pa.int64()),
-                        pa.array(sets, pa.list_(pa.string())),
-                    ],
-                    ["key", "label", "sign", "words"],
-                )
+                    yield labels[i], {w for w in own if 2 <= len(w) <= 40}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Summed within the task: a row for each word and task, whatever the copies.
+        total: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            names = list(total)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array(list(total.values()), pa.int64())],
+                ["word", "toxic", "n"],
+            )
+
+        for label, own in documents(batches):
+            total.update(own)
+            if label:
+                toxic.update(own)
+            if len(total) > 500_000:
+                yield flush()
+                total.clear()
+                toxic.clear()
+        yield flush()
 
     rows = train.where(F.col(label).isNotNull()).select(
-        F.col(key).alias("key"),
-        F.col(label).cast("int").alias("label"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    kind = rows.schema["key"].dataType.simpleString()
-    read = rows.mapInArrow(run, f"key {kind}, label int, sign long, words array<string>")
-    # One document per signature and label: the first by id.
-    once = read.groupBy("sign", "label").agg(F.min_by("words", F.struct("key", "words")).alias("words"))
-    counts = once.select("label", F.explode_outer("words").alias("word")).groupBy("word").agg(
-        F.sum("label").alias("toxic"), F.count("*").alias("n")
+        F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not total["n"]:
         return ToxicModel(costs, 0.0, {})
     support = max(min_support, min_part * (total["toxic"] or 0))
     enough = (F.col("toxic") >= support) & (F.col("toxic") >= min_share * F.col("n"))
-    named = counts.where(F.col("word").isNotNull() & enough)
-    named = named.orderBy(F.desc("toxic"), "word").limit(max_words).collect()
-    share = {r["word"]: (r["toxic"] + 0.1) / (r["n"] + 1.0) for r in named}
+    sums = [F.sum("toxic").alias("toxic"), F.sum("n").alias("n")]
+    counts = rows.mapInArrow(count, "word string, toxic long, n long").groupBy("word").agg(*sums)
+    named = counts.where(enough).orderBy(F.desc("toxic"), "word").limit(max_words).collect()
+    listed = {r["word"] for r in named}
+
+    def listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for label, own in documents(batches):
+            if hit := sorted(own & listed):
+                least = sorted(zlib.crc32(w.encode()) for w in own)[:SIGN]
+                found.append((zlib.crc32(repr(least).encode()), label, hit))
+            if len(found) >= 10_000:
+                yield _batch(found)
+                found = []
+        yield _batch(found)
+
+    hits = checkpointed(rows.mapInArrow(listed_words, "sign long, label int, words array<string>"))
+    # One document per signature and label: the first by its words.
+    once = hits.groupBy("sign", "label").agg(F.min("words").alias("words")).persist()
     # Words that only accompany stronger ones are left out: in rounds, the strongest words among the
     # documents that no chosen word explains yet.
-    wanted = once.select(
-        "label", F.array_intersect("words", F.array(*map(F.lit, share)) if share else F.array().cast("array<string>")).alias("words")
-    )
-    wanted = checkpointed(wanted.where(F.size("words") > 0))
-    chosen: list[str] = []
-    while share:
-        left = wanted
-        if chosen:
-            left = left.where(~F.arrays_overlap("words", F.array(*map(F.lit, chosen))))
-        found = left.select("label", F.explode("words").alias("word")).groupBy("word").agg(
-            F.sum("label").alias("toxic"), F.count("*").alias("n")
-        )
-        found = [r for r in found.where(enough).collect() if r["word"] not in chosen]
+    share: dict[str, float] = {}
+    while listed:
+        left = once.where(~F.arrays_overlap("words", F.array(*map(F.lit, share)))) if share else once
+        left = left.select("label", F.explode("words").alias("word"))
+        left = left.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+        found = [r for r in left.where(enough).collect() if r["word"] not in share]
         if not found:
             break
         most = max(r["toxic"] for r in found)
-        chosen += sorted(r["word"] for r in found if r["toxic"] >= 0.7 * most)
-    words = {w: share[w] for w in chosen}
-    # Base: toxic share among documents without any such word, from the same training rows.
-    model = ToxicModel(costs, 0.0, words)
-    rest = score(train.where(F.col(label).isNotNull()), model, key, text, keep=label).where("n_words = 0")
-    clean = rest.agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("int")).alias("toxic")).first()
-    model.base = ((clean["toxic"] or 0) + 0.1) / (clean["n"] + 1.0)
-    return model
+        for r in found:
+            if r["toxic"] >= 0.7 * most:
+                share[r["word"]] = (r["toxic"] + 0.1) / (r["n"] + 1.0)
+    once.unpersist()
+    known = hits.where(F.arrays_overlap("words", F.array(*map(F.lit, share)))) if share else hits.where("false")
+    known = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+    # Base: toxic share among training documents without any chosen word.
+    rest = (total["toxic"] or 0) - (known["toxic"] or 0)
+    return ToxicModel(costs, (rest + 0.1) / (total["n"] - known["n"] + 1.0), dict(sorted(share.items())))
+
+
+def _batch(found: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
+            pa.array([f[2] for f in found], pa.list_(pa.string())),
+        ],
+        ["sign", "label", "words"],
+    )
 
 
 def score(
-    docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: str = "text", keep: str | None = None
+    docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key, score`` and ``n_words`` (distinct toxic words in the restored text); narrow.
-
-    ``keep`` names a column to carry along as ``keep``.
-    """
+    """``key, score`` and ``n_words`` (distinct toxic words in the restored text); narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(model.costs)
@@ -315,17 +337,11 @@ def score(
                     part.column("key"), pa.array(-np.expm1(clean), pa.float64()),
                     pa.array([len(s) for s in found], pa.int32()),
                 ]
-                names = ["key", "score", "n_words"]
-                if keep:
-                    columns, names = [*columns, part.column("keep")], [*names, "keep"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, ["key", "score", "n_words"])
 
     rows = docs.select(
         F.col(key).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-        *([F.col(keep).alias("keep")] if keep else []),
     )
     schema = f"key {rows.schema['key'].dataType.simpleString()}, score double, n_words int"
-    if keep:
-        schema += f", keep {rows.schema['keep'].dataType.simpleString()}"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
