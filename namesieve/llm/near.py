@@ -90,29 +90,37 @@ def least_matches(step: int, n: int, threshold: float, tolerance: float) -> list
     ]
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Per row: doc, n_shingles, set_hash (of the whole set), sign (MinHash values), shingles (bytes)."""
-    number = BANDS * BAND_ROWS
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band of each signature."""
+    weights = np.random.default_rng(16).integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+    parts = sign.reshape(len(sign), BANDS, BAND_ROWS).astype(np.uint64)
+    keys = (parts * weights).sum(2, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
+
+
+def set_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return Hasher(values).ranges(bounds[:-1], bounds[1:]).view(np.int64)
+
+
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """Per row of (doc, text): doc, n_shingles, set_hash (of the whole set), bands (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 values, bounds = shingle_sets(part.column("text"), width)
-                sign = minhashes(values, bounds, number)
-                sizes = np.diff(bounds)
-                whole = Hasher(values).ranges(bounds[:-1], bounds[1:])
+                keys = band_keys(minhashes(values, bounds, BANDS * BAND_ROWS))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc"), pa.array(sizes.astype(np.int32)), pa.array(whole.view(np.int64)),
-                        pa.array([r.tobytes() for r in sign], pa.binary()),
-                        pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
+                        part.column("doc"), pa.array(np.diff(bounds).astype(np.int32)),
+                        pa.array(set_hashes(values, bounds)),
+                        pa.array([r.tobytes() for r in keys], pa.binary()),
                     ],
-                    ["doc", "n_shingles", "set_hash", "sign", "shingles"],
+                    ["doc", "n_shingles", "set_hash", "bands"],
                 )
 
-    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, n_shingles int, set_hash long, sign binary, shingles binary")
+    return rows.mapInArrow(run, f"doc {kind}, n_shingles int, set_hash long, bands binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,22 +159,14 @@ def components(edges: DataFrame) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """Representatives linked through equal bands: node, root.  One star per bucket, so linear."""
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.random.default_rng(16).integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = b"".join(batch.column("sign").to_pylist())
-            sign = np.frombuffer(joined, np.uint32).reshape(batch.num_rows, BANDS, BAND_ROWS)
-            keys = (sign.astype(np.uint64) * weights).sum(2, dtype=np.uint64)
-            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.ravel().view(np.int64)),
-                    batch.column("set_hash").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))),
-                ],
-                ["band", "node"],
-            )
-
-    rows = sets.select("set_hash", "sign").mapInArrow(bands, "band long, node long")
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+                nodes = batch.column("set_hash").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), nodes], ["band", "node"])
+
+    rows = sets.select("set_hash", "bands").mapInArrow(split, "band long, node long")
     # Within a bucket every member is linked to the smallest: hot buckets are combined map-side.
     stars = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     stars = stars.where("low <> high").select("band", "low")
@@ -231,36 +231,31 @@ def jaccard_join(
     ``class_id`` is the smallest id among all documents connected by links; ``n_links`` counts the
     other documents of similarity ``threshold`` or more, copies included.
     """
-    sets = checkpointed(signatures(docs, key, text, width))
+    texts = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sets = checkpointed(signatures(texts, width))
     member = sets.select("doc", "n_shingles", "set_hash")
     real = sets.where("n_shingles > 0")
-    classes = real.groupBy("set_hash").agg(F.count("*").alias("weight"), F.min("doc").alias("low"))
-    # One row per distinct set; only sets in a candidate group travel with their shingles.
-    groups = checkpointed(candidate_groups(real))
-    chosen = groups.join(classes, groups["node"] == classes["set_hash"]).select(
-        "set_hash", "root", "weight", "low"
-    )
-    bodies = real.join(chosen, "set_hash").where(F.col("doc").eqNullSafe(F.col("low")))
-    bodies = bodies.groupBy("set_hash", "root", "weight", "low").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"),
-        F.first("shingles").alias("shingles"),
+    classes = real.groupBy("set_hash").agg(
+        F.count("*").alias("weight"), F.min("doc").alias("low"), F.first("n_shingles").alias("n_shingles")
     )
-    bodies = checkpointed(bodies)
+    # One row per distinct set in a candidate group; its text is fetched once by the smallest id.
+    groups = candidate_groups(real)
+    chosen = groups.join(classes, groups["node"] == classes["set_hash"]).drop("node")
+    chosen = checkpointed(chosen)
     # Blocks of bounded size: a set's block is drawn from its hash, their number from the group's size.
-    sizes = bodies.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
-    sizes = sizes.withColumn(
-        "blocks",
-        F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / 128)).cast("int"),
+    sizes = chosen.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
+    sizes = sizes.select(
+        "root",
+        F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / 128)).cast("int").alias("blocks"),
     )
-    dealt = bodies.join(sizes.select("root", "blocks"), "root").withColumn(
+    dealt = chosen.join(sizes, "root").withColumn(
         "block", F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
     )
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bodies = texts.join(dealt, texts["doc"].eqNullSafe(dealt["low"])).drop("doc")
+    pairs = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = pairs.select(
-        F.xxhash64(
-            "root", F.least("block", "other"), F.greatest("block", "other")
-        ).alias("unit"),
-        "root", "block", "other", "set_hash", "weight", "low", "sign", "shingles",
+        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        "block", "other", "set_hash", "weight", "text",
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,19 +268,19 @@ def jaccard_join(
             block = table.column("block").to_numpy()
             other = table.column("other").to_numpy()
             for a, b in zip(cuts, cuts[1:]):
-                own = np.arange(a, b)
+                values, bounds = shingle_sets(table.column("text").combine_chunks().slice(a, b - a), width)
+                # Rows that repeat the smallest id may hold another text; equal rows count once.
+                right = np.flatnonzero(set_hashes(values, bounds) == nodes[a:b])
+                right = right[np.unique(nodes[a:b][right], return_index=True)[1]]
                 cross = bool((block[a:b] != other[a:b]).any())
                 if cross:
-                    own = own[np.argsort(block[a:b], kind="stable")]
-                split = int((block[own] == block[own].min()).sum()) if cross else 0
-                if cross and split == len(own):
-                    continue  # the other block is empty
-                take = pa.array(own)
-                signs = table.column("sign").take(take).to_pylist()
-                sign = np.frombuffer(b"".join(signs), np.uint32).reshape(len(own), -1)
-                shingles = [
-                    np.frombuffer(x, np.uint64) for x in table.column("shingles").take(take).to_pylist()
-                ]
+                    right = right[np.argsort(block[a:b][right], kind="stable")]
+                own = a + right
+                split = int((block[own] == block[own].min()).sum()) if cross and len(own) else 0
+                if len(own) < 2 or cross and split == len(own):
+                    continue  # alone, or the other block is empty
+                sign = minhashes(values, bounds, BANDS * BAND_ROWS)[right]
+                shingles = [values[bounds[r] : bounds[r + 1]] for r in right]
                 i, j = _links(sign, shingles, weight[own], cross, split, threshold, tolerance)
                 n = np.zeros(len(own), np.int64)
                 np.add.at(n, i, weight[own[j]])
