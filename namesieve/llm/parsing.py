@@ -36,7 +36,7 @@ from namesieve.llm.windows import (
 )
 
 BYTES = 50
-GRAM = 16
+GRAM = 24
 SLICE = 2 << 20
 TABLE = symbol_table(8)
 LAST = np.iinfo(np.int64).max
@@ -54,7 +54,14 @@ def _trigger_arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
     for batch in batches:
         for part in slices(batch, "text", SLICE):
             data, starts = _bytes(part.column("text"))
-            yield window_runs(TABLE[data], starts, length, GRAM)[0]
+            keys, first, _ = window_runs(TABLE[data], starts, length, GRAM)
+            # A trigger counts once a text: repeats inside one text remove nothing.
+            text = np.searchsorted(starts, first, side="right")
+            order = np.lexsort((keys, text))
+            keys, text = keys[order], text[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+            yield keys[new]
 
 
 def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch:
@@ -100,7 +107,7 @@ def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch
             [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(data, first, size).tobytes())],
         )
     # Settled rows need no group: they spread over all tasks.
-    tids = part.column("tid").to_numpy().view(np.uint64)[text]
+    tids = part.column("tid").to_numpy().astype(np.int64).view(np.uint64)[text]
     keys = np.where(size > 0, keys, mix(first.astype(np.uint64) ^ content ^ tids))
     return pa.RecordBatch.from_arrays(
         [
@@ -200,7 +207,7 @@ def earlier_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """Byte ranges covered by ``length``-byte strings that start in a smaller document."""
     rows = _rows(docs, key, text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = merged_sketch(rows.select("text"), lambda b: _trigger_arrays(b, length), size / 16)
+    sketch = merged_sketch(rows.select("text"), lambda b: _trigger_arrays(b, length), size / 14)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +220,9 @@ def earlier_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield later_spans(table, length)
 
     rows = rows.withColumn("doc", F.col("doc").cast("long"))
-    parse = rows.mapInArrow(emit, "key long, doc long, tid long, start int, n int, phrase binary")
+    parse = rows.mapInArrow(emit, "key long, doc long, tid int, start int, n int, phrase binary")
     return parse.repartition("key").sortWithinPartitions("key").mapInArrow(
-        group, "doc long, tid long, start int, length int"
+        group, "doc long, tid int, start int, length int"
     )
 
 

@@ -68,7 +68,7 @@ def candidate_runs(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.Reco
     copies 0 and no words, and are known to be repeated.
     """
     words = Words(part.column("text"))
-    tids = part.column("tid").to_numpy().view(np.uint64)
+    tids = part.column("tid").to_numpy().astype(np.int64).view(np.uint64)
     keys, first, count = window_runs(words.hashes, words.starts, length, GRAM)
     keep = sketch.repeated(keys)
     keys, first, count = keys[keep], first[keep], count[keep]
@@ -165,16 +165,16 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield repeated_spans(table, length)
 
     runs = rows.mapInArrow(
-        emit, f"key long, doc {kind}, tid long, start int, n int, copies int, words binary"
+        emit, f"key long, doc {kind}, tid int, start int, n int, copies int, words binary"
     )
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(
-        group, f"doc {kind}, tid long, start int, length int"
+        group, f"doc {kind}, tid int, start int, length int"
     )
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("tid", F.xxhash64("text"))
+    return rows.withColumn("tid", F.hash("text"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
