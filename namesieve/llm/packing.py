@@ -245,6 +245,10 @@ def _repack(frame: pd.DataFrame, capacity: int, tag: int) -> pd.DataFrame:
     return _places(frame)
 
 
+def _repacker(capacity: int, tag: int, columns: list[str]):
+    return lambda frame: _repack(frame, capacity, tag)[columns]
+
+
 def pack(
     pieces: DataFrame,
     capacity: int = CAPACITY,
@@ -273,14 +277,11 @@ def pack(
         stay, pool = packed.where(~open_), packed.where(open_)
         groups = max(1, -(-parts // merge ** (k + 1)))
         pool = pool.withColumn("pool", F.pmod(F.xxhash64("part"), F.lit(groups)))
-        tag = (k + 1) << 40
-        again = pool.groupBy("pool").applyInPandas(
-            lambda frame, tag=tag: _repack(frame, capacity, tag)[columns], schema
-        )
+        again = pool.groupBy("pool").applyInPandas(_repacker(capacity, (k + 1) << 40, columns), schema)
         packed = stay.unionByName(again)
     return packed.select(
         *names,
-        (F.col("part") * (1 << 22) + F.col("bin")).alias("sequence_id"),
+        (F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"),
         "offset",
         "gap",
     )
