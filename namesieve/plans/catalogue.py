@@ -428,7 +428,7 @@ def _mapping(spark, sf):
     """Abbreviations: the words of benchmark, replaced by the word and its length."""
     words = table(spark, sf, "benchmark").select(
         F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("abbreviation"), F.col("item_id")
-    ).where("length(abbreviation) >= 4")
+    ).where("abbreviation <> ''")
     return tokens.last_mapping(
         words.select(
             "abbreviation",
@@ -647,16 +647,18 @@ def _nested(spark, sf):
     """Every document as a parent with its pieces as child variants."""
     docs = table(spark, sf, "documents")
     child = F.transform(F.split("text", inputs.PIECE), lambda p: F.struct(p.alias("variant.name")))
-    return docs.select(
-        F.struct(
-            F.array(
-                F.struct(
-                    F.col("doc_id").cast("string").alias("id"),
-                    F.concat_ws(" ", "lang", "source").alias("name"),
-                    F.when(F.col("lang") != "es", child).alias("_childDocuments_"),
-                )
-            ).alias("docs")
-        ).alias("response")
+    with_children = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.concat_ws(" ", "lang", "source").alias("name"),
+        child.alias("_childDocuments_"),
+    )
+    # Nations are parents without children.
+    without = table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"),
+        F.lit(None).cast(with_children.schema["_childDocuments_"].dataType).alias("_childDocuments_"),
+    )
+    each = with_children.unionByName(without)
+    return each.select(
+        F.struct(F.array(F.struct("id", "name", "_childDocuments_")).alias("docs")).alias("response")
     )
 
 

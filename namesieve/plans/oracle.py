@@ -263,7 +263,7 @@ SQL["last_mapping"] = """SELECT lower(o_orderpriority) AS abbreviation,
  max_by(o_orderstatus || '-' || o_custkey, o_orderkey) AS replacement FROM orders GROUP BY 1"""
 MAP = (
     "map AS (SELECT a AS abbreviation, a || '_' || max(item_id) AS replacement FROM (SELECT item_id,"
-    " unnest(string_split_regex(lower(text), '[^a-z]+')) AS a FROM benchmark) WHERE length(a) >= 4 GROUP BY a)"
+    " unnest(string_split_regex(lower(text), '[^a-z]+')) AS a FROM benchmark) WHERE a <> '' GROUP BY a)"
 )
 SQL["translate_tokens"] = f"""WITH {MAP}, w AS (SELECT doc_id, {words('text')} AS ws FROM documents),
  t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
@@ -409,7 +409,8 @@ SQL["enumerate_elements"] = f"""WITH c AS (SELECT page_id, unnest(p) AS html, CA
 
 # ---------------------------------------------------------------- data sets
 SQL["nested_docs"] = f"""WITH {SEG}, u AS (SELECT lang || ' ' || source AS input, doc_id::VARCHAR AS id, 'name' AS name_type FROM documents
- UNION ALL SELECT input, doc_id::VARCHAR, 'variant' FROM seg WHERE lang <> 'es') SELECT input, id, name_type, count(*) AS n FROM u GROUP BY ALL"""
+ UNION ALL SELECT input, doc_id::VARCHAR, 'variant' FROM seg
+ UNION ALL SELECT n_name, n_nationkey::VARCHAR, 'name' FROM nation) SELECT input, id, name_type, count(*) AS n FROM u GROUP BY ALL"""
 SQL["variant_docs"] = f"WITH {SEG} SELECT doc_id::VARCHAR AS id, count(*) AS n, max(input) AS last_input FROM seg GROUP BY doc_id"
 SQL["union_sources"] = """WITH u AS (SELECT s_name AS input, 'SPE' AS label, 1.0::DOUBLE AS numdocs, NULL::BIGINT AS id FROM supplier
  UNION ALL SELECT p_name, 'GEN', NULL, p_partkey FROM part) SELECT input, label, numdocs, count(*) AS n, max(id) AS last_id FROM u GROUP BY input, label, numdocs"""
