@@ -45,6 +45,13 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)]
 
 
+@pytest.fixture(scope="module")
+def shipped(spark):
+    from namesieve.llm.ship import ship
+
+    return ship(spark)
+
+
 @pytest.fixture(scope="module")
 def docs(shipped):
     # Extra columns whose names the operators use themselves.
