@@ -65,9 +65,11 @@ def _trigger_arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 
 def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch:
-    """Phrases whose trigger may repeat: key, doc, tid, start, n, first (smallest document), phrase.
+    """Phrases whose trigger may repeat: key, doc, tid, start, n, cut, phrase.
 
-    Equal phrases of the slice share one row with bytes, of the smallest document.
+    Equal phrases of the slice share one row with bytes, of the smallest document.  The trigger's own
+    bytes follow from the key, so they are left out where it stands once in its phrase: ``cut`` is
+    their place.  Elsewhere ``cut`` is -1 less the place of one of them.
     """
     data, starts = _bytes(part.column("text"))
     symbols = TABLE[data]
@@ -81,43 +83,81 @@ def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch
         keys = np.concatenate([keys[~hot], hasher.ranges(single, single + length)])
         first = np.concatenate([first[~hot], single])
         count = np.concatenate([count[~hot], np.ones(len(single), np.int64)])
+    cut = trigger_places(hasher, keys, first, count, length)
     content = hasher.ranges(first, first + count + length - 1)
     text = np.searchsorted(starts, first, side="right") - 1
     docs = pc.fill_null(part.column("doc"), LAST).to_numpy()[text]
     order = np.lexsort((docs, content, keys))
     keys, first, count, content = keys[order], first[order], count[order], content[order]
-    text, docs = text[order], docs[order]
+    text, docs, cut = text[order], docs[order], cut[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (content[1:] != content[:-1])
     lowest = docs[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else docs
-    size = np.where(new, count + length - 1, 0)
-    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    blobs = pa.BinaryArray.from_buffers(
-        pa.binary(), len(size),
-        [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(data, first, size).tobytes())],
-    )
     # A merged row of a larger document is settled; one of the same document needs the bytes' verdict
     # and is kept with them.
-    equal = ~new & (docs == lowest)
-    if equal.any():
-        size = np.where(new | equal, count + length - 1, 0)
-        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        blobs = pa.BinaryArray.from_buffers(
-            pa.binary(), len(size),
-            [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(data, first, size).tobytes())],
-        )
+    bodied = new | (docs == lowest)
+    size = np.where(bodied, count + length - 1, 0)
+    shorter = bodied & (cut >= 0)
+    head = np.where(shorter, cut, size)
+    skip = np.where(shorter, cut + GRAM, size)
+    parts = np.stack([first, first + skip], 1).ravel(), np.stack([head, size - skip], 1).ravel()
+    offsets = np.concatenate(([0], np.cumsum(head + size - skip))).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(
+        pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(data, *parts).tobytes())]
+    )
     # Settled rows need no group: they spread over all tasks.
     tids = part.column("tid").to_numpy().astype(np.int64).view(np.uint64)[text]
     keys = np.where(size > 0, keys, mix(first.astype(np.uint64) ^ content ^ tids))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(keys.view(np.int64)), pa.array(docs), part.column("tid").take(pa.array(text)),
-            pa.array((first - starts[text]).astype(np.int32)), pa.array(count.astype(np.int32)), blobs,
+            pa.array((first - starts[text]).astype(np.int32)), pa.array(count.astype(np.int32)),
+            pa.array(cut.astype(np.int32)), blobs,
         ],
-        ["key", "doc", "tid", "start", "n", "phrase"],
+        ["key", "doc", "tid", "start", "n", "cut", "phrase"],
     )
 
 
+def trigger_places(hasher: Hasher, keys: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Place of the trigger in each phrase if it stands there once, else -1 less its last known place."""
+    grams = mix(hasher.every(GRAM))
+    found = np.zeros(len(keys), np.int64)
+    place = np.zeros(len(keys), np.int64)
+    last = count + length - 1 - GRAM
+    for d in range(2 * (length - GRAM) + 1):
+        at = np.flatnonzero(last >= d)
+        at = at[grams[first[at] + d] == keys[at]]
+        found[at] += 1
+        place[at] = d
+    # Runs longer than windows around one trigger repeat it.
+    return np.where((found == 1) & (count <= length - GRAM + 1), place, -1 - place)
+
+
+def whole_phrases(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, cut: np.ndarray):
+    """Phrases with their triggers' bytes again, and their bounds.
+
+    Where no phrase of a trigger has them, a byte that no text has stands for each: all windows hold
+    the whole trigger, at the place where it stands once, so equality is the same.
+    """
+    size = np.diff(bounds)
+    shorter = (cut >= 0) & (size > 0)
+    wide = np.concatenate(([0], np.cumsum(size + GRAM * shorter)))
+    whole = np.full(wide[-1], 255, np.uint8)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - bounds[row]
+    whole[wide[row] + place + GRAM * (shorter[row] & (place >= cut[row]))] = data
+    full = np.flatnonzero((cut < 0) & (size > 0))
+    if len(full) and shorter.any():
+        known, at = np.unique(keys[full], return_index=True)
+        mine = np.flatnonzero(shorter)
+        place = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
+        same = known[place] == keys[mine]
+        mine, like = mine[same], full[at[place[same]]]
+        step = np.arange(GRAM)
+        whole[(wide[mine] + cut[mine])[:, None] + step] = whole[(wide[like] - 1 - cut[like])[:, None] + step]
+    return whole, wide
+
+
 def later_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     """Byte ranges of whole trigger groups that also start in a smaller document."""
     table = table.combine_chunks()
@@ -126,6 +166,7 @@ def later_spans(table: pa.Table, length: int) -> pa.RecordBatch:
     count = table.column("n").to_numpy().astype(np.int64)
     start = table.column("start").to_numpy().astype(np.int64)
     data, bounds = _bytes(table.column("phrase").combine_chunks())
+    data, bounds = whole_phrases(data, bounds, keys, table.column("cut").to_numpy().astype(np.int64))
     size = np.diff(bounds)
     settled = size == 0
     symbols = TABLE[data]
@@ -220,7 +261,7 @@ def earlier_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield later_spans(table, length)
 
     rows = rows.withColumn("doc", F.col("doc").cast("long"))
-    parse = rows.mapInArrow(emit, "key long, doc long, tid int, start int, n int, phrase binary")
+    parse = rows.mapInArrow(emit, "key long, doc long, tid int, start int, n int, cut int, phrase binary")
     return parse.repartition("key").sortWithinPartitions("key").mapInArrow(
         group, "doc long, tid int, start int, length int"
     )
