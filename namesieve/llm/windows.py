@@ -7,6 +7,7 @@ neighbours with one key travels as one row that holds all their symbols.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,7 +163,7 @@ class Sketch:
             self.map = np.zeros(Sketch.ROWS << self.bits >> 3, np.uint8)
             for block, data in self.blocks:
                 at = block * (BLOCK >> 3)
-                self.map[at : at + len(data)] = np.frombuffer(data, np.uint8)
+                self.map[at : at + (BLOCK >> 3)] = np.frombuffer(zlib.decompress(data), np.uint8)
             self.blocks = []
         return self.map
 
@@ -201,8 +202,11 @@ def merged_sketch(rows: DataFrame, key_arrays, expected_keys: float, hot_share:
             block = at // BLOCK
             cut = np.flatnonzero(np.diff(block, prepend=-1))
             ends = [*cut[1:], len(at)]
-            low, n = (at % BLOCK).astype("<u2"), np.minimum(n, 65_535).astype("<u2")
-            pairs = [(low[a:b].tobytes(), n[a:b].tobytes() if (n[a:b] > 1).any() else b"") for a, b in zip(cut, ends)]
+            # Gaps between a block's counters are mostly below 256, so their upper bytes compress away.
+            gap = np.diff(at, prepend=0)
+            gap[cut] = at[cut] % BLOCK
+            n = np.minimum(n, 65_535)
+            pairs = [(planes(gap[a:b]), planes(n[a:b]) if (n[a:b] > 1).any() else b"") for a, b in zip(cut, ends)]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(block[cut], pa.int32()),
@@ -228,9 +232,9 @@ def merged_sketch(rows: DataFrame, key_arrays, expected_keys: float, hot_share:
                 own = table.filter(pa.array(blocks == block))
                 total = np.zeros(BLOCK, np.int64)
                 for at, n in zip(own.column("at").to_pylist(), own.column("n").to_pylist()):
-                    total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2") if n else 1
+                    total[np.cumsum(from_planes(at))] += from_planes(n) if n else 1
                 hot = np.flatnonzero(total >= hot_at) + int(block) * BLOCK
-                packed = np.packbits(total >= 2, bitorder="little").tobytes()
+                packed = zlib.compress(np.packbits(total >= 2, bitorder="little").tobytes(), 1) if (total >= 2).any() else b""
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int32()), pa.array([packed]), pa.array([hot.tolist()], pa.list_(pa.int64()))],
                     ["block", "repeated", "hot"],
@@ -243,11 +247,21 @@ def merged_sketch(rows: DataFrame, key_arrays, expected_keys: float, hot_share:
     found = merged.collect()
     return Sketch(
         bits,
-        [(r["block"], bytes(r["repeated"])) for r in found if any(r["repeated"])],
+        [(r["block"], bytes(r["repeated"])) for r in found if r["repeated"]],
         [h for r in found for h in r["hot"]],
     )
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 65,536: all lower bytes, then all upper bytes."""
+    return (values & 255).astype(np.uint8).tobytes() + (values >> 8).astype(np.uint8).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint8).reshape(2, -1).astype(np.int64)
+    return low + (high << 8)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 30_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that hold whole groups of a stream sorted by ``key``."""
     waiting: list[pa.RecordBatch] = []
