@@ -35,6 +35,10 @@ from namesieve.operators.tokens import (
 )
 
 
+# Every term of enough documents is kept: the stage's own limit would drop the rest silently.
+ALL_TERMS = 2**31 - 1
+
+
 @dataclass(frozen=True)
 class FeatureOptions:
     """Which feature groups are built; defaults are the chosen configuration."""
@@ -158,7 +162,8 @@ def _tag_stages(column: str, opts: FeatureOptions, ngrams: tuple[int, int], join
         stages += [
             SQLTransformer(statement=f"SELECT *, array(array_join({column}, '_')) AS {column}_joined FROM __THIS__"),
             CountVectorizer(
-                inputCol=f"{column}_joined", outputCol=f"{column}_jv", minDF=opts.min_df_joined, binary=True
+                inputCol=f"{column}_joined", outputCol=f"{column}_jv", minDF=opts.min_df_joined, binary=True,
+                vocabSize=ALL_TERMS,
             ),
         ]
         outs.append(f"{column}_jv")
@@ -170,7 +175,7 @@ def _tag_stages(column: str, opts: FeatureOptions, ngrams: tuple[int, int], join
         SQLTransformer(statement=f"SELECT *, concat({', '.join(parts)}) AS {column}_grams FROM __THIS__"),
         CountVectorizer(
             inputCol=f"{column}_grams", outputCol=f"{column}_gv",
-            minDF=opts.min_df_ngrams if joined else 1.0, binary=True,
+            minDF=opts.min_df_ngrams if joined else 1.0, binary=True, vocabSize=ALL_TERMS,
         ),
     ]
     return stages, [*outs, f"{column}_gv"]

@@ -92,14 +92,20 @@ def _labels_per_record(labels: DataFrame, keys: list[str], label: str) -> DataFr
 
 
 def _rewrite(xml: str, tags: tuple[str, ...], new_tag: str) -> Column:
-    """Rebuild ``xml`` with each opening tag ``t`` number ``i`` replaced by ``new_tag``."""
-    pattern = sql_string("(?s)" + open_tag(tags))
-    opens = f"regexp_extract_all({xml}, {pattern}, 0)"
+    """Rebuild ``xml`` with the opening tag ``t`` of each element number ``i`` replaced by ``new_tag``.
+
+    Elements are found as :func:`extract_tagged` finds them, so numbers mean the same; opening tags
+    inside an element or without a closing tag stay as they are.
+    """
+    pattern = sql_string(element(tags))
+    opening = sql_string("(?s)^" + open_tag(tags))
+    found = f"transform(regexp_extract_all({xml}, {pattern}, 0), e -> named_struct('e', e, 't', regexp_extract(e, {opening}, 0)))"
     between = f"split({xml}, {pattern})"
     return F.expr(
-        f"""element_at(transform(array(named_struct('o', {opens}, 's', {between})),
+        f"""element_at(transform(array(named_struct('o', {found}, 's', {between})),
               x -> concat(
-                array_join(transform(x.o, (t, i) -> concat(get(x.s, i), {new_tag})), ''),
+                array_join(transform(transform(x.o, o -> o.t),
+                  (t, i) -> concat(get(x.s, i), {new_tag}, substring(get(x.o, i).e, length(t) + 1))), ''),
                 element_at(x.s, -1))), 1)"""
     )
 
@@ -112,7 +118,7 @@ def annotate_tagged(
     label: str = "prediction",
     tags: tuple[str, ...] = fixed.ORG_TAGS,
 ) -> DataFrame:
-    """Add ``type="g"`` or ``type=""`` to every opening tag, by ordinal."""
+    """Add ``type="g"`` or ``type=""`` to the opening tag of every element, by ordinal."""
     marks = _labels_per_record(labels, keys, label)
     tag = "concat(substring(t, 1, length(t) - 1), ' type=\"', coalesce(get(marks, i), ''), '\">')"
     return (

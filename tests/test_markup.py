@@ -57,6 +57,19 @@ def test_annotations_round_trip(spark):
     assert got[4].annotated.count('type="g"') == 1 and not got[4].missing_attr
 
 
+def test_labels_of_nested_and_open_elements(spark):
+    """A label finds the element that extraction numbered, whatever is nested or left open."""
+    rows = [(1, "<org>A<org>B</org></org><org>C</org>"), (2, "<org>D</org><org>open"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "k int, xml string")
+    labels = markup.extract_tagged(df, ["k"]).withColumn(
+        "prediction", F.when(F.col("text").isin("C", "D"), "GEN").otherwise("SPE")
+    )
+    got = {r.k: r.annotated for r in markup.annotate_tagged(df, labels, ["k"]).collect()}
+    assert got == {
+        1: '<org type="">A<org>B</org></org><org type="g">C</org>', 2: '<org type="g">D</org><org>open', 3: None, 4: "",
+    }
+
+
 def test_validation_reasons(spark):
     got = {r.k: r.reject_reason for r in markup.validate_tagged(frame(spark)).collect()}
     assert got == {
