@@ -21,6 +21,7 @@ left out.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -272,27 +273,40 @@ def remove_earlier(
 ) -> DataFrame:
     """Per document: ``key, n_bytes, n_removed, n_spans, kept_sha256, kept`` (binary)."""
     rows = _rows(docs, key, text).withColumn("doc", F.col("doc").cast("long"))
-    joined = with_spans(rows, earlier_matches(docs, key, text, length))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts meet their spans by a shuffle, in which they travel compressed.
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                out = []
-                for body, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    data = np.frombuffer(body.encode(), np.uint8)
-                    gone = covered(spans, len(data))
-                    kept = data[~gone].tobytes() if spans else data.tobytes()
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-                n, removed, runs, sha, kept = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                        pa.array(runs, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()),
-                    ],
-                    ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                )
+                packed = [zlib.compress(t.encode(), 1) for t in part.column("text").to_pylist()]
+                columns = [part.column("doc"), part.column("tid"), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "tid", "text"])
+
+    packed = rows.mapInArrow(pack, "doc long, tid int, text binary")
+    joined = with_spans(packed, earlier_matches(docs, key, text, length))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for row in range(batch.num_rows):
+                doc, body, spans = (batch.column(c)[row].as_py() for c in ("doc", "text", "spans"))
+                data = np.frombuffer(zlib.decompress(body), np.uint8)
+                gone = covered(spans, len(data))
+                kept = data[~gone].tobytes() if spans else data.tobytes()
+                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                out.append((doc, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+                size += len(kept)
+                if size >= SLICE:
+                    yield _digests(out)
+                    out, size = [], 0
+            yield _digests(out)
 
     return joined.mapInArrow(
         cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     ).withColumnRenamed("doc", key)
+
+
+def _digests(out: list[tuple]) -> pa.RecordBatch:
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(6)], names)
