@@ -32,8 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
     """Model of the rows outside the held-out quarter."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id")
+    train = toxicity.labelled_texts(docs.where(~held_out()), labels.where(~held_out()))
     return toxicity.fit_toxicity(docs, train)
 
 

@@ -195,6 +195,30 @@ class ToxicModel:
     words: dict[str, float]  # probability that a document with the word is toxic, beyond the base
 
 
+def labelled_texts(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    max_labelled: int = 200_000,
+) -> DataFrame:
+    """Rows ``key, text, label`` of ``docs`` that ``labels`` covers; texts are never shuffled.
+
+    Beyond ``max_labelled`` labelled ids a share of about that many is drawn by the hash of the id,
+    so what is broadcast has a bound (an id and an integer for each).  An id with several labels
+    takes the largest; null ids and null labels are left out.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    known = known.groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
+    n = known.count()
+    if n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < max_labelled)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    joined = texts.join(F.broadcast(known), F.col("_key") == F.col("_id"))
+    return joined.select(F.col("_key").alias(key), F.col("_text").alias(text), F.col("_label").alias(label))
+
+
 def fit_toxicity(
     docs: DataFrame,
     train: DataFrame,

@@ -259,6 +259,21 @@ def test_posterior_bounds():
     assert need == sorted(need) and 0 < need[0] < 16 and need[-1] < 80
 
 
+def test_labelled_texts(shipped):
+    docs = shipped.createDataFrame(
+        [(i, f"t{i}", "x") for i in (None, 1, 1, 2, 3, 4)], "doc_id long, text string, _label string"
+    )
+    labels = shipped.createDataFrame(
+        [(None, 1, 5), (1, 0, 5), (1, 1, 5), (2, None, 5), (3, 0, 5), (9, 1, 5)], "doc_id long, toxic int, text int"
+    )
+    found = sorted(map(tuple, toxicity.labelled_texts(docs, labels).collect()))
+    assert found == [(1, "t1", 1), (1, "t1", 1), (3, "t3", 0)]
+    assert toxicity.labelled_texts(docs, labels.where("false")).count() == 0
+    many = shipped.range(2000).selectExpr("id doc_id", "'a' text", "cast(id % 2 as int) toxic")
+    few = toxicity.labelled_texts(many.drop("toxic"), many, max_labelled=500)
+    assert 400 < few.count() < 600 and "Broadcast" in few._jdf.queryExecution().toString()
+
+
 def test_toxicity(shipped):
     draw = random.Random(2)
     clean = [a + b + c for a in ("riv", "mount", "qui", "gard", "lett") for b in ("er", "ain", "et", "en") for c in ("", "s", "ly", "ing", "ed")]
