@@ -10,7 +10,8 @@ has few phrases, so the sorted part stays small however often they occur.
 
 A sketch of the triggers leaves out phrases whose trigger stands once in the corpus; it loses none.
 Equal phrases of a slice are merged before the shuffle, and phrases of very frequent triggers are
-split into their windows.
+split into their windows.  Phrases travel compressed, a block for each bucket of triggers; the number
+of buckets grows with the input, so a bucket's size does not.
 
 Defined results: matches never cross documents; a null text is empty; shorter texts keep all bytes;
 a match inside one document alone removes nothing; rows of equal id count as one document and are
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from namesieve.llm.chunks import gather, slices
 from namesieve.llm.substrings import _rows, with_spans
 from namesieve.llm.windows import (
-    Hasher, Sketch, covered, merged_sketch, mix, spans_of, symbol_table, whole_groups, window_runs,
+    Hasher, Sketch, covered, merged_sketch, mix, spans_of, symbol_table, window_runs,
 )
 
 BYTES = 50
@@ -41,6 +42,15 @@ GRAM = 24
 SLICE = 2 << 20
 TABLE = symbol_table(8)
 LAST = np.iinfo(np.int64).max
+BUCKET_BYTES = 3 << 20  # text for each bucket, whose phrases are about 128,000 at most
+FLUSH_ROWS = 200_000
+GROUP_ROWS = 30_000
+PARSE = pa.schema(
+    [
+        ("key", pa.int64()), ("doc", pa.int64()), ("tid", pa.int32()), ("start", pa.int32()),
+        ("n", pa.int32()), ("cut", pa.int32()), ("phrase", pa.binary()),
+    ]
+)
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +125,66 @@ def phrases(part: pa.RecordBatch, sketch: Sketch, length: int) -> pa.RecordBatch
             pa.array((first - starts[text]).astype(np.int32)), pa.array(count.astype(np.int32)),
             pa.array(cut.astype(np.int32)), blobs,
         ],
-        ["key", "doc", "tid", "start", "n", "cut", "phrase"],
+        schema=PARSE,
     )
 
 
+def packed(parts: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of phrases: bucket, block.  A bucket holds whole groups of its keys."""
+
+    def flush(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        keys = table.column("key").to_numpy()
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        rows, bucket = table.take(pa.array(order)).combine_chunks().to_batches()[0], bucket[order]
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cut[1:], len(bucket))
+        blocks = [zlib.compress(rows.slice(a, b - a).serialize(), 1) for a, b in zip(cut.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cut], pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"]
+        )
+
+    waiting, size = [], 0
+    for part in parts:
+        if part.num_rows:
+            waiting.append(part)
+            size += part.num_rows
+        if size >= FLUSH_ROWS:
+            yield flush(waiting)
+            waiting, size = [], 0
+    if size:
+        yield flush(waiting)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ``GROUP_ROWS`` phrases that hold whole groups, from blocks sorted by bucket."""
+
+    def groups(blocks: list[bytes]) -> Iterator[pa.Table]:
+        read = [pa.ipc.read_record_batch(pa.py_buffer(zlib.decompress(b)), PARSE) for b in blocks]
+        table = pa.Table.from_batches(read).combine_chunks()
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        # Groups may end only where the key changes.
+        ends = np.append(np.flatnonzero(np.diff(keys[order])) + 1, len(order))
+        begin = 0
+        while begin < len(order):
+            end = int(ends[min(np.searchsorted(ends, begin + GROUP_ROWS), len(ends) - 1)])
+            yield table.take(pa.array(order[begin:end]))
+            begin = end
+
+    current, blocks = None, []
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if bucket != current and blocks:
+                yield from groups(blocks)
+                blocks = []
+            current = bucket
+            blocks.append(block.as_py())
+    if blocks:
+        yield from groups(blocks)
+
+
 def trigger_places(hasher: Hasher, keys: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """Place of the trigger in each phrase if it stands there once, else -1 less its last known place."""
     grams = mix(hasher.every(GRAM))
@@ -252,18 +318,19 @@ def earlier_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     sketch = merged_sketch(rows.select("text"), lambda b: _trigger_arrays(b, length), size / 14)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
+    buckets = 1 + size // BUCKET_BYTES
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                yield phrases(part, shared.value, length)
+        parts = (part for batch in batches for part in slices(batch, "text", SLICE))
+        return packed((phrases(part, shared.value, length) for part in parts), buckets)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key"):
+        for table in whole_buckets(batches):
             yield later_spans(table, length)
 
     rows = rows.withColumn("doc", F.col("doc").cast("long"))
-    parse = rows.mapInArrow(emit, "key long, doc long, tid int, start int, n int, cut int, phrase binary")
-    return parse.repartition("key").sortWithinPartitions("key").mapInArrow(
+    parse = rows.mapInArrow(emit, "bucket long, block binary")
+    return parse.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         group, "doc long, tid int, start int, length int"
     )
 

@@ -57,3 +57,24 @@ def test_phrases_without_triggers(hot):
         for s in spans.to_pylist():
             found[s["doc"]][s["start"] : s["start"] + s["length"]] = True
         assert all((a == b).all() for a, b in zip(found, expected(texts))), seed
+
+
+def test_blocks_hold_whole_groups(monkeypatch):
+    """Every phrase comes back once, in tables that part no group."""
+    monkeypatch.setattr(parsing, "FLUSH_ROWS", 700)
+    monkeypatch.setattr(parsing, "GROUP_ROWS", 300)
+    draw = np.random.default_rng(3)
+    parts = []
+    for size in (0, 500, 1, 900, 2500):
+        keys = draw.integers(-60, 60, size) * 10**15
+        columns = [keys, draw.integers(0, 99, size)] + [draw.integers(0, 9, size).astype(np.int32) for _ in range(4)]
+        columns.append(pa.array([bytes(str(k), "ascii") * 3 for k in keys], pa.binary()))
+        parts.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=parsing.PARSE))
+    blocks = pa.Table.from_batches(list(parsing.packed(iter(parts), 7))).sort_by("bucket")
+    assert len(set(blocks.column("bucket").to_pylist())) == 7
+    tables = list(parsing.whole_buckets(blocks.to_batches(max_chunksize=3)))
+    rows = [tuple(r.values()) for t in tables for r in t.to_pylist()]
+    assert sorted(rows) == sorted(tuple(r.values()) for p in parts for r in p.to_pylist())
+    keys = [set(t.column("key").to_pylist()) for t in tables]
+    assert len(tables) > 7 and sum(map(len, keys)) == len(set().union(*keys))
+    assert not list(parsing.packed(iter(parts[:1]), 7)) and not list(parsing.whole_buckets(iter([])))
