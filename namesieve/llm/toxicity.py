@@ -34,6 +34,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = " .,-_*'`~^:;/\\"
+EDGE = ".,;:!?)(*#$%&\"'[]{}<>|»«…-_"  # punctuation around a word; some of it is in LEET
 REPLACE, SKIP_REPEAT, DROP, JOIN, BREAK = 0.7, 0.3, 4.0, 0.2, 0.5
 LOSE = 3.0  # more, if the character has letters to stand for
 N = 27  # boundary and a-z
@@ -106,13 +107,20 @@ class Restorer:
             found += [("", DROP + lose), (" ", BREAK + lose)]
         return found
 
-    def decode(self, text: str) -> str:
-        """Viterbi search over states of the last two characters."""
+    def decode(self, text: str, begin: int = 0, end: int | None = None) -> str:
+        """Viterbi search over states of the last two characters.
+
+        Before ``begin`` and from ``end`` on, what can be a letter is one.
+        """
+        end = len(text) if end is None else end
         costs = self.costs
         states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, " "): (0.0, "")}
         for i in range(len(text)):
             after: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for out, price in self.options(text, i):
+            options = self.options(text, i)
+            if not begin <= i < end and text[i] in LEET:
+                options = [(x, price) for x, price in options if x.isalpha()]
+            for out, price in options:
                 for (a, b, last), (cost, done) in states.items():
                     if not out:
                         state, total, word = (a, b, last), cost + price, done
@@ -134,26 +142,41 @@ class Restorer:
         found = self.cache.get(token)
         if found is None:
             low = token.lower()
-            core = low.strip(".,;:!?)(*#$%&\"'[]{}<>|»«…-_")
-            if core.isalpha() and not _repeats(core):
-                found = [core]
-            elif "\n" in low or "\t" in low or "\r" in low:
+            core = low.strip(EDGE)
+            wider = _wider(low)
+            if "\n" in low or "\t" in low or "\r" in low:
                 found = [w for x in low.split() for w in self.token(x)]
-            elif not core:
-                found = []
-            elif core.isnumeric():
-                found = [core]
+            elif core.isnumeric() and sum(c in LEET for c in low) <= sum(c in LEET for c in core) + 1:
+                found = [core]  # a number or a price
             else:
-                # Symbols at the end may be letters, as in a55 or a$$: try with and without.
-                ends = {core, low.rstrip(".,;:?").lstrip("\"'([{<")}
-                found = list(dict.fromkeys(w for x in sorted(ends) for w in self.decode(x).split()))
-                found += [w for w in [core] if w.isalpha() and w not in found]
+                # Symbols at the ends may be letters, as in a$$ or $tupid!: each may belong to the word.
+                plain = core.isnumeric() or core.isalpha() and not _repeats(core)
+                found = [core] if plain else self.decode(core).split()
+                found += [w for x in wider for w in self.decode(*x).split()]
+                found += [w for w in [core] if w.isalpha()]
+                found = list(dict.fromkeys(found))
             if len(self.cache) >= MAX_CACHE:
                 self.cache.clear()
             self.cache[token] = found
         return found
 
 
+def _wider(low: str) -> list[tuple[str, int, int]]:
+    """A token's core with LEET characters around it: text, begin and end of the core in it.
+
+    A stretch of equal characters is taken whole or not at all.  Words of more than 40 letters are
+    not learned, so no more than 40 stretches a side are looked at.
+    """
+    if not (low[:1] in EDGE or low[-1:] in EDGE):
+        return []
+    head = len(low) - len(low.lstrip(EDGE))
+    tail = max(head, len(low.rstrip(EDGE)))
+    begins = [i for i in range(head) if low[i] in LEET and (not i or low[i - 1] != low[i])][-40:] + [head]
+    ends = [tail] + [i + 1 for i in range(tail, len(low)) if low[i] in LEET and low[i + 1 : i + 2] != low[i]][:40]
+    cuts = {(low[a:b], head - a, tail - a) for a in begins for b in ends if (a, b) != (head, tail) and a < b}
+    return sorted(cuts)
+
+
 def _repeats(word: str) -> bool:
     """Whether some letter stands three times in a row."""
     return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
@@ -166,8 +189,14 @@ def restored(texts: pa.Array, restore: Restorer):
     last word being all of the run.
     """
     distinct, codes, starts = chunked(texts)
-    stems, stem_of, _, _ = split_tails(distinct)
-    words = [restore.token(s) for s in stems]
+    stems, stem_of, tails, tail_of = split_tails(distinct)
+    # Tails with characters that stand for letters stay with their stems.
+    whole = np.flatnonzero(np.fromiter((any(c in LEET for c in t) for t in tails), bool, len(tails))[tail_of])
+    chunks = [*stems, *(stems[stem_of[i]] + tails[tail_of[i]] for i in whole.tolist())]
+    words = [restore.token(s) for s in chunks]
+    stems += [stems[stem_of[i]] for i in whole.tolist()]
+    stem_of = stem_of.copy()
+    stem_of[whole] = len(stems) - len(whole) + np.arange(len(whole))
     codes = stem_of[codes]
     single = np.fromiter(
         (len(s) == 1 and (s.isalnum() or s in "@$!|+") for s in stems), bool, len(stems)

@@ -301,6 +301,28 @@ def test_toxicity(shipped):
     assert {r.score for r in toxicity.score(df, nothing).collect()} == {0.0}
 
 
+@pytest.fixture(scope="module")
+def toxic_words(shipped):
+    """A model of three words, and a scorer of documents about quiet gardens."""
+    lines = ["the quiet idiot garden", "a moron walks in the worthless garden", "stupid clown stones", "loser of the river"]
+    counts = toxicity.char_counts(shipped.createDataFrame([(x,) for x in lines * 50], "text string"))
+    names = ("idiot", "moron", "scum", "ass", "stupid", "clown", "loser", "worthless")
+    model = toxicity.ToxicModel(toxicity.char_costs(counts), 0.01, dict.fromkeys(names, 0.9))
+
+    def found(forms):
+        df = shipped.createDataFrame([(i, f"the quiet garden {w} walks") for i, w in enumerate(forms)], "doc_id long, text string")
+        got = {r.doc_id: r.n_words for r in toxicity.score(df, model).collect()}
+        return [w for i, w in enumerate(forms) if got[i] == 1]
+
+    return found
+
+
+def test_toxicity_edges(toxic_words):
+    hidden = ["$tupid", "worthle$$", "$tupid!", "!diot", "(lown", "|oser", "a$$", "a$$!!!", "'$cum'", "worthle$$,", "\"!diot!\""]
+    assert toxic_words(hidden) == hidden
+    assert toxic_words(["45$", "$455", "as", "!!!", "$$ (", "(quiet)", "river!"]) == []
+
+
 def test_language(shipped):
     parts = {
         "de": "der die und nicht einung schlich keit über ", "en": "the and tion ing with that ",
