@@ -7,16 +7,20 @@ the cheapest path under the language model.  Other tokens have one path.  The re
 scored by a noisy-or of the words that training documents show to be toxic.
 
 Defined results: null, empty and wordless texts get the base rate; a long text is searched token by
-token, whole; repeated rows get equal results; without labelled rows the score is 0; extra columns are
+token, whole; doubled letters are read as they stand and as single ones, the spelling with most letters
+that is listed counts; pieces between blanks are joined if they make up a listed word and are not all
+ordinary words of the training texts; repeated rows get equal results; without labelled rows the score is 0; extra columns are
 left out.  Near copies among training documents count once (one per bottom sketch of the words).
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import groupby, product
 from math import inf
 
 import numpy as np
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 from namesieve.llm.chunks import chunked, slices, split_tails
 from namesieve.session import checkpointed
 
+# Runs of blanks, ASCII or not.
+BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+DOUBLED = re.compile(r"(.)\1")
 # Letters that digits and symbols stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -35,7 +42,7 @@ LEET = {
 }
 SEPARATORS = " .,-_*'`~^:;/\\"
 EDGE = ".,;:!?)(*#$%&\"'[]{}<>|»«…-_"  # punctuation around a word; some of it is in LEET
-REPLACE, SKIP_REPEAT, DROP, JOIN, BREAK = 0.7, 0.3, 4.0, 0.2, 0.5
+REPLACE, DROP, JOIN, BREAK = 0.7, 4.0, 0.2, 0.5
 LOSE = 3.0  # more, if the character has letters to stand for
 N = 27  # boundary and a-z
 MAX_CACHE = 400_000
@@ -92,11 +99,7 @@ class Restorer:
         """What the character at ``i`` may stand for, with costs; a space is a boundary."""
         c = text[i]
         if "a" <= c <= "z":
-            found = [(c, 0.0)]
-            # Only runs of three or more are read as fewer letters; doubles are spelling.
-            if i and text[i - 1] == c and (text[i - 2 : i] == c + c or text[i + 1 : i + 2] == c):
-                found.append(("", SKIP_REPEAT))
-            return found
+            return [(c, 0.0)]  # repeated letters are left to spellings() and Listed
         found = [(x, REPLACE) for x in LEET.get(c, "")]
         if c in SEPARATORS:
             found += [("", JOIN), (" ", BREAK)]
@@ -150,11 +153,9 @@ class Restorer:
                 found = [core]  # a number or a price
             else:
                 # Symbols at the ends may be letters, as in a$$ or $tupid!: each may belong to the word.
-                plain = core.isnumeric() or core.isalpha() and not _repeats(core)
-                found = [core] if plain else self.decode(core).split()
+                found = [core] if core.isnumeric() or core.isalpha() else self.decode(core).split()
                 found += [w for x in wider for w in self.decode(*x).split()]
-                found += [w for w in [core] if w.isalpha()]
-                found = list(dict.fromkeys(found))
+                found = list(dict.fromkeys(x for w in found for x in spellings(w)))
             if len(self.cache) >= MAX_CACHE:
                 self.cache.clear()
             self.cache[token] = found
@@ -177,29 +178,57 @@ def _wider(low: str) -> list[tuple[str, int, int]]:
     return sorted(cuts)
 
 
-def _repeats(word: str) -> bool:
-    """Whether some letter stands three times in a row."""
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+def squeezed(word: str) -> str:
+    """The word with every run of equal letters as one letter."""
+    return "".join(c for c, _ in groupby(word))
 
 
-def restored(texts: pa.Array, restore: Restorer):
-    """Restored words of texts: distinct chunks' words, chunk codes, first chunks, words of spaced runs.
+def spellings(word: str) -> list[str]:
+    """The word as it stands and with its runs of equal letters as one or two letters.
 
-    Runs of three or more single-letter chunks are decoded together; they are (text, words) pairs, the
-    last word being all of the run.
+    Words of many runs give all runs single and all double only; :class:`Listed` matches the rest.
     """
-    distinct, codes, starts = chunked(texts)
+    if not DOUBLED.search(word):
+        return [word]
+    runs = [(c, min(2, len(list(g)))) for c, g in groupby(word)]
+    if sum(n == 2 for _, n in runs) > 4:
+        return list(dict.fromkeys([word, "".join(c * n for c, n in runs), squeezed(word)]))
+    return list(dict.fromkeys([word, *map("".join, product(*([c * 2, c] if n == 2 else [c] for c, n in runs)))]))
+
+
+@dataclass
+class Restored:
+    """Words of texts: per distinct chunk its words and its bare piece, chunk codes, first chunks, runs."""
+
+    words: list[list[str]]
+    pieces: list[str]
+    codes: np.ndarray
+    starts: np.ndarray
+    runs: list[tuple[int, list[str]]]
+
+
+def restored(texts: pa.Array, restore: Restorer) -> Restored:
+    """Restored words of texts, cut at any blanks; chunks without a word are left out.
+
+    Runs of three or more single-letter chunks, bare of the punctuation around them, are decoded
+    together; they are (text, words) pairs, the last word being all of the run.
+    """
+    distinct, codes, starts = chunked(pc.replace_substring_regex(texts, BLANKS, " "))
     stems, stem_of, tails, tail_of = split_tails(distinct)
     # Tails with characters that stand for letters stay with their stems.
     whole = np.flatnonzero(np.fromiter((any(c in LEET for c in t) for t in tails), bool, len(tails))[tail_of])
     chunks = [*stems, *(stems[stem_of[i]] + tails[tail_of[i]] for i in whole.tolist())]
     words = [restore.token(s) for s in chunks]
-    stems += [stems[stem_of[i]] for i in whole.tolist()]
+    pieces = [bare(s) for s in chunks]
     stem_of = stem_of.copy()
-    stem_of[whole] = len(stems) - len(whole) + np.arange(len(whole))
+    stem_of[whole] = len(stems) + np.arange(len(whole))
     codes = stem_of[codes]
+    # Chunks of mere punctuation stand between no letters.
+    full = np.fromiter(map(bool, pieces), bool, len(pieces))[codes]
+    starts = np.concatenate(([0], np.cumsum(full)))[starts]
+    codes = codes[full]
     single = np.fromiter(
-        (len(s) == 1 and (s.isalnum() or s in "@$!|+") for s in stems), bool, len(stems)
+        (len(s) == 1 and (s.isalnum() or s in LEET) for s in pieces), bool, len(pieces)
     )[codes]
     runs = []
     if single.any():
@@ -210,11 +239,81 @@ def restored(texts: pa.Array, restore: Restorer):
         begin = at[(at == 0) | edge[at] | ~single[at - 1]]
         close = at[edge[at + 1] | ~np.append(single, False)[at + 1]] + 1
         for a, b in zip(begin[close - begin >= 3].tolist(), close[close - begin >= 3].tolist()):
-            spaced = " ".join(stems[c] for c in codes[a:b]).lower()
+            spaced = " ".join(pieces[c] for c in codes[a:b])
             owner = int(np.searchsorted(starts, a, side="right")) - 1
             found = restore.decode(spaced)
-            runs.append((owner, [*found.split(), found.replace(" ", "")]))
-    return words, codes, starts, runs
+            runs.append((owner, [*(x for w in found.split() for x in spellings(w)), found.replace(" ", "")]))
+    return Restored(words, pieces, codes, starts, runs)
+
+
+def bare(chunk: str) -> str:
+    """A chunk without the punctuation around it; a symbol that stands for a letter is kept if it is all."""
+    low = chunk.lower()
+    return low.strip(EDGE) or "".join(c for c in low if c in LEET)
+
+
+class Listed:
+    """Finds listed words among restored words, repeated letters and cut words included."""
+
+    def __init__(self, words: Iterable[str], ordinary: Iterable[str] = ()):
+        self.words = set(words)
+        self.ordinary = set(ordinary)
+        self.like: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.words, key=len, reverse=True):
+            self.like[squeezed(w)].append(w)
+        self.heads = {w[:i] for w in self.words for i in range(1, len(w))}
+        self.rests = parts(self.words, 1)
+
+    def of(self, words: list[str]) -> list[str]:
+        """Listed words of one chunk: as spelled, else with fewer letters in its runs of equal ones."""
+        found: dict[str, str] = {}
+        for w in words:
+            if w in self.words:
+                hit = w
+            elif DOUBLED.search(w) and (like := self.like.get(squeezed(w))):
+                runs = [len(list(g)) for _, g in groupby(w)]
+                hit = next((v for v in like if all(n >= len(list(g)) for n, (_, g) in zip(runs, groupby(v)))), None)
+            else:
+                continue
+            # Readings of one chunk that differ in runs only are one word, the one with most letters.
+            if hit and len(hit) > len(found.get(squeezed(hit), "")):
+                found[squeezed(hit)] = hit
+        return list(found.values())
+
+    def joined(self, text: Restored, restore: Restorer) -> Iterator[tuple[int, str]]:
+        """Listed words that neighbouring chunks of one text make up: text, word."""
+        options = []
+        for ws, piece in zip(text.words, text.pieces):
+            more = [piece, *restore.decode(piece).split()] if len(piece) <= 3 and not piece.isalpha() else [piece]
+            options.append([w for w in dict.fromkeys([*ws, *more]) if w in self.rests or w in self.heads])
+        heads = np.fromiter((any(w in self.heads for w in ws) for ws in options), bool, len(options))
+        rests = np.fromiter((any(w in self.rests for w in ws) for ws in options), bool, len(options))
+        codes = text.codes
+        if len(codes) < 2:
+            return
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[text.starts] = True
+        at = np.flatnonzero(heads[codes[:-1]] & rests[codes[1:]] & ~edge[1:-1])
+        owners = np.searchsorted(text.starts, at, side="right") - 1
+        for p, owner in zip(at.tolist(), owners.tolist()):
+            # What has been joined, and whether some piece is no ordinary word.
+            open_ = {(w, self._odd(w, text.pieces[codes[p]])) for w in options[codes[p]] if w in self.heads}
+            while open_:
+                p += 1
+                if p == len(codes) or edge[p]:
+                    break
+                piece = text.pieces[codes[p]]
+                longer = {(a + w, odd or self._odd(w, piece)) for a, odd in open_ for w in options[codes[p]]}
+                yield from ((owner, w) for w, odd in longer if odd and w in self.words)
+                open_ = {x for x in longer if x[0] in self.heads}
+
+    def _odd(self, word: str, piece: str) -> bool:
+        return word != piece or word not in self.ordinary and word not in ("a", "i")
+
+
+def parts(words: Iterable[str], least: int = 0) -> set[str]:
+    """Pieces of words, from letter ``least`` on, the words themselves left out."""
+    return {w[i:j] for w in words for i in range(least, len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w)}
 
 
 @dataclass
@@ -222,6 +321,7 @@ class ToxicModel:
     costs: list[list[float]]
     base: float
     words: dict[str, float]  # probability that a document with the word is toxic, beyond the base
+    ordinary: set[str] = field(default_factory=set)  # pieces of the words that are words of their own
 
 
 def labelled_texts(
@@ -267,18 +367,29 @@ def fit_toxicity(
     """
     costs = char_costs(char_counts(docs, text))
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, set[str]]]:
+    def documents(batches: Iterator[pa.RecordBatch], lookup: Listed | None = None) -> Iterator[tuple[int, set[str], set[str]]]:
+        """Label, words and listed words of documents."""
         restore = Restorer(costs)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                words, codes, starts, runs = restored(part.column("text"), restore)
+                text = restored(part.column("text"), restore)
+                words, codes, starts = text.words, text.codes, text.starts
                 extra: dict[int, set[str]] = {}
-                for owner, found in runs:
+                for owner, found in text.runs:
                     extra.setdefault(owner, set()).update(found)
+                hits = [lookup.of(ws) for ws in words] if lookup else []
+                cut: dict[int, set[str]] = {}
+                for owner, word in lookup.joined(text, restore) if lookup else ():
+                    cut.setdefault(owner, set()).add(word)
                 labels = part.column("label").to_pylist()
                 for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-                    own = {w for c in np.unique(codes[a:b]) for w in words[c]} | extra.get(i, set())
-                    yield labels[i], {w for w in own if 2 <= len(w) <= 40}
+                    chunks = np.unique(codes[a:b])
+                    own = {w for c in chunks for w in words[c]} | extra.get(i, set())
+                    found = {w for c in chunks for w in hits[c]} if lookup else set()
+                    if lookup:
+                        found.update(w for x in extra.get(i, ()) for w in lookup.of([x]))
+                        found |= cut.get(i, set())
+                    yield labels[i], {w for w in own if 2 <= len(w) <= 40}, found
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Summed within the task: a row for each word and task, whatever the copies.
@@ -292,7 +403,7 @@ def fit_toxicity(
                 ["word", "toxic", "n"],
             )
 
-        for label, own in documents(batches):
+        for label, own, _ in documents(batches):
             total.update(own)
             if label:
                 toxic.update(own)
@@ -311,14 +422,18 @@ def fit_toxicity(
     support = max(min_support, min_part * (total["toxic"] or 0))
     enough = (F.col("toxic") >= support) & (F.col("toxic") >= min_share * F.col("n"))
     sums = [F.sum("toxic").alias("toxic"), F.sum("n").alias("n")]
-    counts = rows.mapInArrow(count, "word string, toxic long, n long").groupBy("word").agg(*sums)
+    counts = checkpointed(rows.mapInArrow(count, "word string, toxic long, n long").groupBy("word").agg(*sums))
     named = counts.where(enough).orderBy(F.desc("toxic"), "word").limit(max_words).collect()
     listed = {r["word"] for r in named}
+    # Pieces of listed words that many other documents hold as words are not cut from them.
+    known = rows.sparkSession.createDataFrame([(w,) for w in sorted(parts(listed))], "word string")
+    often = counts.where((F.col("n") - F.col("toxic") >= min_support) & (F.col("toxic") < min_share * F.col("n")))
+    ordinary = {r["word"] for r in often.join(F.broadcast(known), "word", "left_semi").collect()}
 
     def listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for label, own in documents(batches):
-            if hit := sorted(own & listed):
+        for label, own, hits in documents(batches, Listed(listed, ordinary)):
+            if hit := sorted(hits):
                 least = sorted(zlib.crc32(w.encode()) for w in own)[:SIGN]
                 found.append((zlib.crc32(repr(least).encode()), label, hit))
             if len(found) >= 10_000:
@@ -348,7 +463,7 @@ def fit_toxicity(
     known = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     # Base: toxic share among training documents without any chosen word.
     rest = (total["toxic"] or 0) - (known["toxic"] or 0)
-    return ToxicModel(costs, (rest + 0.1) / (total["n"] - known["n"] + 1.0), dict(sorted(share.items())))
+    return ToxicModel(costs, (rest + 0.1) / (total["n"] - known["n"] + 1.0), dict(sorted(share.items())), ordinary & parts(share))
 
 
 def _batch(found: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
@@ -368,21 +483,25 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(model.costs)
+        lookup = Listed(model.words, model.ordinary)
         number = {w: i for i, w in enumerate(model.words)}
         odds = np.log1p(-np.minimum(np.array([*model.words.values(), 0.0]), 0.999))
         rest = np.log1p(-min(model.base, 0.999))
         for batch in batches:
             for part in slices(batch, "text"):
-                words, codes, starts, runs = restored(part.column("text"), restore)
-                toxic = [[number[w] for w in ws if w in number] for ws in words]
+                text = restored(part.column("text"), restore)
+                codes, starts = text.codes, text.starts
+                toxic = [[number[w] for w in lookup.of(ws)] for ws in text.words]
                 hit = np.fromiter(map(bool, toxic), bool, len(toxic))[codes]
                 at = np.flatnonzero(hit)
                 owner = np.searchsorted(starts, at, side="right") - 1
                 found: list[set[int]] = [set() for _ in range(part.num_rows)]
                 for i, c in zip(owner.tolist(), codes[at].tolist()):
                     found[i].update(toxic[c])
-                for i, ws in runs:
-                    found[i].update(number[w] for w in ws if w in number)
+                for i, w in lookup.joined(text, restore):
+                    found[i].add(number[w])
+                for i, ws in text.runs:
+                    found[i].update(number[w] for x in ws for w in lookup.of([x]))
                     # Where words begin in a run is a guess, so a listed word may begin anywhere.
                     found[i].update(n for w, n in number.items() if len(w) >= 4 and w in ws[-1])
                 clean = [rest + sum(odds[w] for w in sorted(s)) for s in found]

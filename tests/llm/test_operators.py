@@ -323,6 +323,15 @@ def test_toxicity_edges(toxic_words):
     assert toxic_words(["45$", "$455", "as", "!!!", "$$ (", "(quiet)", "river!"]) == []
 
 
+def test_toxicity_repeats_and_pieces(toxic_words):
+    hidden = ["stuupid", "morron", "mmoorroonn", "asss", "a$$$", "id iot", "mo ron", "stu  pid", "i  d\ti\no t", "\"i d i o t\"",
+              "(m) o r o n!", "wor\tth less", "m0 r0n", "i d io t", "mo\u00a0ron"]
+    assert toxic_words(hidden) == hidden
+    assert toxic_words(["as", "moon", "quiet\tgarden", "a s", "lo se r river"[:5]]) == []
+    look = toxicity.Listed(["penis", "fool", "fol"], ["pen", "is"])
+    assert look.of(toxicity.spellings("foool")) == ["fool"] and look.of(["fol"]) == ["fol"]
+
+
 def test_language(shipped):
     parts = {
         "de": "der die und nicht einung schlich keit über ", "en": "the and tion ing with that ",
