@@ -1,14 +1,15 @@
 """The corpus pipeline: toxicity, near copies, repeated passages, benchmark leaks, packing.
 
 Each stage works on all rows that its predecessor kept and its decisions take effect.  All but the
-last return the columns of documents.
+last return the columns of documents.  A row is known by its id and the hash of its text, so rows of
+null or repeated ids do not take each other's verdict.
 """
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import near, substrings, toxicity
@@ -21,7 +22,7 @@ from namesieve.session import ensure_checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.3."""
     model = fit_toxicity(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return _where(docs, toxicity.score(docs, model), F.col("score") < 0.3)
+    return _where(docs, toxicity.score(_keyed(docs), model, "_row"), F.col("score") < 0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that lose nothing stay as they are, blanks included.
     """
     ship(spark)
-    cut = substrings.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")
+    cut = substrings.removed_rows(docs).where("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), F.col("kept_text").alias("_text")
     )
-    joined = docs.join(cut.groupBy("_id").agg(F.min("_text").alias("_text")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # Rows equal in id and text lose the same.
+    joined = docs.join(cut.groupBy("_id", "_tid").agg(F.min("_text").alias("_text")), _same_row(), "left")
     text = F.coalesce("_text", "text")
     rows = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -50,7 +52,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _where(docs, contamination(docs, items), F.col("n_hit") == 0)
+    return _where(docs, contamination(_keyed(docs), items, "_row"), F.col("n_hit") == 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +61,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Texts with ``_row``: the id and the hash of the text."""
+    return docs.select(F.struct(F.col("doc_id").alias("id"), near.text_hash("text").alias("tid")).alias("_row"), "text")
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (near.text_hash("text") == F.col("_tid"))
+
+
 def _where(docs: DataFrame, verdicts: DataFrame, passes) -> DataFrame:
-    """Rows whose id no verdict fails: only the failing ids, the few, are matched."""
-    failed = verdicts.where(~passes).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Rows that no verdict fails: only the failing rows, the few, are matched."""
+    failed = verdicts.where(~passes).select(F.col("_row.id").alias("_id"), F.col("_row.tid").alias("_tid")).distinct()
+    return docs.join(failed, _same_row(), "left_anti")
 
 
 STAGES = [

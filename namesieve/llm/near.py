@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesieve.llm.chunks import slices
@@ -103,7 +103,7 @@ def set_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, width: int) -> DataFrame:
-    """Per row of (doc, text): doc, n_shingles, set_hash (of the whole set), bands (bytes)."""
+    """Per row of (doc, tid, text): doc, tid, n_shingles, set_hash (of the whole set), bands (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,15 +112,15 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
                 keys = band_keys(minhashes(values, bounds, BANDS * BAND_ROWS))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc"), pa.array(np.diff(bounds).astype(np.int32)),
+                        part.column("doc"), part.column("tid"), pa.array(np.diff(bounds).astype(np.int32)),
                         pa.array(set_hashes(values, bounds)),
                         pa.array([r.tobytes() for r in keys], pa.binary()),
                     ],
-                    ["doc", "n_shingles", "set_hash", "bands"],
+                    ["doc", "tid", "n_shingles", "set_hash", "bands"],
                 )
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, n_shingles int, set_hash long, bands binary")
+    return rows.mapInArrow(run, f"doc {kind}, tid long, n_shingles int, set_hash long, bands binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,14 +231,44 @@ def jaccard_join(
     ``class_id`` is the smallest id among all documents connected by links; ``n_links`` counts the
     other documents of similarity ``threshold`` or more, copies included.
     """
-    texts = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    member, named = _classes(docs, key, text, width, threshold, tolerance)
+    ids = named.groupBy("root").agg(F.min("low.doc").alias("class_id"))
+    named = named.join(ids, "root").select(
+        F.col("set_hash"), "class_id", (F.col("n") + F.col("weight") - 1).alias("links")
+    )
+    hit = member.join(named.withColumn("has", F.lit(1)), "set_hash", "left")
+    alone = F.col("n_shingles") == 0
+    return hit.select(
+        F.col("doc").alias(key),
+        F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
+    )
+
+
+def text_hash(text: str) -> Column:
+    """Tells rows of one id, or of none, apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _classes(
+    docs: DataFrame, key: str, text: str, width: int, threshold: float, tolerance: float
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, tid, n_shingles, set_hash), and of each set: set_hash, weight, low, root, n.
+
+    ``low`` is the smallest row of the set (none, doc, tid), rows without an id last; ``root`` names
+    the class.
+    """
+    texts = docs.select(
+        F.col(key).alias("doc"), text_hash(text).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
     sets = checkpointed(signatures(texts, width))
-    member = sets.select("doc", "n_shingles", "set_hash")
+    member = sets.select("doc", "tid", "n_shingles", "set_hash")
     real = sets.where("n_shingles > 0")
+    lowest = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "tid")).alias("low")
     classes = real.groupBy("set_hash").agg(
-        F.count("*").alias("weight"), F.min("doc").alias("low"), F.first("n_shingles").alias("n_shingles")
+        F.count("*").alias("weight"), lowest, F.first("n_shingles").alias("n_shingles")
     )
-    # One row per distinct set in a candidate group; its text is fetched once by the smallest id.
+    # One row per distinct set in a candidate group; its text is fetched once by the smallest row.
     groups = candidate_groups(real)
     chosen = groups.join(classes, groups["node"] == classes["set_hash"]).drop("node")
     chosen = checkpointed(chosen)
@@ -251,7 +281,9 @@ def jaccard_join(
     dealt = chosen.join(sizes, "root").withColumn(
         "block", F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
     )
-    bodies = texts.join(dealt, texts["doc"].eqNullSafe(dealt["low"])).drop("doc")
+    dealt = dealt.withColumn("low_doc", F.col("low.doc")).withColumn("low_tid", F.col("low.tid")).drop("low")
+    same = texts["doc"].eqNullSafe(dealt["low_doc"]) & (texts["tid"] == dealt["low_tid"])
+    bodies = texts.join(dealt, same).drop("doc", "tid", "low_doc", "low_tid")
     pairs = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = pairs.select(
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
@@ -269,7 +301,7 @@ def jaccard_join(
             other = table.column("other").to_numpy()
             for a, b in zip(cuts, cuts[1:]):
                 values, bounds = shingle_sets(table.column("text").combine_chunks().slice(a, b - a), width)
-                # Rows that repeat the smallest id may hold another text; equal rows count once.
+                # Rows equal in id and text count once.
                 right = np.flatnonzero(set_hashes(values, bounds) == nodes[a:b])
                 right = right[np.unique(nodes[a:b][right], return_index=True)[1]]
                 cross = bool((block[a:b] != other[a:b]).any())
@@ -304,21 +336,10 @@ def jaccard_join(
     named = classes.join(counts, classes["set_hash"] == counts["node"], "left").join(
         roots, F.col("set_hash") == F.col("r_node"), "left"
     )
-    named = named.select(
+    return member, named.select(
         "set_hash", "weight", "low", F.coalesce("root", "set_hash").alias("root"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
-    ids = named.groupBy("root").agg(F.min("low").alias("class_id"))
-    named = named.join(ids, "root").select(
-        F.col("set_hash"), "class_id", (F.col("n") + F.col("weight") - 1).alias("links")
-    )
-    hit = member.join(named.withColumn("has", F.lit(1)), "set_hash", "left")
-    alone = F.col("n_shingles") == 0
-    return hit.select(
-        F.col("doc").alias(key),
-        F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
-    )
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -333,11 +354,32 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.ndarra
         root = low
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; texts without words stay.
+def keep_one(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """One row of ``docs`` for each class, that of the smallest id; texts without words all stay.
 
-    Of rows that repeat an id, all stay or none.
+    Rows of a null or repeated id are told apart by their text; rows without an id come last.
     """
-    joined = jaccard_join(docs, key, text, **options)
-    kept = joined.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    member, named = _classes(docs, key, text, width, threshold, tolerance)
+    first = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc", "low.tid")
+    alone = member.where("n_shingles = 0").select("doc", "tid").distinct()
+    copies = member.where("n_shingles > 0").groupBy("doc", "tid").count().where("count > 1")
+    copies = copies.select(F.col("doc").alias("c_doc"), F.col("tid").alias("c_tid"))
+    if not copies.limit(1).count():
+        return _rows_of(docs, first.union(alone), key, text)
+    # Rows equal in id and text cannot be told apart by a key: one of them is taken.
+    several = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("tid") == F.col("c_tid"))
+    once = _rows_of(docs, first.union(alone).join(copies, several, "left_anti"), key, text)
+    some = _rows_of(docs, first.join(copies, several, "left_semi"), key, text).withColumn("_tid", text_hash(text))
+    return once.union(some.dropDuplicates([key, "_tid"]).drop("_tid"))
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    kept = kept.select(F.col("doc").alias("_kept"), F.col("tid").alias("_tid"))
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (text_hash(text) == F.col("_tid")), "left_semi")

@@ -165,16 +165,16 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield repeated_spans(table, length)
 
     runs = rows.mapInArrow(
-        emit, f"key long, doc {kind}, tid int, start int, n int, copies int, words binary"
+        emit, f"key long, doc {kind}, tid long, start int, n int, copies int, words binary"
     )
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(
-        group, f"doc {kind}, tid int, start int, length int"
+        group, f"doc {kind}, tid long, start int, length int"
     )
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("tid", F.hash("text"))
+    return rows.withColumn("tid", F.xxhash64("text"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -183,13 +183,20 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
         F.collect_list(F.struct("start", "length")).alias("spans")
     )
     match = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tid") == F.col("_tid"))
-    return rows.join(spans, match, "left").select("doc", "text", "spans")
+    return rows.join(spans, match, "left").select("doc", "tid", "text", "spans")
 
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS
 ) -> DataFrame:
     """Per document: ``key, n_words, n_removed, kept_sha256, kept_text`` (kept words, single spaces)."""
+    return removed_rows(docs, key, text, length).drop("tid")
+
+
+def removed_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS
+) -> DataFrame:
+    """What :func:`remove_repeats` returns, with ``tid``, the hash of the text (a null text is empty)."""
     rows = _rows(docs, key, text)
     joined = with_spans(rows, repeated_windows(docs, key, text, length))
     kind = rows.schema["doc"].dataType.simpleString()
@@ -206,12 +213,12 @@ def remove_repeats(
                     kept.append(" ".join(w for w, g in zip(words, gone.tolist()) if not g) if spans else " ".join(words))
                 sha = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)],
-                    ["doc", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                    [part.column("doc"), part.column("tid"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)],
+                    ["doc", "tid", "n_words", "n_removed", "kept_sha256", "kept_text"],
                 )
 
     result = joined.mapInArrow(
-        cut, f"doc {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        cut, f"doc {kind}, tid long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
     return result.withColumnRenamed("doc", key)
 

@@ -370,6 +370,45 @@ def test_pipeline(shipped):
     assert {r.doc_id for r in packed.collect()} == left
 
 
+def test_pipeline_tells_rows_apart(shipped, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(7)
+    line = lambda n: " ".join(draw.choices([f"q{i}" for i in range(5000)], k=n))
+    names = "doc_id long, text string, n_chars long"
+    frame = lambda rows: shipped.createDataFrame([(i, t, len(t or "")) for i, t in rows], names)
+    texts_of = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    expect = lambda rows: sorted((str(i), t or "") for i, t in rows)
+
+    # Toxicity: one bad text of null and one of a repeated id.
+    bad, good, other, third = "bad word here", line(40), line(40), line(40)
+    rows = [(None, bad), (None, good), (None, None), (7, bad), (7, other), (8, third)]
+    model = toxicity.ToxicModel(toxicity.char_costs(np.ones(27**3)), 0.01, {"bad": 0.9})
+    monkeypatch.setattr(corpus_pipeline, "fit_toxicity", lambda *a: model)
+    shipped.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(shipped, frame(rows), str(tmp_path))
+    assert texts_of(kept) == expect([r for r in rows if r[1] != bad])
+
+    # Near copies: one row of each class, of rows with an id the smallest; texts without words stay.
+    near_good = good + " more"
+    rows = [(None, good), (None, near_good), (None, good), (None, other), (3, other), (3, third), (3, third), (None, ""), (None, None), (5, third)]
+    kept = texts_of(corpus_pipeline.drop_near_copies(shipped, frame(rows), ""))
+    assert [k for k in kept if k[1] in (good, near_good)] in ([("None", good)], [("None", near_good)])
+    assert [k for k in kept if k[1] not in (good, near_good)] == expect([(3, other), (3, third), (None, ""), (None, "")])
+
+    # Repeated passages: each text keeps what is its own.
+    shared = line(50)
+    rows = [(None, f"{shared} one {good}"), (None, f"{shared} two {other}"), (None, third), (4, f"{shared} four"), (4, bad)]
+    kept = corpus_pipeline.cut_repeats(shipped, frame(rows), "")
+    assert texts_of(kept) == expect([(None, f"one {good}"), (None, f"two {other}"), (None, third), (4, "four"), (4, bad)])
+
+    # Leaks: only the row that holds the item goes.
+    shipped.createDataFrame([("b", line(1) + " " + good)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, good), (None, other), (None, None), (6, f"so {good}"), (6, third)]
+    kept = corpus_pipeline.drop_contaminated(shipped, frame(rows), str(tmp_path))
+    assert texts_of(kept) == expect([(None, other), (None, None), (6, third)])
+
+
 SF = "/root/testdata/sf0.001"
 
 
