@@ -148,7 +148,7 @@ def repeated_spans(table: pa.Table, length: int) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS) -> DataFrame:
     """Word ranges covered by windows that occur twice or more: doc, tid, start, length (may overlap)."""
-    rows = _rows(docs, key, text)
+    rows = _rows(docs, key, text, F.xxhash64)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = rows.select("text")
     sketch = merged_sketch(texts, lambda b: _key_arrays(b, length), size / 80)
@@ -172,9 +172,9 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     )
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _rows(docs: DataFrame, key: str, text: str, tid=F.hash) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("tid", F.xxhash64("text"))
+    return rows.withColumn("tid", tid("text"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def removed_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = WORDS
 ) -> DataFrame:
     """What :func:`remove_repeats` returns, with ``tid``, the hash of the text (a null text is empty)."""
-    rows = _rows(docs, key, text)
+    rows = _rows(docs, key, text, F.xxhash64)
     joined = with_spans(rows, repeated_windows(docs, key, text, length))
     kind = rows.schema["doc"].dataType.simpleString()
 
