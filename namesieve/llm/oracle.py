@@ -115,3 +115,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND l.n >= 0.5 * word_chars AS kept
 FROM base JOIN left_over l USING (doc_id)
 """
+
+SQL["op12_filter_audit"] = r"""
+WITH marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS mask
+  FROM words LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t
+  FROM failed GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+cells AS (SELECT o, s, substr(o, s, 1) AS x, substr(o, 1, s - 1) AS before FROM orders, generate_series(1, 5) AS t(s)),
+judged AS (
+  SELECT part, o, s, x, mask, n, g, t, strpos(mask, x) > 0 AS fails, translate(mask, before, '') = mask AS there
+  FROM masks, cells),
+totals AS (
+  SELECT part, o, s, x,
+    coalesce(sum(n) FILTER (there AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (there AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND NOT there), 0) AS redundant, coalesce(sum(n) FILTER (mask = x), 0) AS unique_fails,
+    coalesce(sum(g) FILTER (there AND fails), 0) AS good_lost, coalesce(sum(t) FILTER (there AND fails), 0) AS toxic_lost
+  FROM judged GROUP BY part, o, s, x)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM totals
+"""

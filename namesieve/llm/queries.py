@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.llm import bpe, chat, decontaminate, language, lines, near, packing, parsing, substrings, toxicity
+from namesieve.llm import audit, bpe, chat, decontaminate, language, lines, near, packing, parsing, periods
+from namesieve.llm import substrings, toxicity
 from namesieve.llm.ship import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,10 +100,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_table(spark, sf_dir, "documents"), prepare=periods.plant)
+    return periods.runs_digest(found)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_language, op3_chat_windows, op4_clean_lines, op5_best_fit_packing, op6_jaccard_join,
-        op7_token_counts, op8_prefix_free_parsing, op9_decontamination, op10_substring_dedup,
+        op7_token_counts, op8_prefix_free_parsing, op9_decontamination, op10_substring_dedup, op12_filter_audit,
+        op13_periodic_runs,
     )
 }
