@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import audit, bpe, chat, decontaminate, language, lines, near, packing, parsing, periods
+from namesieve.llm import pages as web
 from namesieve.llm import substrings, toxicity
 from namesieve.llm.ship import ship
 
@@ -100,6 +101,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -113,7 +118,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_language, op3_chat_windows, op4_clean_lines, op5_best_fit_packing, op6_jaccard_join,
-        op7_token_counts, op8_prefix_free_parsing, op9_decontamination, op10_substring_dedup, op12_filter_audit,
-        op13_periodic_runs,
+        op7_token_counts, op8_prefix_free_parsing, op9_decontamination, op10_substring_dedup, op11_html_extraction,
+        op12_filter_audit, op13_periodic_runs,
     )
 }
