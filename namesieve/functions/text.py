@@ -127,8 +127,8 @@ def strip_label_prefix(label: Column) -> Column:
 
 
 def language_of_path(path: Column) -> Column:
-    """``name.xx.txt`` -> ``xx``; files without a language part are English."""
-    lang = F.regexp_extract(path, r"\.(\w{2,})\.txt$", 1)
+    """``name.xx.txt``, a file or a folder of part files, -> ``xx``; without a language part English."""
+    lang = F.regexp_extract(path, r"\.(\w{2,})\.txt(?:/[^/]*)?$", 1)
     return F.when(lang == "", F.lit("en")).otherwise(lang)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from namesieve.functions.text import parent_id, words
+from namesieve.operators.ranks import dense_positions
+from namesieve.session import checkpointed
 
 
 def nested_docs(raw: DataFrame) -> DataFrame:
@@ -114,37 +116,28 @@ def stratified_split(
     return clear.select(*columns).unionByName(ranked.select(*columns))
 
 
-def row_index(df: DataFrame) -> DataFrame:
-    """Consecutive ``row_index`` from 0, numbered partition by partition without a sort."""
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    )
-    sizes = tagged.groupBy("_pid").agg(F.count("*").alias("_size"))
-    # one row per partition of the input
-    before = sizes.withColumn(
-        "_offset",
-        F.coalesce(
-            F.sum("_size").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).select("_pid", "_offset")
-    return (
-        tagged.join(F.broadcast(before), "_pid")
-        .withColumn("row_index", F.col("_offset") + F.col("_at"))
-        .drop("_pid", "_at", "_offset")
-    )
+def draw_number(total: int, seed: int, *parts: Column) -> Column:
+    """A number below ``total`` that depends on ``parts`` and the seed only."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % F.lit(total)
 
 
-def resample(df: DataFrame, files: int, rows: int, seed: int = 0) -> DataFrame:
-    """``files`` samples of exactly ``rows`` rows each, drawn with replacement."""
-    indexed = row_index(df)
-    total = df.count()
+def resample(df: DataFrame, key: str, files: int, rows: int, seed: int = 0) -> DataFrame:
+    """``files`` samples of exactly ``rows`` rows each, drawn with replacement, as ``file_no`` and ``df``.
+
+    Rows are ranked in draw order of their key, so the samples depend on keys and seed only and not on
+    partitions.  A row that is drawn often joins its draws, never the other way round.
+    """
+    ranked = checkpointed(dense_positions(df.withColumn("_draw", draw_order(F.col(key), seed)), "_draw", key, out="_rank"))
+    total = ranked.count()
     if total == 0:
-        return indexed.drop("row_index").withColumn("file_no", F.lit(0))
+        return df.limit(0).select(F.lit(0).alias("file_no"), *df.columns)
+    number = F.col("id")
     draws = df.sparkSession.range(files * rows).select(
-        F.floor(F.col("id") / rows).cast("int").alias("file_no"),
-        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("row_index"),
+        F.floor(number / rows).cast("int").alias("file_no"),
+        draw_number(total, seed, F.floor(number / rows), number % rows).alias("_rank"),
     )
-    return draws.join(indexed, "row_index").drop("row_index")
+    return draws.join(ranked, "_rank").select("file_no", *df.columns)
 
 
 def translate_lists(terms: DataFrame, translations: DataFrame) -> DataFrame:

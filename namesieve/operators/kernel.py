@@ -1,4 +1,9 @@
-"""Kernel approximation: vectors mapped to similarities with a few landmark rows."""
+"""Kernel approximation: vectors mapped to similarities with a few landmark rows.
+
+Landmarks are a table of postings.  Dot products with them are a join on the coordinate and a sum, so
+sparse and dense vectors take the same path.  Only the kernel matrix of the landmarks among
+themselves, as many rows and columns as the caller asks for, is factored in one place.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +11,58 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from namesieve.operators.dataset import draw_order
-
-MAX_LANDMARKS = 500
-
-
-def _sparse(df: DataFrame, column: str) -> DataFrame:
-    v = F.unwrap_udt(F.col(column))
-    dense = F.sequence(F.lit(0), F.greatest(F.size(v["values"]) - 1, F.lit(0)))
-    return df.withColumn("_i", F.when(v["type"] == 0, v["indices"]).otherwise(dense)).withColumn(
-        "_v", v["values"]
-    )
+from namesieve.operators.lexicon import measured_side
+from namesieve.operators.similarity import entries
+from namesieve.session import checkpointed
 
 
 @dataclass(frozen=True)
 class KernelMap:
-    """Landmark vectors (rows) and the inverse root of their kernel matrix."""
+    """``landmarks`` are ``no, key, norm, idx, value``; ``root`` the inverse root of their kernel matrix."""
 
     kind: str
     degree: int
     gamma: float
-    landmarks: np.ndarray
+    count: int
+    landmarks: DataFrame
     root: np.ndarray
 
-    def kernel(self, dots: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    def value(self, dot: Column, norm: Column, own: Column) -> Column:
         if self.kind == "poly":
-            return (self.gamma * dots + 1.0) ** self.degree
-        own = (self.landmarks**2).sum(axis=1)
-        return np.exp(-self.gamma * np.maximum(norms[:, None] + own[None, :] - 2 * dots, 0.0))
+            return F.pow(self.gamma * dot + 1.0, F.lit(float(self.degree)))
+        return F.exp(-self.gamma * F.greatest(norm + own - 2 * dot, F.lit(0.0)))
+
+
+def postings(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key, norm, idx, value`` of the entries that are not 0; a vector without any has one empty row."""
+    listed = df.select(F.col(key).alias("key"), F.filter(entries(df, vector), lambda x: x["value"] != 0).alias("e"))
+    norm = F.aggregate("e", F.lit(0.0), lambda total, x: total + x["value"] * x["value"])
+    return listed.select("key", norm.alias("norm"), F.inline_outer("e").alias("idx", "value"))
+
+
+def kernel_rows(df: DataFrame, fitted: KernelMap, key: str = "input", vector: str = "features") -> DataFrame:
+    """``key, no, kernel``: the similarity of every row with every landmark."""
+    rows = postings(df, key, vector)
+    side = fitted.landmarks.where("idx IS NOT NULL").select("no", "idx", F.col("value").alias("own"))
+    dots = rows.join(measured_side(side), "idx", "left").groupBy("key", "no").agg(
+        F.max("norm").alias("norm"), F.sum(F.col("value") * F.col("own")).alias("dot")
+    )
+    # Landmarks that share no coordinate with a row have dot product 0.
+    found = dots.groupBy("key").agg(
+        F.max("norm").alias("norm"),
+        F.map_from_entries(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "dot")))).alias("dots"),
+    )
+    norms = fitted.landmarks.groupBy("no").agg(F.max("norm").alias("own")).orderBy("no").collect()
+    every = F.array(*[F.struct(F.lit(r.no).alias("no"), F.lit(r.own).alias("own")) for r in norms])
+    each = found.select("key", "norm", "dots", F.inline(every).alias("no", "own"))
+    dot = F.coalesce(F.try_element_at("dots", F.col("no")), F.lit(0.0))
+    return each.select(F.col("key").alias(key), "no", fitted.value(dot, F.col("norm"), F.col("own")).alias("kernel"))
 
 
 def fit_kernel(
@@ -51,44 +75,38 @@ def fit_kernel(
     landmarks: int = 100,
     seed: int = 0,
 ) -> KernelMap:
-    """Draw landmark rows by key hash; their number is bounded, so they fit the driver."""
-    if landmarks > MAX_LANDMARKS:
-        raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
-    drawn = _sparse(df, column).orderBy(draw_order(F.col(key), seed), key).limit(landmarks)
-    rows = drawn.select("_i", "_v").collect()
-    matrix = np.zeros((len(rows), size))
-    for r, (index, value) in enumerate(rows):
-        matrix[r, index] = value
-    gamma = 1.0 / size
-    plain = KernelMap(kind, degree, gamma, matrix, np.eye(len(rows)))
-    gram = plain.kernel(matrix @ matrix.T, (matrix**2).sum(axis=1))
+    """Draw landmark rows by key hash and factor their kernel matrix."""
+    drawn = df.select(F.col(key).alias("key"), F.col(column).alias("vector"), draw_order(F.col(key), seed).alias("draw"))
+    # The window sees the landmarks only.
+    number = F.row_number().over(W.orderBy("draw", "key")) - 1
+    chosen = checkpointed(drawn.orderBy("draw", "key").limit(landmarks).withColumn("no", number))
+    count = chosen.count()
+    table = postings(chosen, "no", "vector").withColumnRenamed("key", "no").join(chosen.select("no", "key"), "no")
+    table = checkpointed(table)
+    plain = KernelMap(kind, degree, 1.0 / size, count, table, np.eye(count))
+    gram = np.zeros((count, count))
+    for r in kernel_rows(chosen.withColumnRenamed("no", "at"), plain, "at", "vector").collect():
+        gram[r["at"], r["no"]] = r["kernel"]
     u, s, _ = np.linalg.svd(gram)
     root = (u / np.sqrt(np.maximum(s, 1e-12))) @ u.T
-    return KernelMap(kind, degree, gamma, matrix, root)
-
-
-def apply_kernel(df: DataFrame, fitted: KernelMap, column: str = "features", out: str = "mapped") -> DataFrame:
-    """Add the mapped vector; each Arrow batch works against the broadcast landmarks."""
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
-
-    def rows(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        f = shared.value
-        for index, value in batches:
-            dots = np.zeros((len(index), len(f.landmarks)))
-            norms = np.zeros(len(index))
-            for r, (i, v) in enumerate(zip(index, value)):
-                dots[r] = f.landmarks[:, np.asarray(i, dtype=int)] @ np.asarray(v)
-                norms[r] = np.dot(v, v)
-            yield pd.Series(list(f.kernel(dots, norms) @ f.root))
-
-    mapped = F.pandas_udf("array<double>")(_typed(rows))
-    sparse = _sparse(df, column)
-    return sparse.withColumn(out, array_to_vector(mapped("_i", "_v"))).drop("_i", "_v")
-
-
-def _typed(fn):
-    fn.__annotations__ = {
-        "batches": Iterator[tuple[pd.Series, pd.Series]],
-        "return": Iterator[pd.Series],
-    }
-    return fn
+    return KernelMap(kind, degree, 1.0 / size, count, table, root)
+
+
+def apply_kernel(
+    df: DataFrame, fitted: KernelMap, key: str = "input", column: str = "features", out: str = "mapped"
+) -> DataFrame:
+    """``key`` and the mapped array: the kernel row of each vector times the root, a batch at a time."""
+    rows = kernel_rows(df, fitted, key, column).groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("no", "kernel"))), lambda x: x["kernel"]).alias("row")
+    )
+    shared, count = df.sparkSession.sparkContext.broadcast(fitted.root), fitted.count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("row").flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
+            mapped = (flat @ shared.value).ravel()
+            ends = pa.array(np.arange(batch.num_rows + 1) * count, pa.int32())
+            arrays = [batch.column(key), pa.ListArray.from_arrays(ends, pa.array(mapped))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, out])
+
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {out} array<double>")

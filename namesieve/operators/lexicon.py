@@ -144,18 +144,24 @@ def hit_list(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(F.lit(BIT[name])) != 0
 
 
-def measured_side(df: DataFrame) -> DataFrame:
-    """Materialise a word-list side and hint it for broadcast only if it turned out small.
-
-    The other side is then not shuffled; a large list leaves the join to the planner.
-    """
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Materialise a side of a join, and tell whether it turned out small enough to broadcast."""
     side = checkpointed(df)
     width = sum(
         (F.coalesce(F.octet_length(n), F.lit(0)) for n, t in side.dtypes if t == "string"),
         F.lit(0),
     )
     row = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return F.broadcast(side) if row.n <= BROADCAST_ROWS and row.b <= BROADCAST_BYTES else side
+    return side, row.n <= BROADCAST_ROWS and row.b <= BROADCAST_BYTES
+
+
+def measured_side(df: DataFrame) -> DataFrame:
+    """Materialise a word-list side and hint it for broadcast only if it turned out small.
+
+    The other side is then not shuffled; a large list leaves the join to the planner.
+    """
+    side, small = measured(df)
+    return F.broadcast(side) if small else side
 
 
 def dictionary_exact(df: DataFrame, terms: DataFrame, text: str, flag: str = "listed") -> DataFrame:

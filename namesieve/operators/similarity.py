@@ -1,53 +1,164 @@
-"""Most similar pairs between two classes of vectors."""
+"""Most similar pairs between two tables of vectors, through a pruned inverted index.
+
+Vectors, dense arrays or sparse features, become postings ``(idx, id, value)``.  Rows of similar
+direction share a block; each block keeps the largest and least value of each of its lists.  The lists of
+two blocks bound the dot product of any of their pairs.  Block pairs are scored from the best bound on;
+the k-th best dot product found so far is the running limit, and block pairs whose bound does not reach
+it are never scored.  No side passes through the driver or is refused for its size.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from namesieve.operators.ranks import dense_positions
+from namesieve.session import checkpointed, ship
+
+BLOCK_ROWS = 256
+# Block pairs of the first round; each further round takes this many times more.
+FIRST_PAIRS, GROWTH = 64, 16
+# Bounds are sums of rounded products.
+SLACK = 1e-9
+
+
+@dataclass(frozen=True)
+class PairCounts:
+    """How many pairs of rows were scored, and how many were skipped by the bounds of their blocks."""
+
+    scored: int
+    skipped: int
+    rounds: int
+
+
+def entries(df: DataFrame, vector: str) -> Column:
+    """``array<struct<idx, value>>`` of a dense array or a sparse ``size, indices, values``."""
+    kind = "array<struct<idx: long, value: double>>"
+    if isinstance(df.schema[vector].dataType, ArrayType):
+        return F.transform(F.col(vector), lambda v, i: F.struct(i.cast("long").alias("idx"), v.cast("double").alias("value")))
+    pairs = F.arrays_zip(F.col(vector)["indices"].alias("idx"), F.col(vector)["values"].alias("value"))
+    return pairs.cast(kind)
+
+
+def blocked(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, block, e``: rows ordered by their strongest coordinate, in blocks of ``rows``.
+
+    Coordinates of value 0 are no entries; a vector without entries is left out.
+    """
+    listed = df.select(F.col(key).alias("id"), F.filter(entries(df, vector), lambda x: x["value"] != 0).alias("e"))
+    strongest = F.array_max(F.transform("e", lambda x: F.struct(F.abs(x["value"]).alias("size"), x["idx"].alias("idx"), x["value"].alias("value"))))
+    placed = listed.where(F.size("e") > 0).withColumn("top", strongest)
+    ordered = placed.select("id", "e", F.col("top.idx").alias("t"), F.col("top.value").alias("v"))
+    numbered = dense_positions(ordered, "t", "v", "id")
+    return checkpointed(numbered.select("id", F.floor(F.col("position") / rows).alias("block"), "e"))
+
+
+def block_lists(blocks: DataFrame) -> DataFrame:
+    """``block, idx, hi, lo``: the range of each list in a block; 0 is in it if a row has no entry."""
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    lists = blocks.select("block", F.inline("e").alias("idx", "value")).groupBy("block", "idx").agg(
+        F.max("value").alias("hi"), F.min("value").alias("lo"), F.count("*").alias("held")
+    )
+    full = F.col("held") == F.col("n")
+    return lists.join(sizes, "block").select(
+        "block", "idx",
+        F.when(full, F.col("hi")).otherwise(F.greatest("hi", F.lit(0.0))).alias("hi"),
+        F.when(full, F.col("lo")).otherwise(F.least("lo", F.lit(0.0))).alias("lo"),
+    )
+
 
-QUERY_VALUES = 50_000_000  # largest number of values in the query side sent to every task
+def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a, b, bound``: the most that a pair of rows of two blocks can reach; blocks that share a list."""
+    one = block_lists(left).select("idx", F.col("block").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
+    two = block_lists(right).select("idx", F.col("block").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
+    corners = [F.col(x) * F.col(y) for x in ("ah", "al") for y in ("bh", "bl")]
+    return one.join(two, "idx").groupBy("a", "b").agg(F.sum(F.greatest(*corners)).alias("bound"))
+
+
+def _matrix(rows: pd.DataFrame, columns: dict[int, int]) -> np.ndarray:
+    """Rows as a matrix over the coordinates of ``columns``; others are left out."""
+    sizes = rows["e"].map(len).to_numpy()
+    flat = [(x["idx"], x["value"]) for e in rows["e"] for x in e]
+    at = np.array([columns.get(i, -1) for i, _ in flat], np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    out = np.zeros((len(rows), len(columns)))
+    known = at >= 0
+    out[row[known], at[known]] = np.array([v for _, v in flat])[known]
+    return out
+
+
+def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, least: float) -> DataFrame:
+    """``query_id, other_id, dot`` of pairs of the block pairs ``a, b`` from ``least`` on.
+
+    Of each block pair the best ``k`` pairs and those equal to the k-th are passed on.  One task holds two
+    blocks at a time.
+    """
+    kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
+
+    def best(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        idx = sorted({x["idx"] for e in own["e"] for x in e})
+        columns = {i: n for n, i in enumerate(idx)}
+        a, b = _matrix(own, columns), _matrix(other, columns)
+        dots = a @ b.T
+        # Only pairs that share a coordinate are pairs.
+        flat = np.where((a != 0).astype(np.float32) @ (b != 0).T.astype(np.float32) > 0, dots, -np.inf).ravel()
+        edge = max(least, float(np.partition(flat, -k)[-k])) if flat.size > k else least
+        top = np.flatnonzero((flat >= edge) & (flat > -np.inf))
+        return pd.DataFrame(
+            {
+                "query_id": own["id"].to_numpy()[top // len(other)],
+                "other_id": other["id"].to_numpy()[top % len(other)],
+                "dot": flat[top],
+            }
+        )
+
+    one = pairs.join(left.withColumnRenamed("block", "a"), "a")
+    # Columns of their own, so that both sides of the grouping are told apart.
+    two = pairs.join(right.withColumnRenamed("block", "b"), "b").select(
+        F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("id"), F.col("e").alias("e")
+    )
+    return one.groupBy("a", "b").cogroup(two.groupBy("c", "d")).applyInPandas(best, f"query_id {kinds[0]}, other_id {kinds[1]}, dot double")
+
+
+def counted_pairs(
+    queries: DataFrame, others: DataFrame, k: int, key: str = "id", vector: str = "vector", rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, PairCounts]:
+    """The best ``k`` pairs, and how many pairs were scored and skipped.
+
+    Pairs share at least one coordinate; ties go to the smaller ids.
+    """
+    ship(queries.sparkSession)
+    left, right = blocked(queries, key, vector, rows), blocked(others, key, vector, rows)
+    bounds = block_bounds(left, right)
+    ranked = checkpointed(dense_positions(bounds, F.desc("bound"), "a", "b"))
+    sizes = [b.groupBy(F.col("block").alias(n)).agg(F.count("*").alias(f"n{n}")) for b, n in ((left, "a"), (right, "b"))]
+    ranked = checkpointed(ranked.join(sizes[0], "a").join(sizes[1], "b").withColumn("pairs", F.col("na") * F.col("nb")))
+    total = ranked.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first().n
+    found = left.select(F.col("id").alias("query_id")).join(right.select(F.col("id").alias("other_id")), F.lit(False))
+    found = found.withColumn("dot", F.lit(0.0))
+    start, size, limit, scored, rounds = 0, FIRST_PAIRS, float("-inf"), 0, 0
+    while True:
+        reach = F.col("bound") * (1 + F.signum("bound") * SLACK) + SLACK >= limit
+        now = ranked.where((F.col("position") >= start) & (F.col("position") < start + size) & reach)
+        taken = now.agg(F.count("*").alias("n"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
+        if taken.n == 0:
+            break
+        more = score_pairs(now.select("a", "b"), left, right, k, limit)
+        found = checkpointed(found.unionByName(more).orderBy(F.desc("dot"), "query_id", "other_id").limit(k))
+        scored, rounds = scored + taken.pairs, rounds + 1
+        state = found.agg(F.count("*").alias("n"), F.min("dot").alias("last")).first()
+        limit = state.last if state.n == k else float("-inf")
+        start, size = start + size, size * GROWTH
+    return found, PairCounts(int(scored), int(total - scored), rounds)
 
 
 def similar_pairs(
     queries: DataFrame, others: DataFrame, k: int, key: str = "id", vector: str = "vector"
 ) -> DataFrame:
-    """The ``k`` pairs with the largest dot product, ``(query_id, other_id, dot)``.
-
-    The query side is the small set under inspection and is sent to every task after a
-    check of its size.  The other side is scanned once; each Arrow batch multiplies against
-    all queries and passes on its own best ``k``, which hold every pair of the overall best.
-    """
-    spark = queries.sparkSession
-    size = queries.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("v")).first().v
-    if size > QUERY_VALUES:
-        raise ValueError("the query side is too large; pass the rows under inspection only")
-    rows = queries.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).collect()
-    ids = np.array([r[0] for r in rows])
-    matrix = np.array([r[1] for r in rows], dtype=float)
-    shared = spark.sparkContext.broadcast((ids, matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = shared.value
-        for batch in batches:
-            if len(batch) == 0 or len(query_ids) == 0:
-                continue
-            dots = np.stack(batch["v"].to_numpy()) @ query_matrix.T
-            flat = dots.ravel()
-            top = np.argpartition(-flat, min(k, flat.size) - 1)[: min(k, flat.size)]
-            top = np.flatnonzero(flat >= flat[top].min())  # keep ties at the edge
-            yield pd.DataFrame(
-                {
-                    "query_id": query_ids[top % len(query_ids)],
-                    "other_id": batch[key].to_numpy()[top // len(query_ids)],
-                    "dot": flat[top],
-                }
-            )
-
-    kind = dict(others.select(key).dtypes)[key]
-    scan = others.select(key, F.col(vector).cast("array<double>").alias("v"))
-    pairs = scan.mapInPandas(best, f"query_id {kind}, other_id {kind}, dot double")
-    return pairs.orderBy(F.desc("dot"), "query_id", "other_id").limit(k)
+    """The ``k`` pairs with the largest dot product, ``(query_id, other_id, dot)``."""
+    return counted_pairs(queries, others, k, key, vector)[0]

@@ -12,12 +12,16 @@ from namesieve.functions.text import fold_word, nfc, words
 from namesieve.operators.lexicon import measured_side
 
 
-def token_frequency(df: DataFrame, text: str = "input") -> DataFrame:
-    """``token, cnt`` over lower-cased words; combined before the shuffle."""
+def token_frequency(df: DataFrame, text: str = "input", rows: str | None = None) -> DataFrame:
+    """``token, cnt`` over lower-cased words; combined before the shuffle.
+
+    ``rows`` names a column that tells how many rows a row stands for.
+    """
+    weight = F.col(rows).cast("long") if rows else F.lit(1).cast("long")
     return (
-        df.select(F.explode(words(F.lower(text))).alias("token"))
+        df.select(F.explode(words(F.lower(text))).alias("token"), weight.alias("rows"))
         .groupBy("token")
-        .agg(F.count("*").alias("cnt"))
+        .agg(F.sum("rows").alias("cnt"))
     )
 
 

@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.functions import shape, text
 from namesieve.operators import acronyms as ac
 from namesieve.operators import dataset as ds
-from namesieve.operators import features, fuzzy, kernel, learning, lexicon, markup, overlap, rules
-from namesieve.operators import scoring, similarity, tokens
+from namesieve.operators import fuzzy, lexicon, markup, overlap, rules, scoring, tokens
 from namesieve.operators import spans as sp
 from namesieve.operators.normalize import preprocess, remove_stopwords_by_join
-from namesieve.plans import inputs
+from namesieve.plans import files, inputs, learned  # noqa: F401  (register their queries)
 from namesieve.plans.inputs import table
-from namesieve.session import checkpointed, tuned
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+from namesieve.plans.registry import QUERIES, query  # noqa: F401
+from namesieve.sources import writers
 
 LINK_TAGS = ("a",)
 ARTICLE_TAGS = ("h1", "b")
 
-
-def query(fn: Query) -> Query:
-    @wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tuned(spark), sf_dir)
-
-    QUERIES[fn.__name__] = run
-    return run
-
-
 # ---------------------------------------------------------------- normalisation
 
 
@@ -734,67 +716,10 @@ def stratified_split(spark, sf):
 
 @query
 def resample(spark, sf):
-    return ds.resample(table(spark, sf, "documents").select("doc_id"), 4, 250, seed=3)
-
-
-@query
-def similar_pairs(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    best = similarity.similar_pairs(
-        rows.where("label = 0"), rows.where("label <> 0"), 100, key="vec_id"
-    )
-    return best.select("query_id", "other_id", F.round("dot", 6).alias("dot"))
-
-
-# ---------------------------------------------------------------- features and learning
-
-
-def _training(spark, sf):
-    rows = inputs.pieces(table(spark, sf, "benchmark"), "text", "item_id").select(
-        "input", F.lit("GEN").alias("label"), F.length("input").cast("double").alias("numdocs")
-    )
-    return inputs.labelled_segments(spark, sf).select(
-        "input", "label", F.col("numdocs").cast("double").alias("numdocs")
-    ).unionByName(rows)
-
-
-def _hybrid(spark, sf):
-    lists = inputs.word_lists(spark, sf)
-    lex = inputs.lexicon(spark, sf)
-    model = learning.fit_hybrid(
-        _training(spark, sf), lex, lists, lists.where("list = 'type'"), max_iter=10
-    )
-    return model, lex
-
-
-@query
-def feature_overhead(spark, sf):
-    model, lex = _hybrid(spark, sf)
-    talk = inputs.pieces(table(spark, sf, "conversations"), "text")
-    matrix = checkpointed(rules.rule_matrix(talk, lex))
-    return features.feature_overhead(model.vectors(matrix))
-
-
-@query
-def svm_quality(spark, sf):
-    """Scores of the hybrid model on its training strings, weighted."""
-    model, lex = _hybrid(spark, sf)
-    return learning.weighted_score(model, _training(spark, sf), lex)
-
-
-@query
-def fitted_state(spark, sf):
-    model, _ = _hybrid(spark, sf)
-    return features.fitted_state(model.features, spark)
-
-
-@query
-def kernel_map(spark, sf):
-    """Landmark similarities of the embedding vectors."""
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    size = len(rows.first().features)
-    fitted = kernel.fit_kernel(rows, size, key="vec_id", kind="rbf", landmarks=50)
-    mapped = kernel.apply_kernel(rows, fitted)
-    return mapped.select("vec_id", F.round(vector_to_array("mapped")[0], 4).alias("first"))
+    """Four samples with replacement, each written as one file and read again."""
+    drawn = ds.resample(table(spark, sf, "documents").select("doc_id"), "doc_id", 4, 250, seed=3)
+    path = files.scratch(spark, "resample")
+    writers.write_numbered_files(drawn, path, 4, value="doc_id")
+    number = F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1).cast("int")
+    lines = spark.read.text(path).select(number.alias("file_no"), F.col("value").cast("long").alias("doc_id"))
+    return lines.groupBy("file_no", "doc_id").agg(F.count("*").alias("n"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app_name: str = "namesieve", **conf: str) -> SparkSession:
     """Session with adaptive execution, skew-join handling and UTC timestamps."""
@@ -62,3 +66,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package's source once per application; Spark copies it to every executor."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(root)}.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+    return spark

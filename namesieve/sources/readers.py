@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from namesieve.functions.text import language_of_path, repair_ragged, strip_label_prefix
 from namesieve.operators.dataset import nested_docs, variant_docs
-from namesieve.operators.lexicon import LISTS, normalise_terms
+from namesieve.operators.lexicon import LISTS, measured_side, normalise_terms
+from namesieve.operators.ranks import running_total
 
 LABELLED = "input STRING, id STRING, label STRING, numdocs DOUBLE"
 GOLD = "verified_label STRING, label STRING, flag STRING, input STRING"
@@ -47,15 +49,33 @@ def read_dictionaries(
     return normalise_terms(out, keep_empty_terms)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value``: a key that follows file and line order.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line_no, file_line, value``: positions over all files by path, and within each file.
 
-    The number is increasing but has gaps; it is derived from the read partition and the
-    position in it, so no pass over the data and no sort is needed.
+    Files may be split.  A first pass counts the lines of each split; running totals by file and
+    offset of the split give every split its first number, so numbers are dense and follow the files
+    however the splits are scheduled.  Both passes plan the same splits; a line outside the numbers
+    of its split means that a file changed in between and fails the job.
     """
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line_no"), F.col("value")
+    source = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    counted = source.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    numbered = running_total(counted, F.col("n"), "file", "start", out="upto").withColumn("base", F.col("upto") - F.col("n"))
+    in_file = F.col("base") - F.min("base").over(W.partitionBy("file"))
+    splits = measured_side(numbered.select("file", "start", "first", "n", "base", in_file.alias("file_base")))
+    offset = F.col("at") - F.col("first")
+    checked = F.when((offset >= 0) & (offset < F.col("n")), offset).otherwise(
+        F.raise_error(F.lit("a file changed while its lines were numbered")).cast("long")
     )
+    lines = source.join(splits, ["file", "start"]).withColumn("offset", checked)
+    return lines.select(
+        "file", (F.col("base") + F.col("offset")).alias("line_no"),
+        (F.col("file_base") + F.col("offset")).alias("file_line"), "value",
+    )
 
 
 def tagged_columns(fields: Column, fixed_column: int | None = None) -> Column:
@@ -109,17 +129,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``abbreviation, replacement``, last line per abbreviation."""
+    """``abbreviation, replacement``; the last line of each abbreviation over all files by path."""
     from namesieve.operators.tokens import last_mapping
 
-    rows = (
-        spark.read.schema("abbreviation STRING, replacement STRING")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(path)
-        .withColumn("line_no", F.monotonically_increasing_id())
-    )
-    return last_mapping(rows)
+    parsed = F.from_csv("value", F.lit("abbreviation STRING, replacement STRING"), {"escape": '"'})
+    # The first line of every file is its header.
+    rows = numbered_lines(spark, path).where("file_line > 0 AND value <> ''")
+    return last_mapping(rows.select("line_no", parsed.alias("row")).select("line_no", "row.*"))
 
 
 def read_matcher_results(spark: SparkSession, path: str) -> DataFrame:

@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namesieve.session import checkpointed
 
-def write_tagged(df: DataFrame, path: str) -> None:
-    """Tab-joined ``fields`` in ``line_no`` order: range partitions, sorted inside."""
-    (
-        df.repartitionByRange("line_no")
-        .sortWithinPartitions("line_no")
-        .select(F.array_join("fields", "\t").alias("value"))
-        .write.mode("overwrite")
-        .text(path)
-    )
+
+LINES_PER_FILE = 1_000_000
+
+
+def write_ordered(
+    lines: DataFrame, path: str, order: str = "line_no", total: int | None = None, per_file: int = LINES_PER_FILE
+) -> None:
+    """Text lines ``value`` in the order of a dense number, ``per_file`` numbers in each file.
+
+    The file of a line follows from its number, so nothing is sampled and the input is run once.
+    Without ``total``, one more than the largest number, the lines are written down before to find it.
+    """
+    if total is None:
+        lines = checkpointed(lines.select(order, "value"))
+        total = int(lines.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("n")).first().n)
+    files = max(1, -(-total // per_file))
+    place = F.floor(F.col(order) / per_file).cast("int")
+    lines.repartitionById(files, place).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+
+
+def write_tagged(df: DataFrame, path: str, total: int | None = None, per_file: int = LINES_PER_FILE) -> None:
+    """Tab-joined ``fields`` in ``line_no`` order."""
+    rows = df.select("line_no", F.array_join("fields", "\t").alias("value"))
+    write_ordered(rows, path, "line_no", total, per_file)
+
+
+def write_numbered_files(df: DataFrame, path: str, files: int, file_no: str = "file_no", value: str = "value") -> None:
+    """Text file number k holds the lines of ``file_no`` k, in order of their text."""
+    rows = df.select(F.col(file_no).cast("int").alias("_file"), F.col(value).cast("string").alias("value"))
+    placed = rows.repartitionById(files, F.col("_file")).sortWithinPartitions("_file", "value")
+    placed.select("value").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, records_per_file: int | None = None) -> None:
@@ -35,21 +56,15 @@ def write_sorted_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_libsvm(df: DataFrame, path: str, label: str = "label", features: str = "features") -> list[str]:
-    """Features and encoded label as LibSVM text; returns the label order."""
-    encoder = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
-    encoder.transform(df).select(
-        F.col("_label").cast("double").alias("label"), F.col(features).alias("features")
-    ).write.mode("overwrite").format("libsvm").save(path)
-    return list(encoder.labels)
+    """Sparse features and encoded label as LibSVM lines; returns the label order.  Indices count from 1."""
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # the classes, a few
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
+    entries = F.arrays_zip(F.col(features)["indices"].alias("i"), F.col(features)["values"].alias("v"))
+    texts = F.transform(entries, lambda e: F.concat_ws(":", (e["i"] + 1).cast("string"), e["v"].cast("string")))
+    line = F.concat_ws(" ", number.cast("double").cast("string"), F.array_join(texts, " "))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    return labels
 
 
 def write_predictions_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

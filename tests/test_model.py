@@ -1,27 +1,63 @@
 import random
+from dataclasses import replace
 
-from namesieve.operators import features, learning, rules
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from namesieve.operators import features, kernel, learning, ranks, rules, search, similarity, stages, svm
+from namesieve.session import checkpointed
 
-def training(spark):
+OPTIONS = features.FeatureOptions(
+    top_level_word=True, all_caps=True, min_df_joined=2, min_df_ngrams=2, rare_words=True, max_word_freq=True
+)
+
+
+def training(spark, n=300):
     rng = random.Random(2)
     gen = ["Department of Physics", "dept applied physics", "physics dept", "central law", "law"]
     spe = ["Foo University", "ACME ltd.", "Oslo lab", "XYZQ group", "Bar technologies"]
     rows = []
-    for i in range(300):
+    for i in range(n):
         pool, label = (gen, "GEN") if i % 2 else (spe, "SPE")
         rows.append((rng.choice(pool) + rng.choice(["", " a", " north", " unit 3"]), label, float(i % 5 + 1)))
     rows += [("cdc", "GEN", 1000.0)]
     return spark.createDataFrame(rows, "input string, label string, numdocs double")
 
 
+def test_positions_and_totals_follow_the_order_only(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    for parts in (1, 5, 16):
+        df = spark.createDataFrame(rows, "k int, v int").repartition(parts)
+        got = ranks.dense_positions(df, "k").collect()
+        assert sorted((r.position, r.k) for r in got) == [(i, i) for i in range(1000)]
+        total = {r.k: r.total for r in ranks.running_total(df, F.col("v"), F.desc("k")).collect()}
+        upto = 0
+        for k, v in sorted(rows, reverse=True):
+            upto += v
+            assert total[k] == upto
+    assert ranks.dense_positions(spark.createDataFrame([], "k int"), "k").collect() == []
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice((0.0, 1.5, 2.0, rng.random())), rng.randrange(4), None if i % 9 else 3.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double, n int, y double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = features.exact_quantiles(df, ["x", "y"], shares, "n")
+    assert np.allclose(got["x"], np.quantile([x for x, n, _ in rows for _ in range(n)], shares))
+    assert set(got["y"]) == {3.0} and features.exact_quantiles(df.where("false"), ["x"], shares) == {"x": []}
+    edges = features.bin_edges(df, ["x", "y"], 4)
+    values = [x for x, _, _ in rows]
+    want = sorted({float(q) for q in np.quantile(values, [0.25, 0.5, 0.75]) if min(values) < q < max(values)})
+    assert np.allclose(edges["x"], want) and edges["y"] == []
+
+
 def test_hybrid_learns_overrides_and_survives_saving(spark, terms, lexicon, tmp_path):
     train = training(spark)
-    options = features.FeatureOptions(
-        top_level_word=True, all_caps=True, min_df_joined=2.0, min_df_ngrams=2.0, idf=True
-    )
     top_level = terms.where("list = 'type'").select("term")
-    model = learning.fit_hybrid(train, lexicon, terms, top_level, options, max_iter=20)
+    model = learning.fit_hybrid(train, lexicon, terms, top_level, replace(OPTIONS, idf=True), cost=0.01)
+    assert model.svm.gradient_norm <= 1e-6 * model.svm.first_norm
     row = learning.weighted_score(model, train.where("input <> 'cdc'"), lexicon).first()
     assert row.f_score > 0.9
     before = {r.input: r.prediction for r in model.predict(train, lexicon).collect()}
@@ -30,18 +66,162 @@ def test_hybrid_learns_overrides_and_survives_saving(spark, terms, lexicon, tmp_
     model.save(spark, path)
     again = learning.HybridModel.load(spark, path)
     after = {r.input: r.prediction for r in again.predict(train, lexicon).collect()}
-    assert again.options == options and before == after
-    vectors = model.vectors(rules.rule_matrix(train, lexicon).persist())
+    assert again.options == model.options and before == after
+    vectors = checkpointed(model.vectors(rules.rule_matrix(train, lexicon)))
     over = features.feature_overhead(vectors).first()
-    assert 0 < over.density < 1 and over.mean_nonzero > 5
-    kinds = {r.kind for r in features.fitted_state(model.features, spark).collect()}
-    assert kinds == {"vocabulary", "bin_edge"}
+    assert 0 < over.density < 1 and over.mean_nonzero > 5 and over.n_features == model.features.size
+    state = model.features.state().collect()
+    assert sum(r.edge is None for r in state) == model.features.size and any(r.grp == "char_len.edge" for r in state)
     from namesieve.sources.writers import write_libsvm
 
     labels = write_libsvm(vectors.join(train.select("input", "label"), "input"), str(tmp_path / "svm"))
     assert labels == ["GEN", "SPE"] and spark.read.format("libsvm").load(str(tmp_path / "svm")).count() == 301
 
 
+def test_document_frequencies_count_rows(spark, terms, lexicon):
+    train = training(spark)
+    data = learning.Training.prepare(train, lexicon, terms, terms.where("list = 'type'"), OPTIONS)
+    fitted = features.fit_features(data.raw, OPTIONS, "rows")
+    vocabulary = fitted.vocabulary.collect()
+    assert sorted(r.id for r in vocabulary) == list(range(fitted.size)) and fitted.n_rows == 300
+    assert [(r.grp, r.term) for r in sorted(vocabulary, key=lambda r: r.id)] == sorted((r.grp, r.term) for r in vocabulary)
+    first = {r.term: r.df for r in vocabulary if r.grp == "rule_first"}
+    assert sum(first.values()) == 300
+    # Frequencies also count the string that a list decides.
+    assert {r.token for r in data.state.freq.collect()} >= {"cdc"} and "cdc" not in {r.input for r in data.kept.collect()}
+    # A dictionary beyond the broadcast size gives the same rows.
+    before = sorted(map(tuple, fitted.encode(data.raw).collect()))
+    from namesieve.operators import lexicon as lists
+
+    small, lists.BROADCAST_ROWS = lists.BROADCAST_ROWS, 0
+    often, features.FREQUENT_TERMS = features.FREQUENT_TERMS, 5
+    try:
+        assert sorted(map(tuple, fitted.encode(data.raw).collect())) == before
+    finally:
+        lists.BROADCAST_ROWS, features.FREQUENT_TERMS = small, often
+
+
+def test_stages_are_one_pipeline(spark, terms, tmp_path):
+    merged = learning.merge_rows(training(spark).where("input <> 'cdc'"))
+    train = merged.withColumn("target", F.when(F.col("label") == "GEN", 1).otherwise(-1)).drop("label")
+    top = terms.where("list = 'type'")
+    pipeline = stages.hybrid_pipeline(terms, top, learning.options_json(OPTIONS), "rows", 0.01)
+    fitted = pipeline.fit(checkpointed(train))
+    strings = spark.createDataFrame([("Department of Physics",), ("Foo University north",), ("",), ("cdc",), ("new words",)], "input string")
+    before = sorted(map(tuple, fitted.transform(strings).select("input", "margin", "prediction").collect()))
+    fitted.write().save(str(tmp_path / "p"))
+    again = stages.load_pipeline(str(tmp_path / "p")).transform(strings)
+    after = sorted(map(tuple, again.select("input", "margin", "prediction").collect()))
+    assert [r[::2] for r in after] == [r[::2] for r in before] and len(after) == 5
+    assert np.allclose([r[1] for r in after], [r[1] for r in before])
+    found = {r[0]: r[2] for r in after}
+    assert found["Department of Physics"] == "GEN" and found["cdc"] == "SPE"
+
+
+def examples(spark, n=400, d=25, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, d)) < 0.3
+    x[:5] = False
+    y = np.where(x @ rng.normal(size=d) + rng.normal(size=n) > 0, 1, -1)
+    s = rng.integers(0, 6, n).astype(float)
+    rows = [
+        ({"size": d, "indices": np.flatnonzero(r).tolist(), "values": [1.0] * int(r.sum())}, int(a), float(b))
+        for r, a, b in zip(x, y, s)
+    ]
+    kind = "features struct<size: long, indices: array<long>, values: array<double>>, target int, weight double"
+    return spark.createDataFrame(rows, kind), np.c_[x.astype(float), np.ones(n)], y, s
+
+
+@pytest.mark.parametrize("tables", (False, True))
+def test_gradient_vanishes_at_the_optimum(spark, tables, monkeypatch):
+    df, x, y, s = examples(spark, 200)
+    if tables:
+        monkeypatch.setattr(svm, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(svm, "FREQUENT_FEATURES", 5)
+    half = [i for i in range(25) if i % 2]
+    members = spark.createDataFrame([(0, i) for i in range(25)] + [(1, i) for i in half], "cand int, id long")
+    weights, stats = svm.fit_weights(df, members, {0: 0.05, 1: 0.05}, 1e-6, 30)
+    found = weights.collect()
+    for cand, cost, own in ((0, 0.05, range(25)), (1, 0.05, half)):
+        w = np.zeros(26)
+        for r in found:
+            if r.cand == cand:
+                w[r.id] = r.weight
+        gap = np.maximum(0, 1 - y * (x @ w))
+        gradient = w - 2 * cost * x.T @ (s * y * gap)
+        assert np.abs(gradient[[*own, 25]]).max() < 1e-3 and stats[cand][0] < 30
+        assert {r.id for r in found if r.cand == cand} == {-1, *own}
+    margins = svm.linear_margins(spark.createDataFrame([("a", 3, 2.0), ("b", None, None)], "k string, id long, value double"),
+                                 weights.where("cand = 0"), "k")
+    w = {r.id: r.weight for r in found if r.cand == 0}
+    assert {r.k: round(r.margin, 9) for r in margins.collect()} == {"a": round(2 * w[3] + w[-1], 9), "b": round(w[-1], 9)}
+
+
+def test_search_equals_single_fits(spark, terms, lexicon):
+    train, dev = training(spark, 240), training(spark, 300).where("input <> 'cdc'")
+    points = [(replace(o, min_df_joined=2, min_df_ngrams=2), c / 1000) for o, c in learning.random_options(3, seed=4)]
+    best, trials = search.search(
+        train, dev, lexicon, terms, terms.where("list = 'type'"), points, shares=(0.5, 1.0), keep=0.3
+    )
+    assert [t["rung"] for t in trials] == [0] * 3 + [1]
+    last = {t["candidate"]: t["f_score"] for t in trials if t["rung"] == 1}
+    assert best == points[min(last, key=lambda k: (-last[k], k))]
+    for k, score in last.items():
+        model = learning.fit_hybrid(train, lexicon, terms, terms.where("list = 'type'"), points[k][0], cost=points[k][1])
+        single = learning.weighted_score(model, dev, lexicon).first().f_score
+        assert abs(single - score) < 1e-9
+
+
 def test_search_points_are_seeded():
     assert learning.random_options(3, seed=4) == learning.random_options(3, seed=4)
     assert learning.random_options(3, seed=4) != learning.random_options(3, seed=5)
+
+
+@pytest.mark.parametrize("sparse", (False, True))
+def test_similar_pairs_skip_blocks_that_cannot_win(spark, sparse):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 12)) * (rng.random((300, 12)) < 0.25 if sparse else 1.0)
+    x[:6] *= 20
+    if sparse:
+        rows = [(i, ({"indices": np.flatnonzero(v).tolist(), "values": v[v != 0].tolist()}, i % 3)) for i, v in enumerate(x)]
+        kind = "id long, v struct<vector: struct<indices: array<long>, values: array<double>>, side: int>"
+    else:
+        rows = [(i, (v.tolist(), i % 3)) for i, v in enumerate(x)]
+        kind = "id long, v struct<vector: array<double>, side: int>"
+    df = spark.createDataFrame(rows, kind).select("id", "v.*")
+    left, right = df.where("side = 0"), df.where("side > 0")
+    found, counts = similarity.counted_pairs(left, right, 10, rows=24)
+    a, b = [i for i in range(300) if i % 3 == 0 and x[i].any()], [i for i in range(300) if i % 3 and x[i].any()]
+    pairs = [(float(x[i] @ x[j]), i, j) for i in a for j in b if ((x[i] != 0) & (x[j] != 0)).any()]
+    want = sorted(pairs, key=lambda p: (-p[0], p[1], p[2]))[:10]
+    assert [(r.query_id, r.other_id) for r in found.orderBy(F.desc("dot"), "query_id", "other_id").collect()] == [p[1:] for p in want]
+    assert counts.scored + counts.skipped <= len(a) * len(b) and counts.skipped > 0
+    if not sparse:
+        assert counts.scored + counts.skipped == len(a) * len(b)
+    every = similarity.counted_pairs(left, right, 10**6, rows=128)[0]
+    assert every.count() == len(pairs)
+    assert similarity.similar_pairs(left.where("false"), right, 5).count() == 0
+
+
+def test_kernel_rows_of_dense_and_sparse_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 7)) * (rng.random((60, 7)) < 0.6)
+    dense = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, features array<double>")
+    sparse = spark.createDataFrame(
+        [(i, {"size": 7, "indices": np.flatnonzero(v).tolist(), "values": v[v != 0].tolist()}) for i, v in enumerate(x)],
+        "k long, features struct<size: long, indices: array<long>, values: array<double>>",
+    )
+    for kind in ("poly", "rbf"):
+        maps = [kernel.fit_kernel(df, 7, "k", kind=kind, landmarks=9) for df in (dense, sparse)]
+        rows = [kernel.kernel_rows(df, m, "k").collect() for df, m in zip((dense, sparse), maps)]
+        drawn = {r.no: r.key for r in maps[0].landmarks.collect()}
+        for found in rows:
+            got = {(r.k, r.no): r.kernel for r in found}
+            assert len(got) == 60 * 9
+            for (i, no), value in got.items():
+                p, q = x[i], x[drawn[no]]
+                want = (p @ q / 7 + 1) ** 2 if kind == "poly" else np.exp(-((p - q) ** 2).sum() / 7)
+                assert abs(value - want) < 1e-9
+        mapped = {r.k: np.array(r.mapped) for r in kernel.apply_kernel(sparse, maps[1], "k").collect()}
+        a, b = drawn[0], drawn[1]
+        assert abs(mapped[a] @ mapped[b] - {(r.k, r.no): r.kernel for r in rows[0]}[a, 1]) < 1e-6

@@ -26,7 +26,7 @@ def duck():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
     from namesieve.plans.catalogue import QUERIES
-    from namesieve.plans.oracle import SQL
+    from namesieve.plans.sql import SQL
 
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -38,6 +38,6 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_reads_the_tables():
     from namesieve.plans.catalogue import QUERIES
-    from namesieve.plans.oracle import SQL
+    from namesieve.plans.sql import SQL
 
     assert set(SQL) <= set(QUERIES)
