@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from namesieve.functions.text import parent_id, words
 from namesieve.operators.ranks import dense_positions
+from namesieve.operators.tokens import lookup_words
 from namesieve.session import checkpointed
 
 
@@ -38,7 +39,7 @@ def with_label(df: DataFrame, label: str) -> DataFrame:
 
 def attach_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     """Corpus counts of labelled strings, null where a string was not seen."""
-    return df.join(counts.select("input", "numdocs"), "input", "left")
+    return lookup_words(df, counts.select("input", "numdocs"), "input")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

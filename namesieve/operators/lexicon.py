@@ -38,6 +38,8 @@ LISTS = (
 )
 BIT = {name: 1 << i for i, name in enumerate(LISTS)}
 
+MAX_LISTS = 62  # bits of a mask
+
 # Beyond these sizes the term table is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
@@ -73,13 +75,18 @@ class Lexicon:
     org_modifiers: tuple[str, ...]
     common_subjects: tuple[str, ...]
     first_words: tuple[str, ...] | None  # first words of all terms; None if too many
+    bits: dict[str, int]  # list -> its bit, lists of registered rules included
 
     @classmethod
-    def compile(cls, terms: DataFrame) -> "Lexicon":
-        """Build from normalised ``(list, term)`` rows."""
+    def compile(cls, terms: DataFrame, extra: tuple[str, ...] = ()) -> "Lexicon":
+        """Build from normalised ``(list, term)`` rows; ``extra`` names lists beyond the known ones."""
+        names = (*LISTS, *extra)
+        if len(set(names)) < len(names) or len(names) > MAX_LISTS:
+            raise ValueError(f"names of lists are unique, at most {MAX_LISTS}")
+        bits = {name: 1 << i for i, name in enumerate(names)}
         bit = F.lit(None).cast("bigint")
-        for name in reversed(LISTS):
-            bit = F.when(F.col("list") == name, F.lit(BIT[name])).otherwise(bit)
+        for name in reversed(names):
+            bit = F.when(F.col("list") == name, F.lit(bits[name])).otherwise(bit)
         # rule 3 compares in lower case on both sides
         term = F.when(F.col("list") == "expanded_subject", F.lower("term")).otherwise(F.col("term"))
         spark_bits = terms.select(term.alias("term"), bit.cast("bigint").alias("bit")).where(
@@ -98,8 +105,8 @@ class Lexicon:
         )
         n_words = F.size(words(F.col("term")))
         stats = [F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")]
-        for name in LISTS:
-            listed = F.col("mask").bitwiseAND(F.lit(BIT[name])) != 0
+        for name in names:
+            listed = F.col("mask").bitwiseAND(F.lit(bits[name])) != 0
             stats.append(F.coalesce(F.max(F.when(listed, n_words)), F.lit(0)).alias(f"w_{name}"))
             stats.append(F.coalesce(F.max(F.when(listed, F.length("term"))), F.lit(0)).alias(f"c_{name}"))
             stats.append(F.count(F.when(listed, 1)).alias(f"k_{name}"))
@@ -120,12 +127,13 @@ class Lexicon:
             terms=compiled,
             n_terms=row.n,
             n_bytes=row.b,
-            longest={name: row[f"w_{name}"] for name in LISTS},
-            longest_chars={name: row[f"c_{name}"] for name in LISTS},
+            longest={name: row[f"w_{name}"] for name in names},
+            longest_chars={name: row[f"c_{name}"] for name in names},
             stop_words=literal("stop_word"),
             org_modifiers=literal("org_modifier"),
             common_subjects=literal("common_subject"),
             first_words=tuple(r.w for r in firsts) if len(firsts) <= LITERAL_TERMS else None,
+            bits=bits,
         )
 
     @property

@@ -134,10 +134,12 @@ def annotate_existing_attr(
     label: str = "prediction",
     tags: tuple[str, ...] = fixed.ORG_TAGS,
 ) -> DataFrame:
-    """Fill an empty ``type=""`` for generic elements; ``missing_attr`` flags tags without one."""
+    """Fill an empty ``type=""`` for generic elements; ``missing_attr``: an element has none to fill."""
     marks = _labels_per_record(labels, keys, label)
     tag = "IF(get(marks, i) = 'g', replace(t, 'type=\"\"', 'type=\"g\"'), t)"
-    opens = F.regexp_extract_all(F.col(xml), F.lit("(?s)" + open_tag(tags)), F.lit(0))
+    opening = "(?s)^" + open_tag(tags)
+    found = F.regexp_extract_all(F.col(xml), F.lit(element(tags)), F.lit(0))
+    opens = F.transform(found, lambda e: F.regexp_extract(e, opening, 0))
     return (
         df.join(marks, keys, "left")
         .withColumn("annotated", _rewrite(xml, tags, tag))

@@ -11,6 +11,7 @@ from namesieve.functions.text import (
     normalize_name_v1,
     strip_enumerators,
 )
+from namesieve.operators.tokens import lookup_words
 
 
 def preprocess(
@@ -43,9 +44,10 @@ def remove_stopwords_by_join(
     Rows that lose every word survive with an empty string.
     """
     position = df.select(key, F.posexplode(F.split(text, " ")).alias("pos", "word"))
-    stops = stop_terms.select(F.col("term").alias("word")).distinct()
+    stops = stop_terms.select(F.col("term").alias("word")).distinct().withColumn("stop", F.lit(True))
     kept = (
-        position.join(stops, "word", "left_anti")
+        lookup_words(position, stops, "word")
+        .where("stop IS NULL")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("kept"))
         .select(key, F.array_join(F.col("kept.word"), " ").alias("norm_no_sw"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from namesieve.operators.lexicon import measured_side
+from namesieve.operators.tokens import lookup_words
 
 ENGLISH = ("en", "manual")
 
@@ -16,7 +17,7 @@ def mark_found(list_tokens: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
     # only list tokens leave the corpus side, so its vocabulary is never shuffled whole
     listed = measured_side(list_tokens.select("token").distinct())
     seen = corpus_tokens.select("token").join(listed, "token", "left_semi").distinct()
-    return list_tokens.join(seen.withColumn("found", F.lit(True)), "token", "left").withColumn(
+    return lookup_words(list_tokens, seen.withColumn("found", F.lit(True)), "token").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
 
@@ -41,10 +42,9 @@ def list_flags(list_tokens: DataFrame) -> DataFrame:
 
 def flag_corpus(corpus_tokens: DataFrame, list_tokens: DataFrame) -> DataFrame:
     """Corpus tokens with ``found, found_en, found_others, found_novel``."""
-    flags = measured_side(list_flags(list_tokens))
     no = F.lit(False)
     return (
-        corpus_tokens.join(flags, "token", "left")
+        lookup_words(corpus_tokens, list_flags(list_tokens), "token")
         .withColumn("found_en", F.coalesce("in_en", no))
         .withColumn("found_others", F.coalesce("in_other", no))
         .withColumn("found", F.col("found_en") | F.col("found_others"))

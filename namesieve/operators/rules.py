@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,41 @@ ORDER_V1: tuple[int | str, ...] = (
 )
 
 
+@dataclass(frozen=True)
+class CustomRule:
+    """A rule of the caller, evaluated with the others: its probes join the one term join.
+
+    ``lists`` are the word lists it needs.  ``look_at`` says what is looked up in them: the n-grams of
+    ``norm`` or ``content``, or the ``whole`` content.  ``condition`` gets a function from list name to
+    "was something found in it"; other columns of the plan (``org, norm, norm_no_sw``) may be used as well.
+    The rule is asked just before the slot ``before``.
+    """
+
+    name: str
+    label: str
+    lists: tuple[str, ...]
+    condition: Callable[[Callable[[str], Column]], Column]
+    look_at: str = "norm"
+    before: int | str = 25
+
+    @property
+    def column(self) -> str:
+        return f"rule_{self.name}"
+
+    def probe(self, slot: int, lexicon: Lexicon) -> Column:
+        longest = lexicon.max_words(*self.lists)
+        if self.look_at == "whole":
+            return sp.exact_probe(slot, F.col("norm_no_sw"))
+        tokens = {"norm": "norm_tokens", "content": "tokens"}[self.look_at]
+        return sp.gram_probes(slot, tokens, longest, lexicon.first_words)
+
+    def value(self, slot: int, lexicon: Lexicon) -> Column:
+        def found(name: str) -> Column:
+            return sp.mask_at(slot).bitwiseAND(F.lit(lexicon.bits[name])) != 0
+
+        return F.when(self.condition(found), F.lit(self.label))
+
+
 @dataclass(frozen=True)
 class Profile:
     """Which rules run, in which order, and in which variant."""
@@ -34,6 +69,25 @@ class Profile:
     fuzzy_subjects: bool = False
     of_words: tuple[str, ...] = fixed.OF_WORDS
     and_words: tuple[str, ...] = fixed.AND_WORDS
+    custom: tuple[CustomRule, ...] = ()
+
+    def register(self, *rules: CustomRule) -> "Profile":
+        """This profile with further rules, asked in the given order at equal places."""
+        taken = {*RULE_COLUMNS, "rule_first", *(r.column for r in self.custom)}
+        for rule in rules:
+            if rule.column in taken or rule.before not in self.order:
+                raise ValueError(f"rule {rule.name}: its name is taken or its place unknown")
+            taken.add(rule.column)
+        return replace(self, custom=(*self.custom, *rules))
+
+    def sequence(self) -> list[int | str]:
+        """Lists, slots that run and columns of registered rules, in the order they are asked."""
+        out: list[int | str] = []
+        for item in self.order:
+            out += [r.column for r in self.custom if r.before == item]
+            if isinstance(item, str) or self.runs(item):
+                out.append(item)
+        return out
 
     @property
     def subject_mask(self) -> int:
@@ -193,6 +247,7 @@ def _probe_all(levels: DataFrame, lexicon: Lexicon, prof: Profile) -> Column:
             sp.exact_probe(sp.RAW, F.when(F.size(words(org)) == 1, org)),
             sp.exact_probe(sp.ACRONYM, F.when(F.col("acronym") != "", F.col("acronym"))),
         ]
+    parts += [rule.probe(sp.CUSTOM + i, lexicon) for i, rule in enumerate(prof.custom)]
     return F.concat(*parts)
 
 
@@ -395,6 +450,7 @@ def _evaluate(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
         levels, lexicon, ["input", "depth"], carried, _probe_all(levels, lexicon, prof)
     )
     columns = _rule_columns(lexicon, prof)
+    registered = {rule.column: rule.value(sp.CUSTOM + i, lexicon) for i, rule in enumerate(prof.custom)}
     none = F.lit(None).cast("string")
     return _with_flags(found, prof).select(
         "input",
@@ -407,6 +463,7 @@ def _evaluate(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
             )
             for k in columns
         ],
+        *[value.alias(name) for name, value in registered.items()],
     )
 
 
@@ -420,7 +477,7 @@ def rule_matrix(
     """Evaluate every rule for every distinct string of ``text``.
 
     Returns ``input, norm, norm_no_sw, list_prediction, rule_00..rule_25,
-    rule_first, prediction``.  The only exchange is the one that makes the strings distinct.
+    rule_first, prediction``, registered rules before ``rule_first``.  The only exchange is the one that makes the strings distinct.
     """
     prof = prof or profile()
     distinct = df.select(F.coalesce(F.col(text), F.lit("")).alias("input")).distinct()
@@ -428,13 +485,14 @@ def rule_matrix(
 
 
 def _matrix_of(distinct: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
-    order = [k for k in prof.order if isinstance(k, str) or prof.runs(k)]
+    order = prof.sequence()
+    added = [rule.column for rule in prof.custom]
     at = order.index(20) if 20 in order else len(order)
     before = [_name(k) for k in order[:at]]
     after = [_name(k) for k in order[at + 1 :]]
     none = F.lit(None).cast("string")
     rows = _evaluate(distinct, lexicon, prof)
-    kept = ["norm", "norm_no_sw", "allow", "deny", *[column_of(s) for s in SLOTS if s != 20]]
+    kept = ["norm", "norm_no_sw", "allow", "deny", *[column_of(s) for s in SLOTS if s != 20], *added]
     folded = rows.groupBy("input").agg(
         F.max(F.when(F.col("depth") == 0, F.struct(*kept))).alias("own"),
         F.array_sort(
@@ -460,25 +518,19 @@ def _matrix_of(distinct: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFram
     )
     chained = F.when(tail_label == fixed.GEN, F.lit(fixed.GEN)) if prof.runs(20) else none
     flat = folded.select("input", "own.*", chained.alias(column_of(20)))
-    by_rule = [column_of(k) for k in order if isinstance(k, int)]
+    by_rule = [_name(k) for k in order if k not in ("allow", "deny")]
     return flat.select(
         "input",
         "norm",
         "norm_no_sw",
         F.coalesce("allow", "deny").alias("list_prediction"),
         *RULE_COLUMNS,
+        *added,
         F.coalesce(*by_rule).alias("rule_first"),
         F.coalesce(*[_name(k) for k in order]).alias("prediction"),
     )
 
 
-def classify_distinct(
-    df: DataFrame, lexicon: Lexicon, prof: Profile | None = None, text: str = "input"
-) -> DataFrame:
-    """``input, prediction`` for every distinct string."""
-    return rule_matrix(df, lexicon, prof, text).select("input", "prediction")
-
-
 # A string in at least this many rows gets its label by broadcast instead of by shuffle.
 # At most (rows / HOT_ROWS) strings can be that frequent, which bounds the broadcast.
 HOT_ROWS = 1_000_000

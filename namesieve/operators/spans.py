@@ -22,6 +22,7 @@ KEEP_ROW = -1
 NORM, CONTENT, CONTENT_AND = 0, 1, 2
 WHOLE, EXPANDED, RAW_TYPE, RAW_SUBJECT = 3, 4, 5, 6
 SUFFIX, RAW, BASE, ACRONYM, ENDING = 7, 8, 9, 10, 11
+CUSTOM = 100  # the first slot of registered rules
 
 
 def no_probes() -> Column:
@@ -93,13 +94,15 @@ def find_spans(
 ) -> DataFrame:
     """Replace ``probes`` by ``hits``: array of ``(slot, start, n, mask)``.
 
-    ``carried`` columns depend on ``keys``; they travel on one row per string only.
+    ``carried`` columns depend on ``keys``; they travel on one row per string only.  In a shuffle join
+    that row has a term of its own, which no list can hold, so these rows do not meet in one task.
     """
+    own = F.concat(F.lit("\x00"), F.hex(F.xxhash64(*keys)))
     keep = F.struct(
         F.lit(KEEP_ROW).alias("slot"),
         F.lit(0).alias("start"),
         F.lit(0).alias("n"),
-        F.lit(None).cast("string").alias("term"),
+        (F.lit(None).cast("string") if lexicon.fits_broadcast else own).alias("term"),
     )
     # the kept row comes first, so position 0 carries the columns of the string
     exploded = df.select(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from namesieve import fixed
 from namesieve.functions.shape import collapse_runs
 from namesieve.functions.text import fold_word, nfc, words
-from namesieve.operators.lexicon import measured_side
+from namesieve.operators.lexicon import measured
+from namesieve.session import checkpointed
 
 
 def token_frequency(df: DataFrame, text: str = "input", rows: str | None = None) -> DataFrame:
@@ -57,6 +58,21 @@ def join_frequent_first(rows: DataFrame, freq: DataFrame, key: str) -> DataFrame
     return rows.join(hot, key).unionByName(rest)
 
 
+def lookup_words(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join of word rows with a table that has one row per word, whatever its size.
+
+    A table beyond the broadcast size joins by shuffle, but the most frequent words of the rows are
+    looked up by broadcast, so no task gets all rows of one word.
+    """
+    table, small = measured(side)
+    if small:
+        return rows.join(F.broadcast(table), key, "left")
+    often = rows.groupBy(key).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), key).limit(FREQUENT)
+    hot = F.broadcast(checkpointed(often.select(key).join(table, key, "left")))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table, key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def frequency_stats(df: DataFrame, freq: DataFrame, key: str, text: str = "input") -> DataFrame:
     """Min, max and mean corpus count of the words of each string.
 
@@ -107,8 +123,8 @@ def translate_tokens(
 ) -> DataFrame:
     """Replace known abbreviations word by word; other words stay as they are."""
     spread = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    side = measured_side(mapping.select("abbreviation", "replacement"))
-    joined = spread.join(side, F.lower("word") == side["abbreviation"], "left").withColumn(
+    side = mapping.select(F.col("abbreviation").alias("low"), "replacement")
+    joined = lookup_words(spread.withColumn("low", F.lower("word")), side, "low").withColumn(
         "new", F.coalesce("replacement", "word")
     )
     return _rejoin(joined, df, key, "new", out).withColumn(out, F.array_join(out, " "))
@@ -168,7 +184,7 @@ def tag_sequences(
         tags = tags.join(keep.select("token", F.lit(True).alias("kept")), "token", "full_outer").select(
             "token", F.when(F.col("kept"), F.col("token")).otherwise(F.col("tag")).alias("tag")
         )
-    joined = spread.join(measured_side(tags), "token", "left").withColumn(
+    joined = lookup_words(spread, tags, "token").withColumn(
         "tag", F.coalesce("tag", F.lit(default))
     )
     return _rejoin(joined, df, key, "tag", out).withColumn(out, collapse_runs(F.col(out)))

@@ -10,10 +10,12 @@ from namesieve.operators import dataset as ds
 from namesieve.operators import fuzzy, lexicon, markup, overlap, rules, scoring, tokens
 from namesieve.operators import spans as sp
 from namesieve.operators.normalize import preprocess, remove_stopwords_by_join
-from namesieve.plans import files, inputs, learned  # noqa: F401  (register their queries)
+from namesieve.plans import annotate, files, inputs, learned  # noqa: F401  (register their queries)
 from namesieve.plans.inputs import table
 from namesieve.plans.registry import QUERIES, query  # noqa: F401
-from namesieve.sources import writers
+from namesieve.session import checkpointed
+from namesieve.sources import readers, writers
+from namesieve.streaming import classify_stream
 
 LINK_TAGS = ("a",)
 ARTICLE_TAGS = ("h1", "b")
@@ -59,8 +61,10 @@ def remove_stopwords(spark, sf):
 
 @query
 def token_ngrams(spark, sf):
+    """N-grams up to the longest listed term."""
     rows = preprocess(inputs.documents(spark, sf, "text"), (), "text")
-    grams = rows.select(F.explode(shape.grams(F.split("norm", " "), 3)).alias("g"))
+    longest = inputs.lexicon(spark, sf).max_words(*lexicon.LISTS)
+    grams = rows.select(F.explode(shape.grams(F.split("norm", " "), longest)).alias("g"))
     return (
         grams.select("g.n", "g.term")
         .groupBy("n", "term")
@@ -220,6 +224,45 @@ def classify_v1(spark, sf):
     return rules.rule_matrix(talk, inputs.lexicon(spark, sf), prof).select("input", "prediction")
 
 
+@query
+def classify_v1_fuzzy(spark, sf):
+    """The first generation as it is by default: subjects within one edit count."""
+    probe = inputs.probe_strings(spark, sf)
+    lists = inputs.word_lists(spark, sf).select("list", "term")
+    content = preprocess(probe, inputs.lexicon(spark, sf).stop_words, generation=1)
+    near = fuzzy.fuzzy_lexicon(content, lists)
+    return rules.rule_matrix(probe, near, rules.profile_v1()).select("input", "rule_18", "prediction")
+
+
+@query
+def custom_rule(spark, sf):
+    """A registered rule with a list of its own: strings of three words or more with a topic are specific."""
+    topics = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(
+        "length(term) = 5 AND term LIKE 'e%'"
+    )
+    lists = inputs.word_lists(spark, sf).select("list", "term")
+    lex = lexicon.Lexicon.compile(lists.unionByName(topics.select(F.lit("topic").alias("list"), "term")), ("topic",))
+    several = F.size(F.split("norm", " ")) >= 3
+    topic = rules.CustomRule("topic", "SPE", ("topic",), lambda found: found("topic") & several, before=13)
+    prof = rules.profile().register(topic)
+    talk = inputs.pieces(table(spark, sf, "conversations"), "text")
+    return rules.rule_matrix(talk, lex, prof).select("input", "rule_topic", "rule_first", "prediction")
+
+
+@query
+def stream_labels(spark, sf):
+    """Lines of several files, labelled batch by batch; one batch comes twice."""
+    source, target = files.scratch(spark, "arriving"), files.scratch(spark, "labels")
+    talk = inputs.pieces(table(spark, sf, "conversations").where("text IS NOT NULL"), "text").select(F.col("input").alias("value"))
+    talk.repartition(3).write.text(source)
+    lex = inputs.lexicon(spark, sf)
+    classify_stream.classify_stream(spark, source, target, files.scratch(spark, "state"), lex, files_per_batch=1).awaitTermination()
+    sink = classify_stream.LabelSink(target, lex)
+    again = checkpointed(sink.rows(spark).where("batch_id = 1").select("input"))
+    sink.write(again, 1)
+    return sink.rows(spark).groupBy("input", "prediction").agg(F.count("*").alias("n"))
+
+
 @query
 def rule_matrix(spark, sf):
     talk = inputs.pieces(table(spark, sf, "conversations"), "text")
@@ -230,9 +273,7 @@ def rule_matrix(spark, sf):
 def subject_match(spark, sf):
     """Pieces and words of benchmark that are subjects (rule 18), through the fuzzy profile as well."""
     lists = inputs.word_lists(spark, sf).select("list", "term")
-    strings = inputs.pieces(table(spark, sf, "benchmark"), "text").select("input").distinct()
-    words = strings.select(F.explode(F.split(F.lower("input"), "[^a-z]+")).alias("input"))
-    probe = strings.unionByName(words).where("input <> ''").distinct()
+    probe = inputs.probe_strings(spark, sf)
     lex = inputs.lexicon(spark, sf)
     content = preprocess(probe, lex.stop_words)
     near = fuzzy.fuzzy_lexicon(content, lists)
@@ -359,8 +400,12 @@ def label_counts(spark, sf):
 
 @query
 def regression_diff(spark, sf):
+    """Labels of one source against predictions of another that lacks some rows."""
     rows = inputs.labels(spark, sf)
-    return scoring.regression_diff(rows, rows, "doc_id")
+    lines = table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("n_chars") % 2 == 0, "GEN").otherwise("SPE").alias("prediction")
+    )
+    return scoring.regression_diff(rows.select("doc_id", "label"), lines.where("doc_id % 5 > 0"), "doc_id")
 
 
 @query
@@ -575,12 +620,50 @@ def annotate_tagged(spark, sf):
 @query
 def annotate_existing_attr(spark, sf):
     pages = table(spark, sf, "pages").select(
-        "page_id", F.replace("html", F.lit("<a "), F.lit('<a type="" ')).alias("html")
+        "page_id",
+        F.when(F.col("page_id") % 3 == 0, F.col("html"))
+        .otherwise(F.replace("html", F.lit("<a "), F.lit('<a type="" ')))
+        .alias("html"),
     )
     done = markup.annotate_existing_attr(pages, _link_labels(spark, sf), ["page_id"], "html", tags=LINK_TAGS)
     return done.select("page_id", F.md5("annotated").alias("annotated"), "missing_attr")
 
 
+@query
+def annotate_job(spark, sf):
+    """Whole pages as records: labels by the rules in all three ways, and rejected cells with reasons."""
+    cells = checkpointed(readers.markup_cells(readers.split_tagged(files.record_lines(spark, sf))))
+    lex = inputs.lexicon(spark, sf)
+    given = cells.withColumn(
+        "xml",
+        F.when(F.col("line_no") % 3 == 0, F.col("xml")).otherwise(
+            F.replace(F.replace("xml", F.lit("<a "), F.lit('<a type="" ')), F.lit("<a>"), F.lit('<a type="">'))
+        ),
+    )
+    runs = [
+        ("lexical", cells, {}), ("dom", cells, {"mode": "dom"}), ("existing", given, {"mode": "existing"}),
+        ("checked", cells, {"container": "li"}),
+    ]
+    out = None
+    for name, rows, options in runs:
+        done = annotate.annotate_cells(rows, lex, tags=LINK_TAGS, **options).select(
+            F.lit(name).alias("mode"), "line_no", "col", F.md5("annotated").alias("annotated"), "reject_reason"
+        )
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+@query
+def filled_labels(spark, sf):
+    """A label for every position; empty elements keep theirs with an empty label."""
+    found = markup.extract_tagged(table(spark, sf, "pages"), ["page_id"], "html", ("p", "b"))
+    cut = found.withColumn("text", F.when(F.col("ordinal") % 4 == 1, "").otherwise(F.substring("text", 1, 30)))
+    labelled = rules.classify(cut.where("text <> ''").withColumnRenamed("text", "input"), inputs.lexicon(spark, sf))
+    return cut.join(labelled.select("page_id", "ordinal", "prediction"), ["page_id", "ordinal"], "left").select(
+        "page_id", "ordinal", F.coalesce("prediction", F.lit("")).alias("prediction")
+    )
+
+
 @query
 def annotate_dom(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")

@@ -50,6 +50,11 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return dense_positions(rows, "no", out="line_no")
 
 
+def record_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``line_no, value``: the records as lines."""
+    return _records(spark, sf).select("line_no", F.array_join("fields", "\t").alias("value"))
+
+
 @query
 def tagged_file(spark, sf):
     """Tagged records in several files, read back in their order with their markup fields."""

@@ -58,6 +58,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(docs, "text", "doc_id", "lang", "numdocs")
 
 
+def probe_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``input``: distinct pieces and words of ``benchmark``."""
+    strings = pieces(table(spark, sf_dir, "benchmark"), "text").select("input").distinct()
+    words = strings.select(F.explode(F.split(F.lower("input"), "[^a-z]+")).alias("input"))
+    return strings.unionByName(words).where("input <> ''").distinct()
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, label, prediction``: two labellings of the same documents."""
     rows = table(spark, sf_dir, "labels")

@@ -125,10 +125,11 @@ SQL["normalization_steps"] = f"""SELECT page_id, md5(nfc_normalize(html)) AS nfc
  md5({squeeze('html')}) AS squeezed, md5(replace(html, '&', 'and')) AS protected FROM pages"""
 SQL["remove_stopwords"] = f"""WITH b AS (SELECT concat_ws('-', conv_id, turn) AS key, {normal('text')} AS base FROM conversations),
  n AS (SELECT key, {strip('base')} AS norm FROM b) SELECT key, {no_stops('norm')} AS norm_no_sw FROM n"""
-SQL["token_ngrams"] = f"""WITH b AS (SELECT {normal('text')} AS base FROM documents),
+SQL["token_ngrams"] = f"""WITH {TERMS}, b AS (SELECT {normal('text')} AS base FROM documents),
  n AS (SELECT list_filter(string_split({strip('base')}, ' '), lambda w: TRUE) AS t FROM b),
  g AS (SELECT k AS n, array_to_string(t[i:i + k - 1], ' ') AS term FROM
-  (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM n, (SELECT unnest([1, 2, 3]) AS k)))
+  (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM n,
+   (SELECT unnest(generate_series(1, (SELECT max(len(string_split(term, ' '))) FROM terms))) AS k)))
  SELECT CAST(n AS INTEGER) AS n, count(*) AS n_grams, count(DISTINCT term) AS n_distinct FROM g GROUP BY n"""
 
 ROMAN = "^(" + "|".join(fixed.ROMAN_NUMERALS) + ")$"
@@ -240,8 +241,9 @@ SQL["describe_lengths"] = f"""WITH {SEG} SELECT count(*) AS n, round(avg(length(
  quantile_cont(length(input), 0.25) AS q25, quantile_cont(length(input), 0.5) AS q50,
  quantile_cont(length(input), 0.75) AS q75, CAST(max(length(input)) AS INTEGER) AS max FROM seg"""
 SQL["label_counts"] = f"WITH {LSEG} SELECT label, count(*) AS n FROM lseg GROUP BY label"
-SQL["regression_diff"] = f"""WITH {LAB} SELECT doc_id, label AS expected, prediction AS actual,
- CASE WHEN label = prediction THEN 'success' ELSE 'failure' END AS status FROM lab"""
+SQL["regression_diff"] = f"""WITH {LAB}, x AS (SELECT doc_id, label AS expected, CASE WHEN n_chars % 2 = 0 THEN 'GEN' ELSE 'SPE' END AS actual
+ FROM lab JOIN documents USING (doc_id) WHERE doc_id % 5 > 0)
+ SELECT *, CASE WHEN expected = actual THEN 'success' ELSE 'failure' END AS status FROM x"""
 SQL["baseline_delta"] = """WITH t AS (SELECT o_orderpriority AS dataset, o_orderstatus AS c, count(*) AS q,
  sum(CAST(trunc(o_totalprice * 100) AS BIGINT)) AS d FROM orders GROUP BY 1, 2)
  SELECT f.dataset, (o.q - f.q) / f.q AS num_queries, (o.d - f.d)::DOUBLE / f.d::DOUBLE AS durations
@@ -392,10 +394,10 @@ def rebuilt(piece: str, html: str = "html") -> str:
 MARK = "CASE WHEN length(text) % 2 = 0 THEN 'g' ELSE '' END"
 SQL["annotate_tagged"] = f"""WITH {LINKS}, {rebuilt("t[1:-2] || ' type=\"' || coalesce(" + MARK + ", '') || '\">'")}
  SELECT page_id, md5(annotated) AS annotated, regexp_replace(annotated, ' type="g?"', '', 'g') = html AS round_trip FROM r JOIN pages USING (page_id)"""
-ALT = "replace(html, '<a ', '<a type=\"\" ')"
+ALT = "CASE WHEN page_id % 3 = 0 THEN html ELSE replace(html, '<a ', '<a type=\"\" ') END"
 EXISTING = rebuilt("CASE WHEN " + MARK + " = 'g' THEN replace(t, 'type=\"\"', 'type=\"g\"') ELSE t END", ALT)
 SQL["annotate_existing_attr"] = f"""WITH {LINKS}, {EXISTING}
- SELECT page_id, md5(annotated) AS annotated, FALSE AS missing_attr FROM r"""
+ SELECT page_id, md5(annotated) AS annotated, page_id % 3 = 0 AND page_id IN (SELECT page_id FROM lk) AS missing_attr FROM r"""
 SQL["annotate_dom"] = f"""WITH {LINKS}, {rebuilt("CASE WHEN coalesce(text, '') = '' THEN t ELSE t[1:-2] || ' type=\"' || " + MARK + " || '\">' END")}
  SELECT page_id, md5(annotated) AS annotated FROM r"""
 SQL["element_text"] = "SELECT page_id, regexp_extract(html, '(?s)<title(?:\\s[^>]*)?>([^<]*)', 1) AS title FROM pages"
@@ -456,9 +458,13 @@ def single(x: str) -> str:
 
 
 def cascade(
-    cte: str, src: str, v1: bool = False, off: tuple[int, ...] = (), lists: str = LISTS
+    cte: str, src: str, v1: bool = False, off: tuple[int, ...] = (), lists: str = LISTS,
+    custom: tuple[str, str, str, int] | None = None,
 ) -> str:
-    """CTEs ending in ``res``: all rule columns and the predictions of distinct strings."""
+    """CTEs ending in ``res``: all rule columns and the predictions of distinct strings.
+
+    ``custom`` is one more rule: its column, condition, label, and the rule it comes before.
+    """
     ofs = "|".join(fixed.OF_WORDS_V1 if v1 else fixed.OF_WORDS)
     ands = "|".join(fixed.AND_WORDS_V1 if v1 else fixed.AND_WORDS)
     last_and = "and" if v1 else ands
@@ -559,6 +565,10 @@ def cascade(
         [1, 2, 4, 5, 6, 7, 8, "al", "dn", 10, 24, 11, *range(12, 24), 25] if v1 else ["al", "dn", *range(26)]
     )
     order = [k for k in order if k not in off]
+    more, more_z = "", ""
+    if custom:
+        order.insert(order.index(custom[3]), custom[0])
+        more, more_z = f", CASE WHEN {custom[1]} THEN '{custom[2]}' END AS {custom[0]}", f", z.{custom[0]}"
     name = lambda k: k if isinstance(k, str) else f"rule_{k:02d}"
     at = order.index(20)
     before, after = (", ".join(name(k) for k in ks) for ks in (order[:at], order[at + 1 :]))
@@ -581,11 +591,11 @@ def cascade(
  sub AS (SELECT x, coalesce({single('x')} OR (linked AND ({compound})), FALSE) AS ok FROM grp, ls),
  ev AS (SELECT gr.*, ls.*, s13.ok AS k13, s14.ok AS k14, s15.ok AS k15, s16.ok AS k16, s18.ok AS k18 FROM gr
   LEFT JOIN sub s13 ON s13.x = p13s LEFT JOIN sub s14 ON s14.x = p14s LEFT JOIN sub s15 ON s15.x = p15s LEFT JOIN sub s16 ON s16.x = p16s LEFT JOIN sub s18 ON s18.x = nosw, ls),
- z AS (SELECT root, depth, nosw, CASE WHEN list_contains(lal, nosw) THEN 'GEN' END AS al, CASE WHEN list_contains(ldn, nosw) THEN 'SPE' END AS dn, {cols} FROM ev),
+ z AS (SELECT root, depth, nosw, CASE WHEN list_contains(lal, nosw) THEN 'GEN' END AS al, CASE WHEN list_contains(ldn, nosw) THEN 'SPE' END AS dn, {cols}{more} FROM ev),
  ch AS (SELECT root, list_reduce(list_prepend('', list(coalesce({before}, '') || '|' || coalesce({after}, '') ORDER BY depth DESC) FILTER (depth > 0)),
    lambda a, e: CASE WHEN split_part(e, '|', 1) <> '' THEN split_part(e, '|', 1) WHEN a = 'GEN' THEN 'GEN' ELSE split_part(e, '|', 2) END) AS tail FROM z GROUP BY root),
- al AS (SELECT z.root AS input, z.nosw AS norm_no_sw, z.al, z.dn, {all_rules} FROM z LEFT JOIN ch ON z.root = ch.root WHERE depth = 0),
- res AS (SELECT *, coalesce(al, dn) AS list_prediction, coalesce({', '.join(name(k) for k in order if not isinstance(k, str))}) AS rule_first,
+ al AS (SELECT z.root AS input, z.nosw AS norm_no_sw, z.al, z.dn, {all_rules}{more_z} FROM z LEFT JOIN ch ON z.root = ch.root WHERE depth = 0),
+ res AS (SELECT *, coalesce(al, dn) AS list_prediction, coalesce({', '.join(name(k) for k in order if k not in ('al', 'dn'))}) AS rule_first,
   coalesce({', '.join(name(k) for k in order)}) AS prediction FROM al)"""
 
 
@@ -671,3 +681,57 @@ CHECKS = f"""{FRAG}, tg AS (SELECT page_id, part, unnest(ts) AS t, generate_subs
    WHEN deep_element THEN 'deep_element' WHEN sub_element THEN 'sub_element' END AS reject_reason FROM vd)"""
 SQL["validate_tagged"] = f"WITH {CHECKS} SELECT * FROM vr"
 SQL["reject_counts"] = f"WITH {CHECKS} SELECT coalesce(reject_reason, 'valid') AS reason, count(*) AS n FROM vr GROUP BY 1"
+SQL["classify_v1_fuzzy"] = (
+    f"WITH {cascade(NEAR.replace(normal('input'), normal_v1('input')), 'pr', v1=True, lists=LISTS.replace(STRICT, LOOSE))}"
+    " SELECT input, rule_18, prediction FROM res"
+)
+TOPIC = "coalesce((SELECT list(DISTINCT w) FROM bw WHERE length(w) = 5 AND w LIKE 'e%'), []) AS ltopic"
+TOPIC_RULE = ("rule_topic", "list_has_any(gr, ltopic) AND len(string_split(norm, ' ')) >= 3", "SPE", 13)
+SQL["custom_rule"] = (
+    f"WITH {cascade(TALK, 'talk', lists=LISTS.replace('ls AS (SELECT ', f'ls AS (SELECT {TOPIC}, '), custom=TOPIC_RULE)}"
+    " SELECT input, rule_topic, rule_first, prediction FROM res"
+)
+SQL["stream_labels"] = f"WITH {TALK_RES} SELECT input, prediction, count(*) AS n FROM talk JOIN res USING (input) GROUP BY ALL"
+
+# ---------------------------------------------------------------- the annotation job
+CELLS = """cl AS (SELECT * FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS line_no, regexp_replace(html, '[\t\n\r]', ' ', 'g') AS page FROM pages) p,
+ LATERAL (SELECT 2 AS col, page AS xml WHERE page_id % 2 = 0 UNION ALL SELECT 3, '<li><a>' || page_id || '</a></li>' WHERE page_id % 2 = 0
+  UNION ALL SELECT 3, page WHERE page_id % 2 <> 0 UNION ALL SELECT 4, 'x' WHERE page_id % 2 <> 0) c)"""
+OPEN_A = lit(r"(?s)<a(?:\s[^>]*[^/>]|\s)?>")
+LEAD = "regexp_extract(text, '(?s)^[^<]*')"
+FOUND_A = f"""{CELLS}, fa AS ({extracted('cl', 'line_no, col', 'xml', ('a',))}),
+ fd AS (SELECT *, regexp_matches(regexp_replace({LEAD}, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '&') AS bad, {unescape(LEAD)} AS lead FROM fa),
+ jobin AS (SELECT text AS input FROM fa WHERE text <> '' UNION SELECT lead FROM fd WHERE NOT bad AND lead <> '')"""
+
+
+def job(name: str, cells: str, piece: str, late: str) -> str:
+    """CTEs of one way to annotate cells: ``name`` ends as ``mode, line_no, col, annotated, reject_reason``."""
+    return f"""{name}_c AS ({cells}),
+ {name}_e AS (SELECT line_no, col, s[i] AS s, o[i] AS t, CAST(i - 1 AS BIGINT) AS ordinal FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM
+  (SELECT line_no, col, string_split_regex(xml, {OPEN_A}) AS s, regexp_extract_all(xml, {OPEN_A}) AS o FROM {name}_c))),
+ {name}_r AS (SELECT e.line_no, e.col, string_agg(e.s || CASE WHEN t IS NULL THEN '' ELSE {piece} END, '' ORDER BY e.ordinal) AS annotated
+  FROM {name}_e e LEFT JOIN told USING (line_no, col, ordinal) GROUP BY e.line_no, e.col),
+ {name} AS (SELECT '{name}' AS mode, line_no, col, md5(CASE WHEN {late} IS NULL THEN annotated ELSE xml END) AS annotated, {late} AS reject_reason
+  FROM {name}_r JOIN {name}_c USING (line_no, col))"""
+
+
+def marked(label: str) -> str:
+    return f"CASE WHEN {label} = 'GEN' THEN 'g' ELSE '' END"
+
+
+GIVEN = "CASE WHEN line_no % 3 = 0 THEN xml ELSE replace(replace(xml, '<a ', '<a type=\"\" '), '<a>', '<a type=\"\">') END"
+LEXICAL = f"t[1:-2] || ' type=\"' || {marked('plain')} || '\">'"
+SQL["annotate_job"] = f"""WITH {cascade(FOUND_A, 'jobin')},
+ told AS (SELECT fd.*, a.prediction AS plain, b.prediction AS decoded FROM fd LEFT JOIN res a ON fd.text = a.input LEFT JOIN res b ON fd.lead = b.input),
+ {job('lexical', 'SELECT line_no, col, xml FROM cl', LEXICAL, 'NULL::VARCHAR')},
+ {job('dom', 'SELECT line_no, col, xml FROM cl', f"CASE WHEN lead = '' THEN t ELSE t[1:-2] || ' type=' || chr(34) || {marked('decoded')} || chr(34) || '>' END",
+      "CASE WHEN (line_no, col) IN (SELECT (line_no, col) FROM fd WHERE bad) THEN 'malformed' END")},
+ {job('existing', f'SELECT line_no, col, {GIVEN} AS xml FROM cl', f"CASE WHEN plain = 'GEN' THEN replace(t, 'type=' || chr(34) || chr(34), 'type=' || chr(34) || 'g' || chr(34)) ELSE t END",
+      "CASE WHEN line_no % 3 = 0 AND (line_no, col) IN (SELECT (line_no, col) FROM fa) THEN 'missing_attr' END")},
+ {CHECKS.replace(FRAG + ',', "fr AS (SELECT line_no AS page_id, col AS part, xml FROM cl),")},
+ {job('checked', 'SELECT line_no, col, xml FROM cl', LEXICAL, '(SELECT any_value(reject_reason) FROM vr WHERE vr.page_id = line_no AND vr.part = col)')}
+ SELECT * FROM lexical UNION ALL SELECT * FROM dom UNION ALL SELECT * FROM existing UNION ALL SELECT * FROM checked"""
+FILL = f"""xf AS ({extracted('pages', 'page_id', 'html', ('p', 'b'))}), cf AS (SELECT page_id, ordinal, CASE WHEN ordinal % 4 = 1 THEN '' ELSE substr(text, 1, 30) END AS input FROM xf),
+ fin AS (SELECT input FROM cf WHERE input <> '')"""
+SQL["filled_labels"] = f"""WITH {cascade(FILL, 'fin')} SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal,
+ CASE WHEN input = '' THEN '' ELSE prediction END AS prediction FROM cf LEFT JOIN res USING (input)"""

@@ -94,3 +94,29 @@ def test_annotation_job(spark, lexicon):
     assert len(done) == 5 and len(done[9]) == 15
     assert 'type="g">Physics' in done[1][3] and 'type="g">Physics' in done[9][3]
     assert '<org type="">' not in done[2][3] and done[3][0] == "1"
+
+
+def test_annotation_job_rejects_and_fills(spark, lexicon):
+    from namesieve.plans.annotate import annotate_cells, put_back
+
+    org = "<affiliation><org>Department of Physics</org><org></org><org>Foo University</org></affiliation>"
+    rows = [
+        (0, org), (1, "<affiliation><org>law & order</org></affiliation>"), (2, "<x><org>law</org></x>"),
+        (3, '<affiliation><org type="">law</org></affiliation>'), (4, None), (5, "no markup"),
+    ]
+    cells = spark.createDataFrame([(n, 2, x) for n, x in rows], "line_no long, col int, xml string")
+
+    def done(**options):
+        return {r.line_no: (r.annotated, r.reject_reason) for r in annotate_cells(cells, lexicon, **options).collect()}
+
+    lexical, dom = done(), done(mode="dom")
+    assert lexical[0] == (org.replace("<org>Dep", '<org type="g">Dep').replace("<org></org><org>", '<org type=""></org><org type="">'), None)
+    assert dom[0] == (org.replace("<org>Dep", '<org type="g">Dep').replace("<org>Foo", '<org type="">Foo'), None)
+    assert dom[1] == (rows[1][1], "malformed") and lexical[1][1] is None
+    assert done(container="affiliation")[2] == (rows[2][1], "top_level") and lexical[2][1] is None
+    existing = done(mode="existing")
+    assert existing[3] == (rows[3][1].replace('type=""', 'type="g"'), None) and existing[0] == (org, "missing_attr")
+    assert lexical[5] == ("no markup", None) and lexical[4] == (None, None)
+    tagged = spark.createDataFrame([(0, ["a", "b", org])], "line_no long, fields array<string>")
+    back = put_back(tagged, annotate_cells(cells.where("line_no = 0"), lexicon)).first()
+    assert back.fields == ["a", "b", lexical[0][0]]

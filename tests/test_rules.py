@@ -111,3 +111,27 @@ def test_empty_terms_are_optional(spark):
     without = Lexicon.compile(normalise_terms(raw, keep_empty_terms=False))
     assert rules.rule_matrix(df, with_empty).first().rule_18 == "GEN"
     assert rules.rule_matrix(df, without).first().rule_18 is None
+
+
+def test_registered_rules_take_their_place(spark, terms):
+    import pytest
+
+    from namesieve.operators.lexicon import Lexicon
+    from namesieve.operators.rules import CustomRule, profile, rule_matrix
+
+    more = spark.createDataFrame([("river", "rhine"), ("river", "river po")], "list string, term string")
+    lexicon = Lexicon.compile(terms.select("list", "term").unionByName(more), ("river",))
+    river = CustomRule("river", "SPE", ("river",), lambda found: found("river"), before=14)
+    whole = CustomRule("only_river", "GEN", ("river",), lambda found: found("river"), look_at="whole", before="allow")
+    strings = ["Department of Physics", "dept physics rhine", "River Po lab", "rhine", "law"]
+    df = spark.createDataFrame([(x,) for x in strings], "input string")
+    rows = {r.input: r for r in rule_matrix(df, lexicon, profile().register(river, whole)).collect()}
+    assert [rows[x].rule_river for x in strings] == [None, "SPE", "SPE", "SPE", None]
+    assert rows["rhine"].prediction == "GEN" and rows["rhine"].rule_only_river == "GEN"
+    assert rows["River Po lab"].prediction == "SPE" and rows["River Po lab"].rule_first == "SPE"
+    plain = {r.input: r for r in rule_matrix(df, lexicon).collect()}
+    assert all(plain[x].prediction == rows[x].prediction for x in ("Department of Physics", "law"))
+    with pytest.raises(ValueError):
+        profile().register(river, river)
+    with pytest.raises(ValueError):
+        profile().register(CustomRule("x", "GEN", ("river",), lambda found: found("river"), before=77))

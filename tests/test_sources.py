@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from namesieve.sources import readers, writers
-from namesieve.streaming.classify_stream import classify_stream
+from namesieve.streaming.classify_stream import LabelSink, classify_stream
 
 
 def put(tmp_path, name, content, encoding="utf-8"):
@@ -84,5 +84,53 @@ def test_stream_labels_every_line_once(spark, lexicon, tmp_path):
     classify_stream(spark, *args, files_per_batch=1).awaitTermination()
     put(source, "c.txt", "Foo University\n")
     classify_stream(spark, *args).awaitTermination()
-    got = spark.read.json(str(tmp_path / "out")).groupBy("input", "prediction").agg(F.count("*").alias("n")).collect()
-    assert sorted(map(tuple, got)) == [("Department of Physics", "GEN", 1), ("Foo University", "SPE", 2), ("XYZQ", "SPE", 1)]
+    sink = LabelSink(str(tmp_path / "out"), lexicon)
+    want = [("Department of Physics", "GEN", 1), ("Foo University", "SPE", 2), ("XYZQ", "SPE", 1)]
+
+    def found():
+        return sorted(map(tuple, sink.rows(spark).groupBy("input", "prediction").agg(F.count("*").alias("n")).collect()))
+
+    assert found() == want and {r.batch_id: r.rows for r in sink.ledger(spark).collect()} == {0: 2, 1: 1, 2: 1}
+    # A batch that comes again replaces its rows; one that is not in the ledger does not count.
+    sink.write(spark.createDataFrame([("Foo University",)], "input string"), 2)
+    spark.createDataFrame([("x", "GEN", 9)], "input string, prediction string, batch_id long").write.json(str(tmp_path / "out/rows/batch=9"))
+    assert found() == want
+
+
+def test_line_numbers_follow_files_and_splits(spark, tmp_path):
+    lines = {"b.txt": [f"b{i}" * (i % 7 + 1) for i in range(900)], "a.txt": [f"a{i}" for i in range(2000)], "c.txt": []}
+    for name, each in lines.items():
+        put(tmp_path, name, "".join(x + "\n" for x in each))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = readers.numbered_lines(spark, str(tmp_path)).repartition(5).orderBy("line_no").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.value for r in found] == lines["a.txt"] + lines["b.txt"]
+    assert [r.line_no for r in found] == list(range(2900))
+    assert [r.file_line for r in found] == [*range(2000), *range(900)]
+
+
+def test_ordered_files_hold_ranges_of_numbers(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("line_no"), F.concat(F.lit("v"), "id").alias("value"))
+    for total in (None, 1000):
+        path = tmp_path / f"o{total}"
+        writers.write_ordered(rows.repartition(6), str(path), total=total, per_file=300)
+        parts = [f.read_text().split() for f in sorted(path.glob("part-*"))]
+        assert [len(p) for p in parts if p] == [300, 300, 300, 100]
+        assert sum(parts, []) == [f"v{i}" for i in range(1000)]
+    writers.write_ordered(rows.where("false"), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    from namesieve.operators.dataset import resample
+
+    rows = spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"))
+    seen = [sorted(map(tuple, resample(rows.repartition(n), "k", 3, 40, seed=7).collect())) for n in (1, 4, 9)]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 120
+    assert [sum(f == i for f, _ in seen[0]) for i in range(3)] == [40] * 3
+    assert resample(rows.where("false"), "k", 3, 40).count() == 0

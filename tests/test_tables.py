@@ -101,3 +101,34 @@ def test_kernel_map_approximates_kernel(spark):
     got = np.array([r.mapped.toArray() for r in kernel.apply_kernel(df, fitted).orderBy("id").collect()])
     x = np.array([v for _, v in rows])
     assert np.allclose(got @ got.T, (x @ x.T / 5 + 1) ** 2, atol=1e-4)
+
+
+def test_lookups_of_any_size_agree(spark, lexicon, terms, monkeypatch):
+    """The shuffle branches, with hot words sent around, equal the broadcast ones."""
+    from dataclasses import replace
+
+    from namesieve.operators import lexicon as lists
+    from namesieve.operators import rules, tokens
+    from namesieve.operators.normalize import remove_stopwords_by_join
+
+    texts = ["the Department of Physics", "dept dept applied physics", "the the Oslo lab", "", "law of the ltd."] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, input string")
+    mapping = spark.createDataFrame([("dept", "department"), ("lab", "laboratory")], "abbreviation string, replacement string")
+    tags = tokens.tag_table(terms)
+    stops = spark.createDataFrame([("the",), ("of",)], "term string")
+
+    def everything():
+        found = [
+            tokens.translate_tokens(df, mapping, "k").select("k", "translated"),
+            tokens.tag_sequences(df, tags, "k").select("k", "tags"),
+            remove_stopwords_by_join(df.withColumn("norm", df["input"]), stops, "k").select("k", "norm_no_sw"),
+        ]
+        return [sorted(map(repr, x.collect())) for x in found]
+
+    small = everything()
+    plain = sorted(map(repr, rules.rule_matrix(df, lexicon).collect()))
+    monkeypatch.setattr(lists, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tokens, "FREQUENT", 2)
+    assert everything() == small
+    assert not lexicon.fits_broadcast
+    assert sorted(map(repr, rules.rule_matrix(df, replace(lexicon, first_words=None)).collect())) == plain
