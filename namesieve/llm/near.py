@@ -170,8 +170,11 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     # Within a bucket every member is linked to the smallest: hot buckets are combined map-side.
     stars = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     stars = stars.where("low <> high").select("band", "low")
-    edges = rows.join(stars, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(edges.distinct())
+    # A node keeps one edge, to the least of its buckets' smallest members; those meet through it.
+    held = rows.join(stars, "band").groupBy("node").agg(F.min("low").alias("least"), F.collect_set("low").alias("lows"))
+    own = held.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    met = held.select(F.explode("lows").alias("a"), F.col("least").alias("b")).where("a <> b")
+    return components(own.union(met).distinct())
 
 
 def _links(sign, shingles, weights, other: bool, split: int, threshold: float, tolerance: float):
