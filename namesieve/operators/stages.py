@@ -147,9 +147,10 @@ class RawFeaturesModel(TableStage, Model, HasOptions):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         matrix = dataset.select("input", "list_prediction", *RULE_COLUMNS)
-        raw = feature_columns(matrix, self.state, self.feature_options())
-        added = [c for c in raw.columns if c not in dataset.columns]
-        return dataset.join(raw.select("input", *added), "input")
+        raw = feature_columns(matrix, self.state, self.feature_options()).drop("list_prediction")
+        # The raw features name the rules that are silent, so they replace the rule columns.
+        added = [c for c in raw.columns if c != "input"]
+        return dataset.drop(*added).join(raw, "input")
 
 
 class RawFeatures(Estimator, HasOptions, HasRows):
