@@ -104,12 +104,18 @@ class MergeCounter:
                 self.cache[piece] = n
         return n
 
-    def count(self, text: str) -> int:
-        """Tokens of a text, special strings included."""
-        if self.special and (m := self.special.search(text)):
-            return self.count(text[: m.start()]) + 1 + self.count(text[m.end() :])
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
         return sum(map(self.piece, self.pieces.findall(text)))
 
+    def count(self, text: str) -> int:
+        """Tokens of a text, special strings included, however many there are."""
+        total, at = 0, 0
+        for found in self.special.finditer(text) if self.special else ():
+            total += self.plain(text[at : found.start()]) + 1
+            at = found.end()
+        return total + self.plain(text[at:])
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; equal chunks are counted once."""
         whole = uncut(texts)

@@ -15,6 +15,7 @@ columns are left out; very long texts become full pieces and one shorter first p
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,6 +48,7 @@ class Encoder:
         shown = byte_symbols()
         byte = {c: i for i, c in enumerate(shown)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.specials = re.compile("|".join(map(re.escape, self.special)))
         tokens = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
         ordered = [tokens.get(m) for m in merges]
@@ -66,11 +68,13 @@ class Encoder:
         self.spaced = spaced
 
     def encode(self, text: str) -> list[int]:
-        for token, number in self.special.items():
-            if token in text:
-                before, _, after = text.partition(token)
-                return [*self.encode(before), number, *self.encode(after)]
-        return self.plain(text)
+        """Ids of a text; special strings, however many, are cut out one after the other."""
+        ids, at = [], 0
+        for found in self.specials.finditer(text) if self.special else ():
+            ids += self.plain(text[at : found.start()]) if found.start() > at else []
+            ids.append(self.special[found[0]])
+            at = found.end()
+        return ids + (self.plain(text[at:]) if at < len(text) else []) if at else self.plain(text)
 
     def _inner(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and each chunk.
