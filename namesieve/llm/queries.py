@@ -89,9 +89,13 @@ def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    # Rows of a null or repeated id are told apart by their text.
+    docs = _table(spark, sf_dir, "documents").select(
+        F.struct(F.col("doc_id").alias("id"), near.text_hash("text").alias("tid")).alias("row"), "text"
+    )
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), "row")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.col("row.id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
