@@ -31,7 +31,7 @@ from namesieve.llm.windows import (
 
 WORDS = 35
 GRAM = 8
-SLICE = 4 << 20
+SLICE = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 TABLE = symbol_table(10)
