@@ -45,7 +45,7 @@ EDGE = ".,;:!?)(*#$%&\"'[]{}<>|»«…-_"  # punctuation around a word; some of
 REPLACE, DROP, JOIN, BREAK = 0.7, 4.0, 0.2, 0.5
 LOSE = 3.0  # more, if the character has letters to stand for
 N = 27  # boundary and a-z
-MAX_CACHE = 400_000
+MAX_CACHE = 200_000
 SIGN = 6  # least word hashes that make near copies among training documents alike
 
 
@@ -145,6 +145,8 @@ class Restorer:
         found = self.cache.get(token)
         if found is None:
             low = token.lower()
+            if low.isalpha() and not DOUBLED.search(low):
+                return [low]  # one reading; most tokens, so the cache is left to the others
             core = low.strip(EDGE)
             wider = _wider(low)
             if "\n" in low or "\t" in low or "\r" in low:
@@ -162,6 +164,18 @@ class Restorer:
         return found
 
 
+_restorers: dict[int, Restorer] = {}
+
+
+def restorer(costs: list[list[float]]) -> Restorer:
+    """The restorer of these costs in this worker process: its cache serves all tasks and passes."""
+    key = hash(tuple(map(tuple, costs)))
+    if key not in _restorers:
+        _restorers.clear()
+        _restorers[key] = Restorer(costs)
+    return _restorers[key]
+
+
 def _wider(low: str) -> list[tuple[str, int, int]]:
     """A token's core with LEET characters around it: text, begin and end of the core in it.
 
@@ -205,6 +219,7 @@ class Restored:
     codes: np.ndarray
     starts: np.ndarray
     runs: list[tuple[int, list[str]]]
+    plain: list[bool]
 
 
 def restored(texts: pa.Array, restore: Restorer) -> Restored:
@@ -218,8 +233,9 @@ def restored(texts: pa.Array, restore: Restorer) -> Restored:
     # Tails with characters that stand for letters stay with their stems.
     whole = np.flatnonzero(np.fromiter((any(c in LEET for c in t) for t in tails), bool, len(tails))[tail_of])
     chunks = [*stems, *(stems[stem_of[i]] + tails[tail_of[i]] for i in whole.tolist())]
-    words = [restore.token(s) for s in chunks]
-    pieces = [bare(s) for s in chunks]
+    low, plain = plain_words(chunks)
+    words = [[w] if p else restore.token(s) for s, w, p in zip(chunks, low, plain)]
+    pieces = [w if p else bare(s) for s, w, p in zip(chunks, low, plain)]
     stem_of = stem_of.copy()
     stem_of[whole] = len(stems) + np.arange(len(whole))
     codes = stem_of[codes]
@@ -243,7 +259,21 @@ def restored(texts: pa.Array, restore: Restorer) -> Restored:
             owner = int(np.searchsorted(starts, a, side="right")) - 1
             found = restore.decode(spaced)
             runs.append((owner, [*(x for w in found.split() for x in spellings(w)), found.replace(" ", "")]))
-    return Restored(words, pieces, codes, starts, runs)
+    return Restored(words, pieces, codes, starts, runs, plain)
+
+
+def plain_words(chunks: list[str]) -> tuple[list[str], list[bool]]:
+    """Lower-cased chunks, and which of them are ASCII letters without a doubled one: one reading each."""
+    texts = pa.array(chunks, pa.string())
+    low = pc.ascii_lower(texts)
+    letters = pc.ascii_is_alpha(texts).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(low.buffers()[1], np.int32)[: len(chunks) + 1]
+    data = np.frombuffer(low.buffers()[2], np.uint8) if len(chunks) and low.buffers()[2] else np.zeros(0, np.uint8)
+    twice = np.flatnonzero(data[1:] == data[:-1]) + 1
+    owner = np.searchsorted(ends, twice, side="right") - 1
+    doubled = np.zeros(len(chunks), bool)
+    doubled[owner[twice > ends[owner]]] = True  # both letters in one chunk
+    return low.to_pylist(), (letters & ~doubled).tolist()
 
 
 def bare(chunk: str) -> str:
@@ -280,14 +310,25 @@ class Listed:
                 found[squeezed(hit)] = hit
         return list(found.values())
 
+    def of_all(self, text: Restored) -> list[list[str]]:
+        """Listed words of each distinct chunk."""
+        known, none = self.words, []
+        return [
+            (ws if ws[0] in known else none) if p else self.of(ws) for ws, p in zip(text.words, text.plain)
+        ]
+
     def joined(self, text: Restored, restore: Restorer) -> Iterator[tuple[int, str]]:
         """Listed words that neighbouring chunks of one text make up: text, word."""
         options = []
-        for ws, piece in zip(text.words, text.pieces):
+        none: list[str] = []
+        for ws, piece, plain in zip(text.words, text.pieces, text.plain):
+            if plain:
+                options.append(ws if piece in self.rests or piece in self.heads else none)
+                continue
             more = [piece, *restore.decode(piece).split()] if len(piece) <= 3 and not piece.isalpha() else [piece]
             options.append([w for w in dict.fromkeys([*ws, *more]) if w in self.rests or w in self.heads])
-        heads = np.fromiter((any(w in self.heads for w in ws) for ws in options), bool, len(options))
-        rests = np.fromiter((any(w in self.rests for w in ws) for ws in options), bool, len(options))
+        heads = np.fromiter((bool(ws) and any(w in self.heads for w in ws) for ws in options), bool, len(options))
+        rests = np.fromiter((bool(ws) and any(w in self.rests for w in ws) for ws in options), bool, len(options))
         codes = text.codes
         if len(codes) < 2:
             return
@@ -369,7 +410,7 @@ def fit_toxicity(
 
     def documents(batches: Iterator[pa.RecordBatch], lookup: Listed | None = None) -> Iterator[tuple[int, set[str], set[str]]]:
         """Label, words and listed words of documents."""
-        restore = Restorer(costs)
+        restore = restorer(costs)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 text = restored(part.column("text"), restore)
@@ -377,7 +418,7 @@ def fit_toxicity(
                 extra: dict[int, set[str]] = {}
                 for owner, found in text.runs:
                     extra.setdefault(owner, set()).update(found)
-                hits = [lookup.of(ws) for ws in words] if lookup else []
+                hits = lookup.of_all(text) if lookup else []
                 cut: dict[int, set[str]] = {}
                 for owner, word in lookup.joined(text, restore) if lookup else ():
                     cut.setdefault(owner, set()).add(word)
@@ -482,7 +523,7 @@ def score(
     """``key, score`` and ``n_words`` (distinct toxic words in the restored text); narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model.costs)
+        restore = restorer(model.costs)
         lookup = Listed(model.words, model.ordinary)
         number = {w: i for i, w in enumerate(model.words)}
         odds = np.log1p(-np.minimum(np.array([*model.words.values(), 0.0]), 0.999))
@@ -491,7 +532,7 @@ def score(
             for part in slices(batch, "text"):
                 text = restored(part.column("text"), restore)
                 codes, starts = text.codes, text.starts
-                toxic = [[number[w] for w in lookup.of(ws)] for ws in text.words]
+                toxic = [[number[w] for w in ws] for ws in lookup.of_all(text)]
                 hit = np.fromiter(map(bool, toxic), bool, len(toxic))[codes]
                 at = np.flatnonzero(hit)
                 owner = np.searchsorted(starts, at, side="right") - 1
