@@ -176,7 +176,8 @@ def test_search_points_are_seeded():
 
 
 @pytest.mark.parametrize("sparse", (False, True))
-def test_similar_pairs_skip_blocks_that_cannot_win(spark, sparse):
+def test_similar_pairs_skip_blocks_that_cannot_win(spark, sparse, monkeypatch):
+    monkeypatch.setattr(similarity, "FIRST_PAIRS", 8)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 12)) * (rng.random((300, 12)) < 0.25 if sparse else 1.0)
     x[:6] *= 20
@@ -188,7 +189,7 @@ def test_similar_pairs_skip_blocks_that_cannot_win(spark, sparse):
         kind = "id long, v struct<vector: array<double>, side: int>"
     df = spark.createDataFrame(rows, kind).select("id", "v.*")
     left, right = df.where("side = 0"), df.where("side > 0")
-    found, counts = similarity.counted_pairs(left, right, 10, rows=32)
+    found, counts = similarity.counted_pairs(left, right, 10, rows=24)
     a, b = [i for i in range(300) if i % 3 == 0 and x[i].any()], [i for i in range(300) if i % 3 and x[i].any()]
     pairs = [(float(x[i] @ x[j]), i, j) for i in a for j in b if ((x[i] != 0) & (x[j] != 0)).any()]
     want = sorted(pairs, key=lambda p: (-p[0], p[1], p[2]))[:10]
