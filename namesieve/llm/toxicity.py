@@ -45,7 +45,7 @@ EDGE = ".,;:!?)(*#$%&\"'[]{}<>|»«…-_"  # punctuation around a word; some of
 REPLACE, DROP, JOIN, BREAK = 0.7, 4.0, 0.2, 0.5
 LOSE = 3.0  # more, if the character has letters to stand for
 N = 27  # boundary and a-z
-MAX_CACHE = 200_000
+MAX_CACHE = 60_000
 SIGN = 6  # least word hashes that make near copies among training documents alike
 
 
@@ -529,7 +529,7 @@ def score(
         odds = np.log1p(-np.minimum(np.array([*model.words.values(), 0.0]), 0.999))
         rest = np.log1p(-min(model.base, 0.999))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 text = restored(part.column("text"), restore)
                 codes, starts = text.codes, text.starts
                 toxic = [[number[w] for w in ws] for ws in lookup.of_all(text)]
