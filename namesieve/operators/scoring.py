@@ -122,7 +122,10 @@ def describe_counts(histogram: DataFrame, value: str, count: str = "n") -> DataF
     """
     v, n = F.col(value), F.col(count)
     mean = F.sum(v * n) / F.sum(n)
-    variance = (F.sum(v * v * n) - F.sum(n) * mean * mean) / (F.sum(n) - 1)
+    # The square of a length of 46,341 is no integer any more, and sums of squares soon are no long.
+    square = v.cast("decimal(10)") * v.cast("decimal(10)")
+    squares = F.sum((square * n.cast("decimal(17)")).cast("decimal(38)")).cast("double")
+    variance = (squares - F.sum(n) * mean * mean) / (F.sum(n) - 1)
     quart = [
         F.expr(f"percentile({value}, {q}, {count})").alias(name)
         for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
