@@ -61,9 +61,9 @@ def remove_stopwords(spark, sf):
 
 @query
 def token_ngrams(spark, sf):
-    """N-grams up to the longest listed term."""
+    """N-grams of up to three words, or up to the longest listed term if that is longer."""
     rows = preprocess(inputs.documents(spark, sf, "text"), (), "text")
-    longest = inputs.lexicon(spark, sf).max_words(*lexicon.LISTS)
+    longest = max(3, inputs.lexicon(spark, sf).max_words(*lexicon.LISTS))
     grams = rows.select(F.explode(shape.grams(F.split("norm", " "), longest)).alias("g"))
     return (
         grams.select("g.n", "g.term")

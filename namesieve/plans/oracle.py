@@ -129,7 +129,7 @@ SQL["token_ngrams"] = f"""WITH {TERMS}, b AS (SELECT {normal('text')} AS base FR
  n AS (SELECT list_filter(string_split({strip('base')}, ' '), lambda w: TRUE) AS t FROM b),
  g AS (SELECT k AS n, array_to_string(t[i:i + k - 1], ' ') AS term FROM
   (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM n,
-   (SELECT unnest(generate_series(1, (SELECT max(len(string_split(term, ' '))) FROM terms))) AS k)))
+   (SELECT unnest(generate_series(1, (SELECT greatest(3, max(len(string_split(term, ' ')))) FROM terms))) AS k)))
  SELECT CAST(n AS INTEGER) AS n, count(*) AS n_grams, count(DISTINCT term) AS n_distinct FROM g GROUP BY n"""
 
 ROMAN = "^(" + "|".join(fixed.ROMAN_NUMERALS) + ")$"
