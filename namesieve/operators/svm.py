@@ -15,7 +15,7 @@ and the driver sees a few sums for each candidate only.  Both ways compute the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import sqrt
 
@@ -31,6 +31,11 @@ INTERCEPT = -1
 # Features that may stand in so many examples that their rows are not shuffled.
 FREQUENT_FEATURES = 10_000
 STEPS = [0.5**i for i in range(12)]
+# Features of the largest second derivatives whose block is inverted as a preconditioner, for all candidates.
+LEAD = 1024
+BENT = 1.05
+# Pairs of entries that are multiplied at a time.
+PAIRS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -223,14 +228,49 @@ class TableNewton:
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def block_of(batch: pa.RecordBatch) -> Block:
+# A block of examples as one row: its arrays as bytes, so that a pass copies and converts nothing.
+PACKED = {"at": np.int64, "values": np.float64, "sizes": np.int64, "y": np.float64, "s": np.float64}
+# Sums of one task travel in slices of this many numbers.
+SLICE = 1 << 13
+# Sums of all tasks up to this size are added by the driver, larger ones by tasks, slice by slice.
+DIRECT_BYTES = 32 << 20
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ids, values, y, s`` of examples to one row of ``PACKED`` for each batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("ids")
+        arrays = {
+            "at": lists.flatten(), "values": batch.column("values").flatten(),
+            "sizes": np.diff(lists.offsets.to_numpy()), "y": batch.column("y"), "s": batch.column("s"),
+        }
+        packed = [pa.array([np.asarray(arrays[n], kind).tobytes()], pa.binary()) for n, kind in PACKED.items()]
+        yield pa.RecordBatch.from_arrays(packed, list(PACKED))
+
+
+def blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
     """Feature places, values, example of each entry, targets and weights; the constant one is left out."""
-    lists = batch.column("ids")
-    sizes = np.diff(lists.offsets.to_numpy())
-    at = lists.flatten().to_numpy(zero_copy_only=False)
-    values = batch.column("values").flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(batch.num_rows), sizes)
-    return at, values, row, batch.column("y").to_numpy(zero_copy_only=False), batch.column("s").to_numpy(zero_copy_only=False)
+    for row in range(batch.num_rows):
+        at, values, sizes, y, s = (np.frombuffer(batch.column(n)[row].as_buffer(), kind) for n, kind in PACKED.items())
+        yield at, values, np.repeat(np.arange(len(sizes)), sizes), y, s
+
+
+def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cand, slice, sums``: one row for each candidate and slice of a partition."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for cand, part, sums in zip(*(batch.column(n).to_pylist() for n in ("cand", "slice", "sums"))):
+            values = np.frombuffer(sums)
+            total[cand, part] = total[cand, part] + values if (cand, part) in total else values
+    for (cand, part), values in total.items():
+        yield slice_row(cand, part, values)
+
+
+def slice_row(cand: int, part: int, values: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([cand], pa.int32()), pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["cand", "slice", "sums"])
 
 
 def dots(block: Block, w: np.ndarray) -> np.ndarray:
@@ -261,6 +301,34 @@ def second_order(block: Block, cost: float, w: np.ndarray, v: np.ndarray) -> np.
     return spread_back(block, k * dots(block, v), len(w))
 
 
+def leading_order(block: Block, cost: float, w: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Second derivative of the loss among the features ``lead``, the constant one last, as one row."""
+    at, values, row, y, s = block
+    k = np.where(y * dots(block, w) < 1, 2 * cost * s, 0.0)
+    n = len(lead)
+    number = np.full(len(w), -1)
+    number[lead] = np.arange(n)
+    held = (number[at] >= 0) & (k[row] > 0)
+    active = np.flatnonzero(k > 0)
+    place = np.concatenate([number[at[held]], np.full(len(active), n - 1)])
+    value, of = np.concatenate([values[held], np.ones(len(active))]), np.concatenate([row[held], active])
+    order = np.argsort(of, kind="stable")
+    place, value, of = place[order], value[order], of[order]
+    sizes = np.bincount(of, minlength=len(y))
+    start, reach = np.cumsum(sizes) - sizes, sizes[of]
+    upto = np.cumsum(reach)
+    out, done = np.zeros(n * n), 0
+    while done < len(of):
+        # All pairs of entries of one example, a bounded number at a time.
+        end = max(done + 1, int(np.searchsorted(upto, upto[done] + PAIRS)))
+        times = reach[done:end]
+        one = np.repeat(np.arange(done, end), times)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + start[of[one]]
+        out += np.bincount(place[one] * n + place[two], value[one] * value[two] * k[of[one]], n * n)
+        done = end
+    return out
+
+
 def losses(block: Block, cost: float, w: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The loss at all steps along ``p``."""
     _, _, _, y, s = block
@@ -299,11 +367,11 @@ class Newton:
             F.collect_list(F.struct("place", "value")).alias("e")
         )
         empty = F.array().cast("array<struct<place: long, value: double>>")
-        self.blocks = checkpointed(
-            numbered.select("ex", "y", "s").join(known, "ex", "left").withColumn("e", F.coalesce("e", empty)).select(
-                F.col("e.place").alias("ids"), F.col("e.value").alias("values"), "y", "s"
-            )
+        rows = numbered.select("ex", "y", "s").join(known, "ex", "left").withColumn("e", F.coalesce("e", empty)).select(
+            F.col("e.place").alias("ids"), F.col("e.value").alias("values"), "y", "s"
         )
+        self.blocks = checkpointed(rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in PACKED)))
+        self.parts = self.blocks.rdd.getNumPartitions()
 
     def sums(self, what, vectors: dict[int, tuple[np.ndarray, ...]], size: int) -> dict[int, np.ndarray]:
         """``what`` of every block for every candidate, summed."""
@@ -312,21 +380,25 @@ class Newton:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = {k: np.zeros(size) for k in shared.value}
             for batch in batches:
-                block = block_of(batch)
-                for k, vector in shared.value.items():
-                    total[k] += what(block, costs[k], *vector)
+                for block in blocks_of(batch):
+                    for k, vector in shared.value.items():
+                        sums = what(block, costs[k], *vector)
+                        total[k][: len(sums)] += sums
             for k, values in total.items():
-                at = np.flatnonzero(values)
-                columns = [pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(values[at])]
-                yield pa.RecordBatch.from_arrays(columns, ["cand", "place", "value"])
-
-        parts = self.blocks.mapInArrow(run, "cand int, place long, value double")
-        found = parts.groupBy("cand", "place").agg(F.sum("value").alias("value")).toArrow()
+                for start in range(0, size, SLICE):
+                    part = values[start : start + SLICE]
+                    if part.any():
+                        yield slice_row(k, start // SLICE, part)
+
+        kind = "cand int, slice int, sums binary"
+        parts = self.blocks.mapInArrow(run, kind)
+        if self.parts * len(vectors) * size * 8 > DIRECT_BYTES:
+            parts = parts.repartition("cand", "slice").mapInArrow(add_slices, kind)
         out = {k: np.zeros(size) for k in vectors}
-        cand, place, value = (found[n].to_numpy() for n in ("cand", "place", "value"))
-        for k in out:
-            mine = cand == k
-            out[k][place[mine]] = value[mine]
+        for batch in parts.toArrow().to_batches():
+            for cand, part, sums in zip(*(batch.column(n).to_pylist() for n in ("cand", "slice", "sums"))):
+                values = np.frombuffer(sums)
+                out[cand][part * SLICE : part * SLICE + len(values)] += values
         shared.destroy()
         return out
 
@@ -336,10 +408,35 @@ class Newton:
             k: (np.where(self.member[k], w[k] + f[: self.size], 0.0), 1 + f[self.size :]) for k, f in found.items()
         }
 
+    def solvers(self, w, d) -> dict[int, Callable[[np.ndarray], np.ndarray]]:
+        """Approximate inverses of the second derivative: exact among leading features, else its diagonal."""
+        most = max(1, int(LEAD / sqrt(len(w))))
+        lead = {}
+        for k in w:
+            # Features whose loss hardly bends need no more than the diagonal.
+            bent = np.flatnonzero(self.member[k][:-1] & (d[k][:-1] > BENT))
+            top = np.sort(bent[np.argsort(-d[k][bent], kind="stable")[: most - 1]])
+            lead[k] = np.append(top, self.size - 1)
+        found = self.sums(leading_order, {k: (w[k], lead[k]) for k in w}, max(len(x) for x in lead.values()) ** 2)
+
+        def solver(k: int) -> Callable[[np.ndarray], np.ndarray]:
+            n = len(lead[k])
+            inverse = np.linalg.inv(np.eye(n) + found[k][: n * n].reshape(n, n))
+
+            def solve(r: np.ndarray) -> np.ndarray:
+                out = r / d[k]
+                out[lead[k]] = inverse @ r[lead[k]]
+                return out
+
+            return solve
+
+        return {k: solver(k) for k in w}
+
     def directions(self, w, g, d, forcing: dict[int, float], rounds: int) -> dict[int, np.ndarray]:
         """The Newton directions by conjugate gradients, up to ``forcing``."""
+        solve = self.solvers(w, d)
         p, r = {k: np.zeros(self.size) for k in w}, {k: -g[k] for k in w}
-        v = {k: r[k] / d[k] for k in w}
+        v = {k: solve[k](r[k]) for k in w}
         left = {k: float(r[k] @ v[k]) for k in w}
         first = dict(left)
         for _ in range(rounds):
@@ -351,8 +448,9 @@ class Newton:
                 h = np.where(self.member[k], v[k] + found[k], 0.0)
                 a = left[k] / float(v[k] @ h)
                 p[k], r[k] = p[k] + a * v[k], r[k] - a * h
-                after = float(r[k] @ (r[k] / d[k]))
-                v[k], left[k] = r[k] / d[k] + after / left[k] * v[k], after
+                z = solve[k](r[k])
+                after = float(r[k] @ z)
+                v[k], left[k] = z + after / left[k] * v[k], after
         return p
 
     def run(self, tolerance: float, max_iter: int, cg_rounds: int) -> tuple[DataFrame, dict[int, tuple[int, float, float]]]:
