@@ -2,7 +2,8 @@
 
 Vectors, dense arrays or sparse features, become postings ``(idx, id, value)``.  Rows of similar
 direction share a block; each block keeps the largest and least value of each of its lists.  The lists of
-two blocks bound the dot product of any of their pairs.  Block pairs are scored from the best bound on;
+two blocks bound the dot product of any of their pairs.  Rows that cannot reach the k-th best pair of
+the rows with the largest bounds are left out before blocks are made.  Block pairs are scored from the best bound on;
 the k-th best dot product found so far is the running limit, and block pairs whose bound does not reach
 it are never scored.  No side passes through the driver or is refused for its size.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from namesieve.operators.lexicon import measured_side
 from namesieve.operators.ranks import dense_positions
 from namesieve.session import checkpointed, ship
 
@@ -45,16 +47,44 @@ def entries(df: DataFrame, vector: str) -> Column:
     return pairs.cast(kind)
 
 
-def blocked(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, block, e``: rows ordered by their strongest coordinate, in blocks of ``rows``.
+def entered(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``row, id, e``: rows with their coordinates other than 0; a vector without any is left out."""
+    listed = df.select(F.col(key).alias("id"), F.filter(entries(df, vector), lambda x: x["value"] != 0).alias("e"))
+    return checkpointed(listed.where(F.size("e") > 0).withColumn("row", F.monotonically_increasing_id()))
+
+
+def with_most(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Adds ``most``: what a row can reach with any of the others, by the range of each of their lists.
 
-    Coordinates of value 0 are no entries; a vector without entries is left out.
+    Rows that share no coordinate with any of the others are left out.
     """
-    listed = df.select(F.col(key).alias("id"), F.filter(entries(df, vector), lambda x: x["value"] != 0).alias("e"))
+    ranges = measured_side(block_lists(others.withColumn("block", F.lit(0))).drop("block"))
+    reach = rows.select("row", F.inline("e").alias("idx", "value")).join(ranges, "idx")
+    most = F.sum(F.greatest(F.col("value") * F.col("hi"), F.col("value") * F.col("lo")))
+    return checkpointed(rows.join(reach.groupBy("row").agg(most.alias("most")), "row"))
+
+
+def reaches(bound: str, limit: float) -> Column:
+    return F.col(bound) * (1 + F.signum(bound) * SLACK) + SLACK >= limit
+
+
+def promising(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, DataFrame, float]:
+    """Rows of both sides that can reach the k-th best pair of the rows that can reach most, and its value."""
+    left, right = with_most(left, right), with_most(right, left)
+    # Rows of the largest bounds, one block a side; their pairs only set the limit.
+    seeds = [checkpointed(s.orderBy(F.desc("most"), "row").limit(BLOCK_ROWS).select("id", "e", F.lit(0).cast("long").alias("block"))) for s in (left, right)]
+    pair = left.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    best = score_pairs(pair, *seeds, k, float("-inf")).orderBy(F.desc("dot")).limit(k)
+    state = best.agg(F.count("*").alias("n"), F.min("dot").alias("last")).first()
+    limit = state.last if state.n == k else float("-inf")
+    return left.where(reaches("most", limit)), right.where(reaches("most", limit)), limit
+
+
+def blocked(placed: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, block, e``: rows ordered by their strongest coordinate, in blocks of ``rows``."""
     strongest = F.array_max(F.transform("e", lambda x: F.struct(F.abs(x["value"]).alias("size"), x["idx"].alias("idx"), x["value"].alias("value"))))
-    placed = listed.where(F.size("e") > 0).withColumn("top", strongest)
-    ordered = placed.select("id", "e", F.col("top.idx").alias("t"), F.col("top.value").alias("v"))
-    numbered = dense_positions(ordered, "t", "v", "id")
+    ordered = placed.withColumn("top", strongest).select("id", "row", "e", F.col("top.idx").alias("t"), F.col("top.value").alias("v"))
+    numbered = dense_positions(ordered, "t", "v", "id", "row")
     return checkpointed(numbered.select("id", F.floor(F.col("position") / rows).alias("block"), "e"))
 
 
@@ -80,15 +110,14 @@ def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.join(two, "idx").groupBy("a", "b").agg(F.sum(F.greatest(*corners)).alias("bound"))
 
 
-def _matrix(rows: pd.DataFrame, columns: dict[int, int]) -> np.ndarray:
-    """Rows as a matrix over the coordinates of ``columns``; others are left out."""
-    sizes = rows["e"].map(len).to_numpy()
-    flat = [(x["idx"], x["value"]) for e in rows["e"] for x in e]
-    at = np.array([columns.get(i, -1) for i, _ in flat], np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
+def _matrix(rows: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
+    """Rows as a matrix over the sorted coordinates ``columns``; others are left out."""
+    idx, values = np.concatenate(rows["idx"].to_numpy()), np.concatenate(rows["value"].to_numpy())
+    row = np.repeat(np.arange(len(rows)), rows["idx"].map(len).to_numpy())
+    at = np.minimum(np.searchsorted(columns, idx), len(columns) - 1)
+    known = columns[at] == idx
     out = np.zeros((len(rows), len(columns)))
-    known = at >= 0
-    out[row[known], at[known]] = np.array([v for _, v in flat])[known]
+    out[row[known], at[known]] = values[known]
     return out
 
 
@@ -101,8 +130,9 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, lea
     kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
     def best(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        idx = sorted({x["idx"] for e in own["e"] for x in e})
-        columns = {i: n for n, i in enumerate(idx)}
+        if not len(own) or not len(other):
+            return pd.DataFrame({"query_id": own["id"][:0], "other_id": other["id"][:0], "dot": np.zeros(0)})
+        columns = np.unique(np.concatenate(own["idx"].to_numpy()))
         a, b = _matrix(own, columns), _matrix(other, columns)
         dots = a @ b.T
         # Only pairs that share a coordinate are pairs.
@@ -117,10 +147,11 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, lea
             }
         )
 
-    one = pairs.join(left.withColumnRenamed("block", "a"), "a")
+    lists = (F.col("e.idx").alias("idx"), F.col("e.value").alias("value"))
+    one = pairs.join(left.withColumnRenamed("block", "a"), "a").select("a", "b", "id", *lists)
     # Columns of their own, so that both sides of the grouping are told apart.
     two = pairs.join(right.withColumnRenamed("block", "b"), "b").select(
-        F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("id"), F.col("e").alias("e")
+        F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("id"), *lists
     )
     return one.groupBy("a", "b").cogroup(two.groupBy("c", "d")).applyInPandas(best, f"query_id {kinds[0]}, other_id {kinds[1]}, dot double")
 
@@ -133,18 +164,19 @@ def counted_pairs(
     Pairs share at least one coordinate; ties go to the smaller ids.
     """
     ship(queries.sparkSession)
-    left, right = blocked(queries, key, vector, rows), blocked(others, key, vector, rows)
-    bounds = block_bounds(left, right)
+    left, right = entered(queries, key, vector), entered(others, key, vector)
+    total = left.count() * right.count()
+    left, right, limit = promising(left, right, k)
+    left, right = blocked(left, rows), blocked(right, rows)
+    bounds = block_bounds(left, right).where(reaches("bound", limit))
     ranked = checkpointed(dense_positions(bounds, F.desc("bound"), "a", "b"))
     sizes = [b.groupBy(F.col("block").alias(n)).agg(F.count("*").alias(f"n{n}")) for b, n in ((left, "a"), (right, "b"))]
     ranked = checkpointed(ranked.join(sizes[0], "a").join(sizes[1], "b").withColumn("pairs", F.col("na") * F.col("nb")))
-    total = ranked.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first().n
     found = left.select(F.col("id").alias("query_id")).join(right.select(F.col("id").alias("other_id")), F.lit(False))
     found = found.withColumn("dot", F.lit(0.0))
-    start, size, limit, scored, rounds = 0, FIRST_PAIRS, float("-inf"), 0, 0
+    start, size, scored, rounds = 0, FIRST_PAIRS, 0, 0
     while True:
-        reach = F.col("bound") * (1 + F.signum("bound") * SLACK) + SLACK >= limit
-        now = ranked.where((F.col("position") >= start) & (F.col("position") < start + size) & reach)
+        now = ranked.where((F.col("position") >= start) & (F.col("position") < start + size) & reaches("bound", limit))
         taken = now.agg(F.count("*").alias("n"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
         if taken.n == 0:
             break
@@ -152,7 +184,7 @@ def counted_pairs(
         found = checkpointed(found.unionByName(more).orderBy(F.desc("dot"), "query_id", "other_id").limit(k))
         scored, rounds = scored + taken.pairs, rounds + 1
         state = found.agg(F.count("*").alias("n"), F.min("dot").alias("last")).first()
-        limit = state.last if state.n == k else float("-inf")
+        limit = max(limit, state.last) if state.n == k else limit
         start, size = start + size, size * GROWTH
     return found, PairCounts(int(scored), int(total - scored), rounds)
 

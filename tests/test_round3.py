@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from namesieve.operators import scoring, svm
+from namesieve.operators import scoring, similarity, svm
 from namesieve.plans import catalogue
 
 
@@ -62,3 +62,15 @@ def test_solver_adds_in_tasks_or_in_the_driver(spark, monkeypatch):
     tasks = svm.fit_squared_hinge(made, 1.0, 1e-9)
     one, two = ({r.id: r.weight for r in m.weights.collect()} for m in (direct, tasks))
     assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-6 for i in one)
+
+
+def test_rows_that_cannot_win_are_in_no_block(spark):
+    """Short strings cannot reach the best pairs of long ones, in whatever block they would be."""
+    rows = [(i, {"indices": [j for j in range(20) if i < 8 or j == i % 20], "values": [1.0] * (20 if i < 8 else 1)}) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, vector struct<indices: array<long>, values: array<double>>")
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    kept = similarity.promising(similarity.entered(left, "id", "vector"), similarity.entered(right, "id", "vector"), 5)
+    assert kept[0].count() == 4 and kept[1].count() == 4 and kept[2] == 20.0
+    found, counts = similarity.counted_pairs(left, right, 5)
+    assert [(r.query_id, r.other_id) for r in found.orderBy("query_id", "other_id").collect()] == [(0, 1), (0, 3), (0, 5), (0, 7), (2, 1)]
+    assert counts.scored == 16
