@@ -96,8 +96,7 @@ def labelled_file(spark, sf):
 def chunk_sizes(spark, sf):
     """Records for each file when a table is split into files of 500."""
     path = scratch(spark, "chunks")
-    rows = table(spark, sf, "orders").select("o_orderkey").repartition(1)
-    writers.write_csv(rows, path, records_per_file=500)
+    writers.write_chunks(table(spark, sf, "orders").select("o_orderkey"), path, 500, "o_orderkey")
     read = spark.read.schema("o_orderkey LONG").option("header", True).csv(path)
     sizes = read.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("records"))
     return sizes.groupBy("records").agg(F.count("*").alias("files"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namesieve.operators.ranks import dense_positions
 from namesieve.session import checkpointed
 
 
@@ -48,6 +49,22 @@ def write_csv(df: DataFrame, path: str, records_per_file: int | None = None) ->
     out.csv(path)
 
 
+# Files that one task writes in turn.
+FILES_PER_TASK = 200
+
+
+def write_chunks(df: DataFrame, path: str, records_per_file: int, *order: str) -> None:
+    """Headed CSV in files of ``records_per_file``, all but the last one full, written by many tasks.
+
+    The records of a task are a whole number of files: they are dealt by their place in ``order``.
+    """
+    placed = dense_positions(df, *order, out="_place")
+    each = records_per_file * FILES_PER_TASK
+    tasks = max(1, -(-df.count() // each))
+    dealt = placed.repartitionById(tasks, F.floor(F.col("_place") / each).cast("int"))
+    write_csv(dealt.sortWithinPartitions("_place").drop("_place"), path, records_per_file)
+
+
 def write_sorted_lines(df: DataFrame, column: str, path: str) -> None:
     """Distinct strings in order, one per line."""
     df.select(F.col(column).alias("value")).distinct().orderBy("value").write.mode(

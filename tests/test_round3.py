@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from namesieve.operators import scoring, similarity, svm
 from namesieve.plans import catalogue
+from namesieve.sources import writers
 
 
 def test_describe_counts_of_long_strings(spark):
@@ -74,3 +75,12 @@ def test_rows_that_cannot_win_are_in_no_block(spark):
     found, counts = similarity.counted_pairs(left, right, 5)
     assert [(r.query_id, r.other_id) for r in found.orderBy("query_id", "other_id").collect()] == [(0, 1), (0, 3), (0, 5), (0, 7), (2, 1)]
     assert counts.scored == 16
+
+
+def test_chunks_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILES_PER_TASK", 2)
+    rows = spark.createDataFrame([(i // 2,) for i in range(53)], "k long").repartition(4)
+    writers.write_chunks(rows, str(tmp_path / "out"), 5, "k")
+    files = [f for f in (tmp_path / "out").glob("part-*.csv")]
+    assert sorted(len(f.read_text().splitlines()) - 1 for f in files) == [3] + [5] * 10
+    assert len({f.name[:10] for f in files}) == 6
