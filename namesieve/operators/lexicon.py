@@ -45,6 +45,8 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 # Stop words and organisation modifiers are tested inside expressions, as literal sets.
 LITERAL_TERMS = 50_000
+# Up to this many terms, n-grams of words are looked up inside expressions too.
+SPAN_TERMS = 20_000
 
 
 def mask_of(*names: str) -> int:
@@ -76,6 +78,7 @@ class Lexicon:
     common_subjects: tuple[str, ...]
     first_words: tuple[str, ...] | None  # first words of all terms; None if too many
     bits: dict[str, int]  # list -> its bit, lists of registered rules included
+    masks: dict[str, int] | None = None  # term -> mask; None if there are too many
 
     @classmethod
     def compile(cls, terms: DataFrame, extra: tuple[str, ...] = ()) -> "Lexicon":
@@ -116,7 +119,9 @@ class Lexicon:
         for name in inline:
             if row[f"k_{name}"] > LITERAL_TERMS:
                 raise ValueError(f"list {name} has more than {LITERAL_TERMS} terms")
-        literals = compiled.where(F.col("mask").bitwiseAND(F.lit(mask_of(*inline))) != 0).collect()
+        few = row.n <= SPAN_TERMS
+        wanted = F.lit(True) if few else F.col("mask").bitwiseAND(F.lit(mask_of(*inline))) != 0
+        literals = compiled.where(F.col("term").isNotNull() & wanted).collect()
 
         def literal(name: str) -> tuple[str, ...]:
             return tuple(sorted(r.term for r in literals if r.mask & BIT[name]))
@@ -134,12 +139,26 @@ class Lexicon:
             common_subjects=literal("common_subject"),
             first_words=tuple(r.w for r in firsts) if len(firsts) <= LITERAL_TERMS else None,
             bits=bits,
+            masks={r.term: r.mask for r in literals} if few else None,
         )
 
     @property
     def fits_broadcast(self) -> bool:
         return self.n_terms <= BROADCAST_ROWS and self.n_bytes <= BROADCAST_BYTES
 
+    @property
+    def literal(self) -> bool:
+        """Few enough terms to look n-grams up inside expressions, where no row has to be exploded."""
+        return self.masks is not None and self.first_words is not None and self.fits_broadcast
+
+    def terms_of(self, mask: int) -> dict[int, dict[str, int]]:
+        """The terms of the lists in ``mask`` with what they have of it, by their number of words."""
+        found: dict[int, dict[str, int]] = {}
+        for term, own in (self.masks or {}).items():
+            if own & mask:
+                found.setdefault(term.count(" ") + 1, {})[term] = own & mask
+        return found
+
     def side(self) -> DataFrame:
         """The term table, hinted for broadcast only while its measured size is small."""
         return F.broadcast(self.terms) if self.fits_broadcast else self.terms

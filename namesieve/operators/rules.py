@@ -51,9 +51,15 @@ class CustomRule:
         tokens = {"norm": "norm_tokens", "content": "tokens"}[self.look_at]
         return sp.gram_probes(slot, tokens, longest, lexicon.first_words)
 
-    def value(self, slot: int, lexicon: Lexicon) -> Column:
+    def spans(self, lexicon: Lexicon) -> str:
+        """SQL text of what :meth:`probe` finds, for a lexicon of few terms."""
+        mask = sum(lexicon.bits[name] for name in set(self.lists))
+        tokens = {"norm": "norm_tokens", "content": "tokens"}[self.look_at]
+        return sp.literal_spans(tokens, lexicon, mask, lexicon.max_words(*self.lists))
+
+    def value(self, lexicon: Lexicon) -> Column:
         def found(name: str) -> Column:
-            return sp.mask_at(slot).bitwiseAND(F.lit(lexicon.bits[name])) != 0
+            return F.col(f"m_{self.column}").bitwiseAND(F.lit(lexicon.bits[name])) != 0
 
         return F.when(self.condition(found), F.lit(self.label))
 
@@ -168,8 +174,13 @@ def _levels(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
     )
     return (
         base.withColumn("tails", chain)
-        .select("input", F.posexplode(F.concat(F.array(own), F.col("tails"))).alias("depth", "level"))
-        .select("input", "depth", "level.*")
+        .select(
+            "input",
+            F.col("norm").alias("own_norm"),
+            F.col("norm_no_sw").alias("own_no_sw"),
+            F.posexplode(F.concat(F.array(own), F.col("tails"))).alias("depth", "level"),
+        )
+        .select("input", "own_norm", "own_no_sw", "depth", "level.*")
     )
 
 
@@ -198,55 +209,57 @@ def _positions(tokens: str, members: tuple[str, ...]) -> Column:
     return F.expr(f"filter({found}, i -> i >= 0)")
 
 
+NORM_LISTS = ("location", "company_name", "university", "company_type")
+CONTENT_LISTS = ("type", "subject", "university", "common_subject", "org_modifier", "fuzzy_subject")
+# Without connectors only terms that end at one of the last two words are looked at.
+NEAR_THE_END = "linked OR i + k >= n - 1"
+
+
+def _exact_terms(prof: Profile) -> dict[int, Column]:
+    """What is looked up as a whole, by slot; null if there is nothing to look up."""
+    v1 = prof.generation == 1
+    org = F.col("org")
+    suffix_of = F.col("norm") if v1 else org
+    studies = _studies_pattern(prof)
+    matches = org.rlike(studies)
+    subject = F.lower(F.regexp_extract(org, studies, 1 if v1 else 2))
+    one_word = F.size(words(org)) == 1
+    terms = {
+        sp.WHOLE: F.col("norm_no_sw"),
+        sp.SUFFIX: F.when(
+            suffix_of.rlike(fixed.WORD_AND_REST), F.regexp_extract(suffix_of, fixed.WORD_AND_REST, 1)
+        ),
+        sp.BASE: F.when(one_word, F.col("base")),
+        sp.RAW_SUBJECT: F.when(matches, subject),
+    }
+    if not v1:
+        terms |= {
+            sp.EXPANDED: F.lower("base"),
+            sp.RAW_TYPE: F.when(matches, F.regexp_extract(org, studies, 1)),
+            sp.RAW: F.when(one_word, org),
+            sp.ACRONYM: F.when(F.col("acronym") != "", F.col("acronym")),
+        }
+    return terms
+
+
 def _probe_all(levels: DataFrame, lexicon: Lexicon, prof: Profile) -> Column:
     """Everything the active rules will look up, as one array per row."""
-    v1 = prof.generation == 1
-    org, norm, content = F.col("org"), F.col("norm"), F.col("norm_no_sw")
-    norm_longest = lexicon.max_words("location", "company_name", "university", "company_type")
-    longest = lexicon.max_words(
-        "type", "subject", "university", "common_subject", "org_modifier", "fuzzy_subject"
-    )
-    # Without connectors only terms that end at one of the last two words are looked at.
+    norm = F.col("norm")
+    longest = lexicon.max_words(*CONTENT_LISTS)
     first = lexicon.first_words
-    needed = sp.gram_probes(sp.CONTENT, "tokens", longest, first, "linked OR i + k >= n - 1")
-    suffix_of = norm if v1 else org
     parts = [
-        sp.gram_probes(sp.NORM, "norm_tokens", norm_longest, first),
-        needed,
-        sp.exact_probe(sp.WHOLE, content),
-        sp.exact_probe(
-            sp.SUFFIX,
-            F.when(
-                suffix_of.rlike(fixed.WORD_AND_REST),
-                F.regexp_extract(suffix_of, fixed.WORD_AND_REST, 1),
-            ),
-        ),
-        sp.exact_probe(sp.BASE, F.when(F.size(words(org)) == 1, F.col("base"))),
+        sp.gram_probes(sp.NORM, "norm_tokens", lexicon.max_words(*NORM_LISTS), first),
+        sp.gram_probes(sp.CONTENT, "tokens", longest, first, NEAR_THE_END),
         sp.ending_probes(F.col("tokens"), lexicon.longest_chars["word_ending"]),
         F.when(
             F.col("and_variant"),
             sp.gram_probes(sp.CONTENT_AND, "and_tokens", longest, first),
         ).otherwise(sp.no_probes()),
     ]
-    studies = _studies_pattern(prof)
-    subject_group = 1 if v1 else 2
-    matches = org.rlike(studies)
-    parts.append(
-        sp.exact_probe(
-            sp.RAW_SUBJECT,
-            F.when(matches, F.lower(F.regexp_extract(org, studies, subject_group))),
-        )
-    )
-    if v1:
+    parts += [sp.exact_probe(slot, term) for slot, term in _exact_terms(prof).items()]
+    if prof.generation == 1:
         # an empty string counts as its own n-gram here
         parts.append(sp.exact_probe(sp.NORM, F.when(norm == "", norm)))
-    else:
-        parts += [
-            sp.exact_probe(sp.EXPANDED, F.lower("base")),
-            sp.exact_probe(sp.RAW_TYPE, F.when(matches, F.regexp_extract(org, studies, 1))),
-            sp.exact_probe(sp.RAW, F.when(F.size(words(org)) == 1, org)),
-            sp.exact_probe(sp.ACRONYM, F.when(F.col("acronym") != "", F.col("acronym"))),
-        ]
     parts += [rule.probe(sp.CUSTOM + i, lexicon) for i, rule in enumerate(prof.custom)]
     return F.concat(*parts)
 
@@ -257,36 +270,87 @@ def _studies_pattern(prof: Profile) -> str:
     return fixed.STUDIES_IN.format(of="|".join(prof.of_words), into="|".join(fixed.IN_WORDS))
 
 
-def _with_flags(found: DataFrame, prof: Profile) -> DataFrame:
-    """Per-slot masks and the span arrays the rule texts refer to."""
-    masks = {
-        "m_norm": sp.NORM,
-        "m_whole": sp.WHOLE,
-        "m_expanded": sp.EXPANDED,
-        "m_raw_type": sp.RAW_TYPE,
-        "m_raw_subject": sp.RAW_SUBJECT,
-        "m_suffix": sp.SUFFIX,
-        "m_raw": sp.RAW,
-        "m_base": sp.BASE,
-        "m_acronym": sp.ACRONYM,
+MASKS = {
+    "m_norm": sp.NORM,
+    "m_whole": sp.WHOLE,
+    "m_expanded": sp.EXPANDED,
+    "m_raw_type": sp.RAW_TYPE,
+    "m_raw_subject": sp.RAW_SUBJECT,
+    "m_suffix": sp.SUFFIX,
+    "m_raw": sp.RAW,
+    "m_base": sp.BASE,
+    "m_acronym": sp.ACRONYM,
+}
+
+
+def _joined_hits(levels: DataFrame, lexicon: Lexicon, prof: Profile, carried: list[str]) -> DataFrame:
+    """Masks by slot, spans and registered rules, from one join with a row for each probe."""
+    found = sp.find_spans(levels, lexicon, ["input", "depth"], carried, _probe_all(levels, lexicon, prof))
+    return found.select(
+        "input",
+        "depth",
+        *carried,
+        *[sp.mask_at(slot).alias(name) for name, slot in MASKS.items()],
+        F.expr(f"filter(hits, h -> h.slot = {sp.CONTENT})").alias("spans"),
+        F.expr(f"filter(hits, h -> h.slot IN ({sp.CONTENT}, {sp.CONTENT_AND}))").alias("spans_and"),
+        F.expr(
+            f"transform(filter(hits, h -> h.slot = {sp.ENDING}"
+            f" AND (h.mask & {BIT['word_ending']}L) <> 0L), h -> h.start)"
+        ).alias("ending_pos"),
+        *[sp.mask_at(sp.CUSTOM + i).alias(f"m_{rule.column}") for i, rule in enumerate(prof.custom)],
+    )
+
+
+def _literal_hits(levels: DataFrame, lexicon: Lexicon, prof: Profile, carried: list[str]) -> DataFrame:
+    """The same for a lexicon of few terms: n-grams are tested in place, whole terms by broadcast joins.
+
+    Neither makes more rows, so nothing has to be grouped by string again.
+    """
+    asked = _exact_terms(prof)
+    exact = {name: asked[slot] for name, slot in MASKS.items() if slot in asked}
+    longest = lexicon.max_words(*CONTENT_LISTS)
+    content = mask_of(*CONTENT_LISTS, "subject_modifier")
+    norm = sp.union_mask(
+        sp.literal_spans("norm_tokens", lexicon, mask_of(*NORM_LISTS), lexicon.max_words(*NORM_LISTS))
+    )
+    if prof.generation == 1:
+        # an empty string counts as its own n-gram here
+        norm = f"({norm} | IF(norm = '', {(lexicon.masks or {}).get('', 0)}L, 0L))"
+    spans = {
+        "m_norm": norm,
+        "spans": sp.literal_spans("tokens", lexicon, content, longest, NEAR_THE_END),
+        "ending_pos": sp.literal_endings("tokens", lexicon, BIT["word_ending"]),
     }
+    together = f"IF(and_variant, concat(spans, {sp.literal_spans('and_tokens', lexicon, content, longest)}), spans)"
+    own = {
+        f"m_{rule.column}": F.col("m_whole") if rule.look_at == "whole" else F.expr(sp.union_mask(rule.spans(lexicon)))
+        for rule in prof.custom
+    }
+    nothing = F.lit(0).cast("bigint")
+    found = sp.exact_masks(levels, lexicon, exact).withColumns({name: F.expr(text) for name, text in spans.items()})
+    return found.select(
+        "input",
+        "depth",
+        *carried,
+        *[F.col(name) if name in exact or name == "m_norm" else nothing.alias(name) for name in MASKS],
+        "spans",
+        F.expr(together).alias("spans_and"),
+        "ending_pos",
+        *[value.alias(name) for name, value in own.items()],
+    )
+
+
+def _with_flags(found: DataFrame, prof: Profile) -> DataFrame:
+    """The position arrays and answers the rule texts refer to."""
     flagged = found.select(
         "*",
-        *[sp.mask_at(slot).alias(name) for name, slot in masks.items()],
-        F.expr(f"filter(hits, h -> h.slot = {sp.CONTENT})").alias("spans"),
-        F.expr(f"filter(hits, h -> h.slot IN ({sp.CONTENT}, {sp.CONTENT_AND}))").alias("spans_and"),
         F.expr(
-            f"transform(filter(hits, h -> h.slot = {sp.CONTENT} AND h.n = 1"
-            f" AND (h.mask & {BIT['subject_modifier']}L) <> 0L), h -> h.start)"
+            f"transform(filter(spans, h -> h.n = 1 AND (h.mask & {BIT['subject_modifier']}L) <> 0L), h -> h.start)"
         ).alias("sm_pos"),
         F.expr(
-            f"transform(filter(hits, h -> h.slot = {sp.CONTENT} AND h.n = 1 AND"
+            "transform(filter(spans, h -> h.n = 1 AND"
             f" (h.mask & {mask_of('type', 'subject', 'org_modifier')}L) <> 0L), h -> h.start)"
         ).alias("known_pos"),
-        F.expr(
-            f"transform(filter(hits, h -> h.slot = {sp.ENDING}"
-            f" AND (h.mask & {BIT['word_ending']}L) <> 0L), h -> h.start)"
-        ).alias("ending_pos"),
     )
     first_of = "array_min(filter(of_pos, p -> p >= 1 AND p <= n - 2))"
 
@@ -445,18 +509,17 @@ def _evaluate(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
             "and_tokens", F.expr(f"IF(and_variant, {joined}, cast(array() AS array<string>))")
         )
     )
-    carried = ["org", "norm", "norm_no_sw", "tokens", "acronym", "n", "of_pos", "and_pos", "list_pos"]
-    found = sp.find_spans(
-        levels, lexicon, ["input", "depth"], carried, _probe_all(levels, lexicon, prof)
-    )
+    carried = ["own_norm", "own_no_sw", "org", "norm", "norm_no_sw", "tokens", "acronym", "n", "of_pos", "and_pos", "list_pos"]
+    hits = _literal_hits if lexicon.literal else _joined_hits
+    found = hits(levels, lexicon, prof, carried)
     columns = _rule_columns(lexicon, prof)
-    registered = {rule.column: rule.value(sp.CUSTOM + i, lexicon) for i, rule in enumerate(prof.custom)}
+    registered = {rule.column: rule.value(lexicon) for rule in prof.custom}
     none = F.lit(None).cast("string")
     return _with_flags(found, prof).select(
         "input",
         "depth",
-        "norm",
-        "norm_no_sw",
+        "own_norm",
+        "own_no_sw",
         *[
             (columns[k] if k in ("allow", "deny") or prof.runs(k) else none).alias(
                 k if isinstance(k, str) else column_of(k)
@@ -467,6 +530,16 @@ def _evaluate(df: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFrame:
     )
 
 
+WORD_BITS = 60  # rules whose bits share an integer
+
+
+def _labels() -> dict[str, str]:
+    """The label that each list and slot gives, the recursive one left out."""
+    generic = {"allow", *(column_of(s) for s in (1, 2, 3, 10, *range(12, 20), 21, 22, 23, 25))}
+    names = ("allow", "deny", *(column_of(s) for s in SLOTS if s != 20))
+    return {name: fixed.GEN if name in generic else fixed.SPE for name in names}
+
+
 def _name(item: int | str) -> str:
     return item if isinstance(item, str) else column_of(item)
 
@@ -492,32 +565,41 @@ def _matrix_of(distinct: DataFrame, lexicon: Lexicon, prof: Profile) -> DataFram
     after = [_name(k) for k in order[at + 1 :]]
     none = F.lit(None).cast("string")
     rows = _evaluate(distinct, lexicon, prof)
-    kept = ["norm", "norm_no_sw", "allow", "deny", *[column_of(s) for s in SLOTS if s != 20], *added]
-    folded = rows.groupBy("input").agg(
-        F.max(F.when(F.col("depth") == 0, F.struct(*kept))).alias("own"),
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("depth") > 0,
-                    F.struct(
-                        (-F.col("depth")).alias("rank"),
-                        F.coalesce(*before, none).alias("before"),
-                        F.coalesce(*after, none).alias("after"),
-                    ),
-                )
-            )
-        ).alias("deeper"),
+    # What fired is a bit for each rule: its label is known, so the groups hold integers only.
+    labels = {**_labels(), **{rule.column: rule.label for rule in prof.custom}}
+    parts = [list(labels)[i : i + WORD_BITS] for i in range(0, len(labels), WORD_BITS)]
+    fired = {
+        f"fired_{i}": sum(
+            (F.when(F.col(name).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint") for j, name in enumerate(names)),
+            F.lit(0).cast("bigint"),
+        )
+        for i, names in enumerate(parts)
+    }
+    # From the deepest tail outwards: a tail that is generic makes its parent generic.  Read from outside,
+    # the first tail that does not leave the answer to the next one decides.
+    first, last = F.coalesce(*before, none), F.coalesce(*after, none)
+    generic = F.coalesce(first == fixed.GEN, last == fixed.GEN, F.lit(False))
+    decides = (F.col("depth") > 0) & (first.isNotNull() | generic)
+    folded = (
+        rows.withColumns({**fired, "decided": F.when(decides, F.col("depth") * 2 + F.when(generic, 0).otherwise(1))})
+        .groupBy("input", "own_norm", "own_no_sw")
+        .agg(
+            *[F.max(F.when(F.col("depth") == 0, F.col(name))).alias(name) for name in fired],
+            F.min("decided").alias("decided"),
+        )
     )
-    # from the deepest tail outwards: a tail that is generic makes its parent generic
-    tail_label = F.aggregate(
-        "deeper",
-        F.lit(None).cast("string"),
-        lambda acc, x: F.coalesce(
-            x["before"], F.when(acc == fixed.GEN, F.lit(fixed.GEN)), x["after"]
-        ),
+    chained = F.when(F.col("decided") % 2 == 0, F.lit(fixed.GEN)) if prof.runs(20) else none
+    flat = folded.select(
+        "input",
+        F.col("own_norm").alias("norm"),
+        F.col("own_no_sw").alias("norm_no_sw"),
+        *[
+            F.when(F.col(f"fired_{i}").bitwiseAND(F.lit(1 << j)) != 0, F.lit(labels[name])).alias(name)
+            for i, names in enumerate(parts)
+            for j, name in enumerate(names)
+        ],
+        chained.alias(column_of(20)),
     )
-    chained = F.when(tail_label == fixed.GEN, F.lit(fixed.GEN)) if prof.runs(20) else none
-    flat = folded.select("input", "own.*", chained.alias(column_of(20)))
     by_rule = [_name(k) for k in order if k not in ("allow", "deny")]
     return flat.select(
         "input",

@@ -9,6 +9,9 @@ that key the aggregation adds no exchange.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from namesieve.functions.text import member_of
 from namesieve.operators.lexicon import Lexicon
 
 PROBE = "struct<slot:int,start:int,n:int,term:string>"
+SPANS = "array<struct<start:int,n:int,mask:bigint>>"
 KEEP_ROW = -1
 
 # What a probed term stands for.
@@ -89,6 +93,73 @@ def ending_probes(tokens: Column, longest_ending: int) -> Column:
     return F.flatten(F.transform(tokens, of_word))
 
 
+def literal_mask(term: str, terms: dict[str, int]) -> str:
+    """SQL text of the mask of ``term``: one hash-set test for each list."""
+    bits = sorted({1 << i for own in terms.values() for i in range(own.bit_length()) if own >> i & 1})
+    tests = (f"IF({member_of(term, (t for t, own in terms.items() if own & bit))}, {bit}L, 0L)" for bit in bits)
+    return f"({' | '.join(tests)})" if bits else "0L"
+
+
+def _starts(tokens: str, members: Iterable[str]) -> str:
+    return f"filter(transform({tokens}, (w, i) -> IF({member_of('w', members)}, i, -1)), i -> i >= 0)"
+
+
+def literal_spans(tokens: str, lexicon: Lexicon, mask: int, longest: int, wanted: str = "true") -> str:
+    """SQL text of ``array<struct<start, n, mask>>``: the listed n-grams of a token column.
+
+    For a lexicon whose terms are literals: what :func:`gram_probes` and :func:`find_spans` give, without
+    a row for each probe.  Only terms of the lists in ``mask`` count.
+    """
+    by_words = lexicon.terms_of(mask)
+    parts = []
+    for k, terms in sorted(by_words.items()):
+        if k > longest:
+            continue
+        if k == 1:
+            hit = f"named_struct('start', i, 'n', 1, 'mask', {literal_mask(f'get({tokens}, i)', terms)})"
+            parts.append(f"transform({_starts(tokens, terms)}, i -> {hit})")
+            continue
+        words_of = ", ".join(f"get({tokens}, i + {j})" for j in range(k))
+        here = re.sub(r"\bk\b", str(k), wanted)
+        room = f"i + {k} <= size({tokens}) AND ({here})"
+        gram = f"filter(array(concat_ws(' ', {words_of})), t -> {member_of('t', terms)})"
+        hit = f"named_struct('start', i, 'n', {k}, 'mask', {literal_mask('t', terms)})"
+        starts = f"filter({_starts(tokens, {t.split(' ')[0] for t in terms})}, i -> {room})"
+        parts.append(f"flatten(transform({starts}, i -> transform({gram}, t -> {hit})))")
+    if not parts:
+        return f"cast(array() AS {SPANS})"
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+
+def literal_endings(tokens: str, lexicon: Lexicon, mask: int) -> str:
+    """SQL text of the positions of words with a listed ending, as :func:`ending_probes` looks for them."""
+    by_length: dict[int, list[str]] = {}
+    for terms in lexicon.terms_of(mask).values():
+        for term in terms:
+            by_length.setdefault(len(term), []).append(term)
+    tests = [
+        f"(length(w) >= {k + 4} AND {member_of(f'right(w, {k})', terms)})"
+        for k, terms in sorted(by_length.items())
+        if k >= 4
+    ]
+    if not tests:
+        return "cast(array() AS array<int>)"
+    return f"filter(transform({tokens}, (w, i) -> IF({' OR '.join(tests)}, i, -1)), i -> i >= 0)"
+
+
+def union_mask(spans: str) -> str:
+    return f"aggregate({spans}, 0L, (a, h) -> a | h.mask)"
+
+
+def exact_masks(df: DataFrame, lexicon: Lexicon, terms: dict[str, Column]) -> DataFrame:
+    """Adds the mask of each whole term, 0 if it is not listed: a broadcast join for each."""
+    for name, term in terms.items():
+        side = lexicon.side().select(F.col("term").alias("_term"), F.col("mask").alias("_mask"))
+        joined = df.withColumn("_key", term).join(F.broadcast(side), F.col("_key") == F.col("_term"), "left")
+        df = joined.withColumn(name, F.coalesce("_mask", F.lit(0).cast("bigint"))).drop("_key", "_term", "_mask")
+    return df
+
+
 def find_spans(
     df: DataFrame, lexicon: Lexicon, keys: list[str], carried: list[str], probes: Column
 ) -> DataFrame:
