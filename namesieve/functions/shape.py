@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesieve import fixed
@@ -138,6 +138,22 @@ def join_tags(tags: Column) -> Column:
     return F.array_join(tags, "_")
 
 
+def gram_rows(df: DataFrame, tokens: Column, longest: int) -> DataFrame:
+    """``n, term``: a row for each contiguous n-gram of words, n = 1..``longest``.
+
+    Every position is a row with the words that follow it, so no list of all n-grams of a text is built.
+    """
+    rows = df.select(tokens.alias("ws"))
+    names = [f"w{k}" for k in range(longest)]
+    shifted = [F.slice("ws", k + 1, F.size("ws")).alias(name) for k, name in enumerate(names)]
+    at = rows.where("size(ws) > 0").select(F.inline(F.arrays_zip(*shifted)).alias(*names))
+    found = [
+        F.struct(F.lit(n).alias("n"), F.when(F.col(names[n - 1]).isNotNull(), F.concat_ws(" ", *names[:n])).alias("term"))
+        for n in range(1, longest + 1)
+    ]
+    return at.select(F.inline(F.array(*found))).where("term IS NOT NULL")
+
+
 def grams(tokens: Column, longest: int) -> Column:
     """Contiguous word n-grams as structs ``(start, n, term)``, n = 1..``longest``.
 

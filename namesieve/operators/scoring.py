@@ -69,19 +69,27 @@ def ablation(
 ) -> DataFrame:
     """Scores of every rule alone and of every prefix of the cascade.
 
-    All systems are counted in one pass over the rows; only the one-row result is unpivoted.
+    Rows that agree in the label and in all rules are counted first, so the many systems are compared
+    once for each such pattern; only the one-row result is unpivoted.  A column ``rows`` tells how many
+    rows a row stands for.
     """
+    weight = F.sum("rows") if "rows" in labelled.columns else F.count("*")
+    labelled = labelled.groupBy(F.col(gold), *rules).agg(weight.alias("rows"))
     systems: dict[str, Column] = {}
     for i, name in enumerate(rules):
         systems[name] = F.col(name)
         systems[name.replace("rule_", "rule_00-")] = F.coalesce(*rules[: i + 1])
     is_gold = F.col(gold) == GEN
-    aggs = [F.count("*").alias("total"), F.count_if(is_gold).alias("actual")]
+
+    def rows_with(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0).cast("bigint"))
+
+    aggs = [rows_with(F.lit(True)).alias("total"), rows_with(is_gold).alias("actual")]
     for name, value in systems.items():
         aggs += [
-            F.count(value).alias(f"{name}#n"),
-            F.count_if(value == GEN).alias(f"{name}#p"),
-            F.count_if((value == GEN) & is_gold).alias(f"{name}#t"),
+            rows_with(value.isNotNull()).alias(f"{name}#n"),
+            rows_with(value == GEN).alias(f"{name}#p"),
+            rows_with((value == GEN) & is_gold).alias(f"{name}#t"),
         ]
     wide = labelled.agg(*aggs)
     long = wide.select(

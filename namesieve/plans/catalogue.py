@@ -64,9 +64,8 @@ def token_ngrams(spark, sf):
     """N-grams of up to three words, or up to the longest listed term if that is longer."""
     rows = preprocess(inputs.documents(spark, sf, "text"), (), "text")
     longest = max(3, inputs.lexicon(spark, sf).max_words(*lexicon.LISTS))
-    grams = rows.select(F.explode(shape.grams(F.split("norm", " "), longest)).alias("g"))
     return (
-        grams.select("g.n", "g.term")
+        shape.gram_rows(rows, F.split("norm", " "), longest)
         .groupBy("n", "term")
         .agg(F.count("*").alias("c"))
         .groupBy("n")
@@ -308,7 +307,8 @@ def rule_prefix(spark, sf):
 
 @query
 def score_by_rule(spark, sf):
-    rows = inputs.labelled_segments(spark, sf).select("input", "label")
+    # One row for each string and label, so the rows of a frequent string do not meet in one task.
+    rows = inputs.labelled_segments(spark, sf).groupBy("input", "label").agg(F.count("*").alias("rows"))
     matrix = rules.rule_matrix(rows, inputs.lexicon(spark, sf)).select("input", *rules.RULE_COLUMNS)
     return scoring.ablation(rows.join(matrix, "input"))
 
