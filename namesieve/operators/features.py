@@ -20,6 +20,7 @@ from namesieve.operators.ranks import dense_positions, running_total
 from namesieve.operators.rules import column_of, first_of
 from namesieve.operators.tokens import (
     frequency_stats,
+    placed,
     rank_bands,
     tag_sequences,
     tag_table,
@@ -146,15 +147,18 @@ class TokenState:
 def feature_columns(
     matrix: DataFrame, state: TokenState, opts: FeatureOptions, mapping: DataFrame | None = None
 ) -> DataFrame:
-    """Raw features per distinct string.  ``matrix`` comes from ``rule_matrix``."""
+    """Raw features per distinct string.  ``matrix`` comes from ``rule_matrix``.
+
+    Strings are placed once; all that is joined or grouped by string then stays where it is.
+    """
     rule_cols = [F.coalesce(column_of(s), F.lit("None")).alias(column_of(s)) for s in opts.rules]
-    rows = matrix.select(
-        "input", "list_prediction", *rule_cols, first_of(opts.rules).alias("rule_first")
+    rows = placed(
+        matrix.select("input", "list_prediction", *rule_cols, first_of(opts.rules).alias("rule_first")), "input"
     )
     strings = rows.select("input", F.col("input").alias("text"))
     if mapping is not None:
         strings = translate_tokens(
-            strings.select("input", "text"), mapping, "input", "text", "translated"
+            strings.select("input", "text"), mapping, "input", "text", "translated", is_placed=True
         ).select("input", F.col("translated").alias("text"))
     text = F.col("text")
     out = strings.select(
@@ -164,17 +168,17 @@ def feature_columns(
         freq_capitals(text).alias("freq_capitals"),
         freq_all_caps(text).alias("freq_all_caps"),
     )
-    out = out.join(frequency_stats(strings, state.freq, "input", "text"), "input")
+    out = out.join(frequency_stats(strings, state.freq, "input", "text", is_placed=True), "input")
     if opts.word_list:
         out = out.join(
-            tag_sequences(strings, state.tags, "input", "text").select("input", "tags"), "input"
+            tag_sequences(strings, state.tags, "input", "text", is_placed=True).select("input", "tags"), "input"
         )
     if opts.word_list_top:
-        topped = tag_sequences(strings, state.tags, "input", "text", state.top, out="tags_top")
+        topped = tag_sequences(strings, state.tags, "input", "text", state.top, out="tags_top", is_placed=True)
         out = out.join(topped.select("input", "tags_top"), "input")
     if opts.top_level_word:
         level = tag_sequences(
-            strings, state.top_level, "input", "text", state.top_level_keep, fixed.TAG_OTHER, "tags_level"
+            strings, state.top_level, "input", "text", state.top_level_keep, fixed.TAG_OTHER, "tags_level", True
         )
         out = out.join(level.select("input", "tags_level"), "input")
     return rows.join(out, "input")

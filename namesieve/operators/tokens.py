@@ -73,11 +73,22 @@ def lookup_words(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rest)
 
 
-def frequency_stats(df: DataFrame, freq: DataFrame, key: str, text: str = "input") -> DataFrame:
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """Rows of one key in one partition: their words are then put together again without a shuffle.
+
+    The texts are shuffled once; a row for each word would be many times as large.
+    """
+    return df.repartition(F.col(key))
+
+
+def frequency_stats(
+    df: DataFrame, freq: DataFrame, key: str, text: str = "input", is_placed: bool = False
+) -> DataFrame:
     """Min, max and mean corpus count of the words of each string.
 
     A count of 1 always takes part; unknown words count 0; ``( ) ,`` are removed first.
     """
+    df = df if is_placed else placed(df.select(key, text), key)
     plain = F.translate(F.col(text), "(),", "")
     # equal words of one string are looked up once
     seen = (
@@ -85,9 +96,9 @@ def frequency_stats(df: DataFrame, freq: DataFrame, key: str, text: str = "input
         .groupBy(key, "token")
         .agg(F.count("*").alias("times"))
     )
-    counted = join_frequent_first(seen, freq, "token").withColumn(
-        "cnt", F.coalesce("cnt", F.lit(0))
-    )
+    side, small = measured(freq)
+    found = seen.join(F.broadcast(side), "token", "left") if small else join_frequent_first(seen, side, "token")
+    counted = found.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     stats = counted.groupBy(key).agg(
         F.min("cnt").alias("lo"),
         F.max("cnt").alias("hi"),
@@ -119,9 +130,10 @@ def _rejoin(positions: DataFrame, df: DataFrame, key: str, value: str, out: str)
 
 
 def translate_tokens(
-    df: DataFrame, mapping: DataFrame, key: str, text: str = "input", out: str = "translated"
+    df: DataFrame, mapping: DataFrame, key: str, text: str = "input", out: str = "translated", is_placed: bool = False
 ) -> DataFrame:
     """Replace known abbreviations word by word; other words stay as they are."""
+    df = df if is_placed else placed(df, key)
     spread = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
     side = mapping.select(F.col("abbreviation").alias("low"), "replacement")
     joined = lookup_words(spread.withColumn("low", F.lower("word")), side, "low").withColumn(
@@ -174,11 +186,13 @@ def tag_sequences(
     keep: DataFrame | None = None,
     default: str = fixed.TAG_UNKNOWN,
     out: str = "tags",
+    is_placed: bool = False,
 ) -> DataFrame:
     """Tag of every lower-cased word, runs of equal tags collapsed.
 
     Words in ``keep`` (the most frequent ones) stand for themselves.
     """
+    df = df if is_placed else placed(df, key)
     spread = df.select(key, F.posexplode(words(F.lower(text))).alias("pos", "token"))
     if keep is not None:
         tags = tags.join(keep.select("token", F.lit(True).alias("kept")), "token", "full_outer").select(
