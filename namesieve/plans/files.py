@@ -29,14 +29,14 @@ def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def line_numbers(spark, sf):
-    """Two files of unequal size: the numbers of all lines follow the files."""
+    """Two files of unequal size, each a folder of part files: the numbers of all lines follow the files."""
     lines = _order_lines(spark, sf)
     path = scratch(spark, "lines")
     early = F.col("value").like("%\tF\t%")
     for name, part in (("a", lines.where(early)), ("b", lines.where(~early))):
         dense = dense_positions(part.select(F.col("line_no").alias("old"), "value"), "old", out="line_no")
-        writers.write_ordered(dense, f"{path}/{name}", per_file=1 << 62)
-    read = readers.numbered_lines(spark, [f"{path}/a", f"{path}/b"])
+        writers.write_ordered(dense, f"{path}/{name}")
+    read = readers.numbered_lines(spark, [f"{path}/a", f"{path}/b"], by_folder=True)
     return read.select("line_no", "file_line", F.substring_index("value", "\t", 1).cast("long").alias("o_orderkey"))
 
 

@@ -49,9 +49,11 @@ def read_dictionaries(
     return normalise_terms(out, keep_empty_terms)
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], by_folder: bool = False) -> DataFrame:
     """``file, line_no, file_line, value``: positions over all files by path, and within each file.
 
+    With ``by_folder`` the part files of a folder, in the order of their names, are one file.
+
     Files may be split.  A first pass counts the lines of each split; running totals by file and
     offset of the split give every split its first number, so numbers are dense and follow the files
     however the splits are scheduled.  Both passes plan the same splits; a line outside the numbers
@@ -65,7 +67,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     counted = source.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     numbered = running_total(counted, F.col("n"), "file", "start", out="upto").withColumn("base", F.col("upto") - F.col("n"))
-    in_file = F.col("base") - F.min("base").over(W.partitionBy("file"))
+    whole = F.regexp_extract("file", "^(.*)/[^/]*$", 1) if by_folder else F.col("file")
+    in_file = F.col("base") - F.min("base").over(W.partitionBy(whole))
     splits = measured_side(numbered.select("file", "start", "first", "n", "base", in_file.alias("file_base")))
     offset = F.col("at") - F.col("first")
     checked = F.when((offset >= 0) & (offset < F.col("n")), offset).otherwise(
