@@ -76,9 +76,11 @@ def lookup_words(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
 def placed(df: DataFrame, key: str) -> DataFrame:
     """Rows of one key in one partition: their words are then put together again without a shuffle.
 
-    The texts are shuffled once; a row for each word would be many times as large.
+    The texts are shuffled once; a row for each word would be many times as large.  The partitions are
+    not merged: they are small as texts, but what the words take in memory is many times that.
     """
-    return df.repartition(F.col(key))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, F.col(key))
 
 
 def frequency_stats(
