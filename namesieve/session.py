@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+# Partitions that a shuffle writes before small ones are merged.
+SHUFFLED = 1024
+
 
 def build_session(app_name: str = "namesieve", **conf: str) -> SparkSession:
     """Session with adaptive execution, skew-join handling and UTC timestamps."""
@@ -27,11 +30,15 @@ def build_session(app_name: str = "namesieve", **conf: str) -> SparkSession:
 def tuned(spark: SparkSession) -> SparkSession:
     """Settings for stages that do much work on few bytes.
 
-    A string of 60 bytes costs far more work in the rule stages than the default floor of
-    1 MB per merged partition assumes.  The groups collected there are single strings, so
-    hash aggregation may hold many of them before it falls back to sorting.
+    A string of 60 bytes costs far more work in the rule stages than the default sizes of merged
+    partitions assume, so a shuffle is written in many partitions and these are merged by their bytes,
+    not down to one for each core: up to 2 GB of it the largest task does not grow.  The groups collected
+    there are single strings, so hash aggregation may hold many of them before it falls back to sorting.
     """
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(SHUFFLED))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     return spark
 

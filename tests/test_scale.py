@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from namesieve.operators import rules
+from namesieve.session import tuned
 
 STRINGS = [
     "Department of Physics", "general dept of applied physics and law", "central general graduate university", "x",
@@ -76,3 +77,13 @@ def test_part_files_of_a_folder_are_one_file(spark, tmp_path):
     assert sorted((r.line_no, r.file_line, r.value) for r in read.collect()) == [
         (i, i % 25, f"l{i % 25}") for i in range(50)
     ]
+
+
+def test_tasks_do_not_grow_with_the_input(spark):
+    """A shuffle of the rule stages is merged by its bytes, not down to one partition for each core."""
+    tuned(spark)
+    few, many = (
+        spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("input")).distinct() for n in (100, 1_000_000)
+    )
+    assert few.rdd.getNumPartitions() == 1
+    assert many.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
