@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass, field
 from itertools import groupby, product
 from math import inf
@@ -35,6 +35,7 @@ from namesieve.session import checkpointed
 # Runs of blanks, ASCII or not.
 BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 DOUBLED = re.compile(r"(.)\1")
+REPEATED = re.compile(r"(?s)(.)\1+")
 # Letters that digits and symbols stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -194,7 +195,7 @@ def _wider(low: str) -> list[tuple[str, int, int]]:
 
 def squeezed(word: str) -> str:
     """The word with every run of equal letters as one letter."""
-    return "".join(c for c, _ in groupby(word))
+    return REPEATED.sub(r"\1", word)
 
 
 def spellings(word: str) -> list[str]:
@@ -202,8 +203,12 @@ def spellings(word: str) -> list[str]:
 
     Words of many runs give all runs single and all double only; :class:`Listed` matches the rest.
     """
-    if not DOUBLED.search(word):
+    found = DOUBLED.search(word)
+    if not found:
         return [word]
+    at = found.start()
+    if not DOUBLED.search(word, at + 1):
+        return [word, word[:at] + word[at + 1 :]]  # one run, of two letters; most words
     runs = [(c, min(2, len(list(g)))) for c, g in groupby(word)]
     if sum(n == 2 for _, n in runs) > 4:
         return list(dict.fromkeys([word, "".join(c * n for c, n in runs), squeezed(word)]))
@@ -222,9 +227,11 @@ class Restored:
     plain: list[bool]
 
 
-def restored(texts: pa.Array, restore: Restorer) -> Restored:
+def restored(texts: pa.Array, restore: Restorer, lookup: Listed | None = None) -> Restored:
     """Restored words of texts, cut at any blanks; chunks without a word are left out.
 
+    With ``lookup``, words of letters that are like no listed word and no part of one are read as they
+    stand: what they might be with fewer of their repeated letters is listed neither.
     Runs of three or more single-letter chunks, bare of the punctuation around them, are decoded
     together; they are (text, words) pairs, the last word being all of the run.
     """
@@ -233,19 +240,21 @@ def restored(texts: pa.Array, restore: Restorer) -> Restored:
     # Tails with characters that stand for letters stay with their stems.
     whole = np.flatnonzero(np.fromiter((any(c in LEET for c in t) for t in tails), bool, len(tails))[tail_of])
     chunks = [*stems, *(stems[stem_of[i]] + tails[tail_of[i]] for i in whole.tolist())]
-    low, plain = plain_words(chunks)
+    low, plain = plain_words(chunks, lookup.known if lookup else frozenset())
     words = [[w] if p else restore.token(s) for s, w, p in zip(chunks, low, plain)]
     pieces = [w if p else bare(s) for s, w, p in zip(chunks, low, plain)]
     stem_of = stem_of.copy()
     stem_of[whole] = len(stems) + np.arange(len(whole))
     codes = stem_of[codes]
     # Chunks of mere punctuation stand between no letters.
-    full = np.fromiter(map(bool, pieces), bool, len(pieces))[codes]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    full = (lengths > 0)[codes]
     starts = np.concatenate(([0], np.cumsum(full)))[starts]
     codes = codes[full]
-    single = np.fromiter(
-        (len(s) == 1 and (s.isalnum() or s in LEET) for s in pieces), bool, len(pieces)
-    )[codes]
+    single = lengths == 1
+    for i in np.flatnonzero(single).tolist():
+        single[i] = pieces[i].isalnum() or pieces[i] in LEET
+    single = single[codes]
     runs = []
     if single.any():
         # A run ends with its text.
@@ -262,18 +271,32 @@ def restored(texts: pa.Array, restore: Restorer) -> Restored:
     return Restored(words, pieces, codes, starts, runs, plain)
 
 
-def plain_words(chunks: list[str]) -> tuple[list[str], list[bool]]:
-    """Lower-cased chunks, and which of them are ASCII letters without a doubled one: one reading each."""
+def plain_words(chunks: list[str], known: Set[str] = frozenset()) -> tuple[list[str], list[bool]]:
+    """Lower-cased chunks, and which of them are letters without a doubled one: one reading each.
+
+    If ``known`` is not empty, letters with doubled ones count as well unless they are in ``known``
+    when every run of equal letters is one.
+    """
     texts = pa.array(chunks, pa.string())
-    low = pc.ascii_lower(texts)
+    lower = pc.ascii_lower(texts)
     letters = pc.ascii_is_alpha(texts).to_numpy(zero_copy_only=False)
-    ends = np.frombuffer(low.buffers()[1], np.int32)[: len(chunks) + 1]
-    data = np.frombuffer(low.buffers()[2], np.uint8) if len(chunks) and low.buffers()[2] else np.zeros(0, np.uint8)
+    ends = np.frombuffer(lower.buffers()[1], np.int32)[: len(chunks) + 1]
+    data = np.frombuffer(lower.buffers()[2], np.uint8) if len(chunks) and lower.buffers()[2] else np.zeros(0, np.uint8)
     twice = np.flatnonzero(data[1:] == data[:-1]) + 1
     owner = np.searchsorted(ends, twice, side="right") - 1
+    inside = twice > ends[owner]  # both letters in one chunk
     doubled = np.zeros(len(chunks), bool)
-    doubled[owner[twice > ends[owner]]] = True  # both letters in one chunk
-    return low.to_pylist(), (letters & ~doubled).tolist()
+    doubled[owner[inside]] = True
+    plain = letters & ~doubled
+    low = lower.to_pylist()
+    if known:
+        at = np.flatnonzero(letters & doubled)
+        plain[at] = [squeezed(low[i]) not in known for i in at.tolist()]
+    wide = ~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(wide).tolist():
+        low[i] = w = chunks[i].lower()
+        plain[i] = w.isalpha() and (not DOUBLED.search(w) or bool(known) and squeezed(w) not in known)
+    return low, plain.tolist()
 
 
 def bare(chunk: str) -> str:
@@ -293,6 +316,9 @@ class Listed:
             self.like[squeezed(w)].append(w)
         self.heads = {w[:i] for w in self.words for i in range(1, len(w))}
         self.rests = parts(self.words, 1)
+        self.cut = self.heads | self.rests
+        # Letters that may be listed, whole or in pieces, with every run of equal letters as one.
+        self.known = frozenset(map(squeezed, self.words | self.cut))
 
     def of(self, words: list[str]) -> list[str]:
         """Listed words of one chunk: as spelled, else with fewer letters in its runs of equal ones."""
@@ -323,12 +349,15 @@ class Listed:
         none: list[str] = []
         for ws, piece, plain in zip(text.words, text.pieces, text.plain):
             if plain:
-                options.append(ws if piece in self.rests or piece in self.heads else none)
+                options.append(ws if piece in self.cut else none)
                 continue
             more = [piece, *restore.decode(piece).split()] if len(piece) <= 3 and not piece.isalpha() else [piece]
-            options.append([w for w in dict.fromkeys([*ws, *more]) if w in self.rests or w in self.heads])
-        heads = np.fromiter((bool(ws) and any(w in self.heads for w in ws) for ws in options), bool, len(options))
-        rests = np.fromiter((bool(ws) and any(w in self.rests for w in ws) for ws in options), bool, len(options))
+            options.append([w for w in dict.fromkeys([*ws, *more]) if w in self.cut])
+        heads, rests = np.zeros((2, len(options)), bool)
+        for i, ws in enumerate(options):
+            if ws:
+                heads[i] = any(w in self.heads for w in ws)
+                rests[i] = any(w in self.rests for w in ws)
         codes = text.codes
         if len(codes) < 2:
             return
@@ -530,7 +559,7 @@ def score(
         rest = np.log1p(-min(model.base, 0.999))
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                text = restored(part.column("text"), restore)
+                text = restored(part.column("text"), restore, lookup)
                 codes, starts = text.codes, text.starts
                 toxic = [[number[w] for w in ws] for ws in lookup.of_all(text)]
                 hit = np.fromiter(map(bool, toxic), bool, len(toxic))[codes]

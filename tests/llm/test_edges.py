@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from namesieve.llm import bpe, near, packing
+from namesieve.llm import bpe, near, packing, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -76,3 +77,24 @@ def test_groups_are_the_components_of_shared_bands(shipped):
     for n in want.values():
         sizes[n] = sizes.get(n, 0) + 1
     assert all(sizes[want[n]] == 1 for n in alone) and len(got) > 200
+
+
+def test_words_like_no_listed_one_have_one_reading():
+    """Repeated letters are tried only where the word may be listed, whole or in pieces; other letters are plain."""
+    asked = []
+
+    class Asked(toxicity.Restorer):
+        def token(self, token):
+            asked.append(token)
+            return super().token(token)
+
+    words = toxicity.Listed(["stupid", "booby"])
+    texts = pa.array(["letter ÉLÈVE élève naïïve Straße bbuubbee", "you stuuupid bobby booobby stuu pid"])
+    restore = Asked([[1.0] * toxicity.N] * toxicity.N**2)
+    read = toxicity.restored(texts, restore, words)
+    assert sorted(asked) == ["bobby", "booobby", "stuu", "stuuupid"]
+    hits = dict(zip(read.pieces, words.of_all(read)))
+    assert hits["stuuupid"] == ["stupid"] and hits["booobby"] == ["booby"] and not hits["letter"] and not hits["élève"]
+    assert list(words.joined(read, restore)) == [(1, "stupid")]
+    plain = toxicity.restored(texts, restore)
+    assert plain.pieces == read.pieces and words.of_all(plain) == words.of_all(read)
