@@ -242,7 +242,8 @@ def _grams(tags: Column, lengths: tuple[int, int]) -> Column:
     def of_length(n: int) -> Column:
         last = F.size(tags) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tags, i + 1, n), " "))
+        # by position: a slice would copy its tags for every n-gram
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tags, i + k) for k in range(n)]))
 
     return F.array_distinct(F.concat(*[of_length(n) for n in range(lengths[0], lengths[1] + 1)]))
 

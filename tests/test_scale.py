@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from namesieve.operators import rules
+from namesieve.operators import features, rules
 from namesieve.session import tuned
 
 STRINGS = [
@@ -87,3 +87,11 @@ def test_tasks_do_not_grow_with_the_input(spark):
     )
     assert few.rdd.getNumPartitions() == 1
     assert many.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_tag_ngrams_copy_no_slices(spark):
+    rows = [(1, ["a", "b", None, "a", "b"]), (2, ["a"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id int, tags array<string>")
+    grams = df.select("id", features._grams(F.col("tags"), (2, 3)).alias("g"))
+    assert dict(grams.collect()) == {1: ["a b", "b", "a", "b a"], 2: [], 3: [], 4: []}
+    assert "slice(" not in plan_of(grams)
