@@ -6,7 +6,9 @@ so a text may be cut there and equal chunks be encoded once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``; a task that ends gives its freed memory back to the system.
+
+    Workers serve task after task and stage after stage; what their allocators keep would add up.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return task
+
+
 def chunked(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct chunks, the code of each chunk, and each text's first chunk (with the end)."""
     lists = pc.split_pattern(texts, " ")

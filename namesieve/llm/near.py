@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.chunks import slices
+from namesieve.llm.chunks import lean, slices
 from namesieve.llm.substrings import Words
 from namesieve.llm.windows import Hasher, whole_groups
 from namesieve.session import checkpointed
@@ -120,7 +120,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
                 )
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, tid long, n_shingles int, set_hash long, bands binary")
+    return rows.mapInArrow(lean(run), f"doc {kind}, tid long, n_shingles int, set_hash long, bands binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
                 nodes = batch.column("set_hash").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), nodes], ["band", "node"])
 
-    rows = sets.select("set_hash", "bands").mapInArrow(split, "band long, node long")
+    rows = sets.select("set_hash", "bands").mapInArrow(lean(split), "band long, node long")
     # Within a bucket every member is linked to the smallest: hot buckets are combined map-side.
     stars = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     stars = stars.where("low <> high").select("band", "low")
@@ -330,7 +330,7 @@ def _classes(
                     )
 
     linked = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
-        link, "node long, root long, n long"
+        lean(link), "node long, root long, n long"
     )
     linked = checkpointed(linked)
     counts = linked.groupBy("node").agg(F.sum("n").alias("n"))

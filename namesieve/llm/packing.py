@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namesieve.llm.bpe import PIECES, byte_symbols
-from namesieve.llm.chunks import chunked, gather, slices, split_tails, uncut
+from namesieve.llm.chunks import chunked, gather, lean, slices, split_tails, uncut
 from namesieve.session import checkpointed
 
 CAPACITY = 2048
@@ -165,7 +165,7 @@ def token_pieces(
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run), f"key {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.chunks import gather, slices
+from namesieve.llm.chunks import gather, lean, slices
 from namesieve.llm.windows import (
     BASES, Hasher, Sketch, anchors, covered, merged_sketch, mix, spans_of, symbol_table, whole_groups, window_runs,
 )
@@ -165,10 +165,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield repeated_spans(table, length)
 
     runs = rows.mapInArrow(
-        emit, f"key long, doc {kind}, tid long, start int, n int, copies int, words binary"
+        lean(emit), f"key long, doc {kind}, tid long, start int, n int, copies int, words binary"
     )
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(
-        group, f"doc {kind}, tid long, start int, length int"
+        lean(group), f"doc {kind}, tid long, start int, length int"
     )
 
 
@@ -218,7 +218,7 @@ def removed_rows(
                 )
 
     result = joined.mapInArrow(
-        cut, f"doc {kind}, tid long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        lean(cut), f"doc {kind}, tid long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
     return result.withColumnRenamed("doc", key)
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.chunks import chunked, slices, split_tails
+from namesieve.llm.chunks import chunked, lean, slices, split_tails
 from namesieve.session import checkpointed
 
 # Runs of blanks, ASCII or not.
@@ -70,7 +70,7 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
     rows = docs.select(F.col(text).alias("text"))
-    table = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    table = rows.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(N**3, np.int64)
     for gram, n in table.collect():  # at most 27 ** 3 rows
         counts[gram] = n
@@ -492,7 +492,7 @@ def fit_toxicity(
     support = max(min_support, min_part * (total["toxic"] or 0))
     enough = (F.col("toxic") >= support) & (F.col("toxic") >= min_share * F.col("n"))
     sums = [F.sum("toxic").alias("toxic"), F.sum("n").alias("n")]
-    counts = checkpointed(rows.mapInArrow(count, "word string, toxic long, n long").groupBy("word").agg(*sums))
+    counts = checkpointed(rows.mapInArrow(lean(count), "word string, toxic long, n long").groupBy("word").agg(*sums))
     named = counts.where(enough).orderBy(F.desc("toxic"), "word").limit(max_words).collect()
     listed = {r["word"] for r in named}
     # Pieces of listed words that many other documents hold as words are not cut from them.
@@ -511,7 +511,7 @@ def fit_toxicity(
                 found = []
         yield _batch(found)
 
-    hits = checkpointed(rows.mapInArrow(listed_words, "sign long, label int, words array<string>"))
+    hits = checkpointed(rows.mapInArrow(lean(listed_words), "sign long, label int, words array<string>"))
     # One document per signature and label: the first by its words.
     once = hits.groupBy("sign", "label").agg(F.min("words").alias("words")).persist()
     # Words that only accompany stronger ones are left out: in rounds, the strongest words among the
@@ -586,4 +586,4 @@ def score(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     schema = f"key {rows.schema['key'].dataType.simpleString()}, score double, n_words int"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("key", key)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namesieve.llm.chunks import lean
+
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 LONGEST_RUN = 256
 BLOCK = 1 << 16
@@ -240,9 +242,9 @@ def merged_sketch(rows: DataFrame, key_arrays, expected_keys: float, hot_share:
                     ["block", "repeated", "hot"],
                 )
 
-    sparse = rows.mapInArrow(partial, "block int, at binary, n binary")
+    sparse = rows.mapInArrow(lean(partial), "block int, at binary, n binary")
     merged = sparse.repartition("block").sortWithinPartitions("block").mapInArrow(
-        merge, "block int, repeated binary, hot array<long>"
+        lean(merge), "block int, repeated binary, hot array<long>"
     )
     found = merged.collect()
     return Sketch(

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from namesieve.llm import bpe, near, packing, toxicity
+from namesieve.llm import bpe, chunks, near, packing, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -98,3 +98,24 @@ def test_words_like_no_listed_one_have_one_reading():
     assert list(words.joined(read, restore)) == [(1, "stupid")]
     plain = toxicity.restored(texts, restore)
     assert plain.pieces == read.pieces and words.of_all(plain) == words.of_all(read)
+
+
+def test_a_task_gives_its_memory_back():
+    """What a task freed does not stay with the worker, though something allocated last is still held."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    pinned = []
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes(1000) for _ in range(200_000)]
+            pinned.append(held[-1])
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None])], ["text"])
+    before = resident()
+    assert [b.to_pydict() for b in chunks.lean(run)(iter([batch]))] == [batch.to_pydict()]
+    assert resident() - before < 100_000_000
