@@ -34,8 +34,15 @@ STEPS = [0.5**i for i in range(12)]
 # Features of the largest second derivatives whose block is inverted as a preconditioner, for all candidates.
 LEAD = 1024
 BENT = 1.05
-# Pairs of entries that are multiplied at a time.
+# Cells of the matrix of leading features that are filled and multiplied at a time.
 PAIRS = 1 << 21
+# Share of the diagonal that is added to the block of leading features, which is summed in single precision.
+ROUNDED = 1e-5
+# Directions of a Newton step, with what the second derivative made of them, that correct the preconditioner of
+# the next: their number, and bytes of all candidates' together.
+KEPT, KEPT_BYTES = 48, 96 << 20
+# Entries of examples that one task reads in a pass; every core has a task while there are fewer.
+TASK_ENTRIES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -229,32 +236,48 @@ Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 # A block of examples as one row: its arrays as bytes, so that a pass copies and converts nothing.
-PACKED = {"at": np.int64, "values": np.float64, "sizes": np.int64, "y": np.float64, "s": np.float64}
+# Values that are all equal, as those of indicators, are one number.
+PACKED = {"at": np.int32, "values": np.float64, "sizes": np.int32, "y": np.float64, "s": np.float64}
 # Sums of one task travel in slices of this many numbers.
 SLICE = 1 << 13
 # Sums of all tasks up to this size are added by the driver, larger ones by tasks, slice by slice.
 DIRECT_BYTES = 32 << 20
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``ids, values, y, s`` of examples to one row of ``PACKED`` for each batch."""
+def pack(batches: Iterator[pa.RecordBatch], known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """``ids, values, y, s`` of examples to one row of ``PACKED`` for each batch.
+
+    Ids become places in the sorted ids ``known``; those that are not among them are left out.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         lists = batch.column("ids")
-        arrays = {
-            "at": lists.flatten(), "values": batch.column("values").flatten(),
-            "sizes": np.diff(lists.offsets.to_numpy()), "y": batch.column("y"), "s": batch.column("s"),
-        }
+        at, values = np.asarray(lists.flatten()), np.asarray(batch.column("values").flatten(), np.float64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        if known is not None:
+            ids, at = at, np.searchsorted(known, at)
+            held = at < len(known)
+            held[held] = known[at[held]] == ids[held]
+            if not held.all():
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                at, values, sizes = at[held], values[held], np.bincount(row[held], minlength=len(sizes))
+        if len(values) and (values == values[0]).all():
+            values = values[:1]
+        arrays = {"at": at, "values": values, "sizes": sizes, "y": batch.column("y"), "s": batch.column("s")}
         packed = [pa.array([np.asarray(arrays[n], kind).tobytes()], pa.binary()) for n, kind in PACKED.items()]
         yield pa.RecordBatch.from_arrays(packed, list(PACKED))
 
 
 def blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
-    """Feature places, values, example of each entry, targets and weights; the constant one is left out."""
+    """Feature places, values (or the one value), entries of each example, targets and weights.
+
+    The constant feature is left out.
+    """
     for row in range(batch.num_rows):
         at, values, sizes, y, s = (np.frombuffer(batch.column(n)[row].as_buffer(), kind) for n, kind in PACKED.items())
-        yield at, values, np.repeat(np.arange(len(sizes)), sizes), y, s
+        # Wide places are read several times as fast as they would be narrow.
+        yield at.astype(np.intp), values, sizes.astype(np.intp), y, s
 
 
 def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,14 +297,17 @@ def slice_row(cand: int, part: int, values: np.ndarray) -> pa.RecordBatch:
 
 
 def dots(block: Block, w: np.ndarray) -> np.ndarray:
-    at, values, row, y, _ = block
-    return np.bincount(row, values * w[at], len(y)) + w[-1]
+    at, values, sizes, y, _ = block
+    out, held = np.full(len(y), w[-1]), sizes > 0
+    if held.any():
+        out[held] += np.add.reduceat(values * w[at], (np.cumsum(sizes) - sizes)[held])
+    return out
 
 
 def spread_back(block: Block, factor: np.ndarray, size: int, power: int = 1) -> np.ndarray:
     """Sums of ``factor`` times value by feature, the constant feature last."""
-    at, values, row, _, _ = block
-    out = np.bincount(at, values**power * factor[row], size)
+    at, values, sizes, _, _ = block
+    out = np.bincount(at, values**power * np.repeat(factor, sizes), size)
     out[-1] += factor.sum()
     return out
 
@@ -303,30 +329,28 @@ def second_order(block: Block, cost: float, w: np.ndarray, v: np.ndarray) -> np.
 
 def leading_order(block: Block, cost: float, w: np.ndarray, lead: np.ndarray) -> np.ndarray:
     """Second derivative of the loss among the features ``lead``, the constant one last, as one row."""
-    at, values, row, y, s = block
-    k = np.where(y * dots(block, w) < 1, 2 * cost * s, 0.0)
+    at, values, sizes, y, s = block
+    k, row = np.where(y * dots(block, w) < 1, 2 * cost * s, 0.0), np.repeat(np.arange(len(y)), sizes)
     n = len(lead)
     number = np.full(len(w), -1)
     number[lead] = np.arange(n)
-    held = (number[at] >= 0) & (k[row] > 0)
+    place = number[at]
+    held = np.flatnonzero((place >= 0) & (k[row] > 0))
     active = np.flatnonzero(k > 0)
-    place = np.concatenate([number[at[held]], np.full(len(active), n - 1)])
-    value, of = np.concatenate([values[held], np.ones(len(active))]), np.concatenate([row[held], active])
-    order = np.argsort(of, kind="stable")
-    place, value, of = place[order], value[order], of[order]
-    sizes = np.bincount(of, minlength=len(y))
-    start, reach = np.cumsum(sizes) - sizes, sizes[of]
-    upto = np.cumsum(reach)
-    out, done = np.zeros(n * n), 0
-    while done < len(of):
-        # All pairs of entries of one example, a bounded number at a time.
-        end = max(done + 1, int(np.searchsorted(upto, upto[done] + PAIRS)))
-        times = reach[done:end]
-        one = np.repeat(np.arange(done, end), times)
-        two = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + start[of[one]]
-        out += np.bincount(place[one] * n + place[two], value[one] * value[two] * k[of[one]], n * n)
-        done = end
-    return out
+    order = np.zeros(len(y), np.int64)
+    order[active] = np.arange(len(active))
+    # Entries of active examples, by the place of their example among these.
+    of, place, root = order[row[held]], place[held], np.sqrt(k)
+    value = np.broadcast_to(values, at.shape)[held] * root[row[held]]
+    out, many = np.zeros((n, n)), max(1, PAIRS // n)
+    for start in range(0, len(active), many):
+        # A bounded number of examples at a time, by one product of a matrix with itself.
+        first, last = np.searchsorted(of, (start, start + many))
+        part = np.zeros((min(many, len(active) - start), n), np.float32)
+        part[of[first:last] - start, place[first:last]] = value[first:last]
+        part[:, -1] = root[active[start : start + many]]
+        out += part.T @ part
+    return out.ravel()
 
 
 def losses(block: Block, cost: float, w: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -342,13 +366,13 @@ class Newton:
     def __init__(self, examples: DataFrame, members: DataFrame, costs: dict[int, float]):
         self.spark = ship(examples.sparkSession)
         rows = examples.where("weight > 0").select(
-            F.col("features")["indices"].alias("ids"), F.col("features")["values"].alias("values"),
+            F.coalesce(F.col("features")["indices"].cast("array<long>"), F.array().cast("array<long>")).alias("ids"),
+            F.coalesce(F.col("features")["values"].cast("array<double>"), F.array().cast("array<double>")).alias("values"),
             F.col("target").cast("double").alias("y"), F.col("weight").cast("double").alias("s"),
         )
-        used = checkpointed(rows)
-        ids = used.select(F.explode("ids").alias("id")).distinct()
+        ids = rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
         pairs = members.select("cand", "id").distinct().join(ids, "id")
-        table = pairs.groupBy("id").agg(F.collect_list("cand").alias("cands")).orderBy("id").toArrow()
+        table = pairs.groupBy("id").agg(F.collect_list("cand").alias("cands"), F.first("n").alias("n")).orderBy("id").toArrow()
         self.ids = np.append(table["id"].to_numpy(), INTERCEPT)
         self.member = {k: np.zeros(len(self.ids), bool) for k in costs}
         for i, cands in enumerate(table["cands"].to_pylist()):
@@ -357,20 +381,14 @@ class Newton:
         for mask in self.member.values():
             mask[-1] = True
         self.costs, self.size = costs, len(self.ids)
+        self.kept = {k: [] for k in costs}
         # Examples refer to places in the list of ids; features of no candidate are left out.
-        places = self.spark.createDataFrame(
-            pa.table({"id": pa.array(self.ids[:-1], pa.int64()), "place": pa.array(np.arange(self.size - 1), pa.int64())})
-        )
-        numbered = checkpointed(used.withColumn("ex", F.monotonically_increasing_id()))
-        long = numbered.select("ex", F.inline_outer(F.arrays_zip(F.col("ids").alias("id"), F.col("values").alias("value"))))
-        known = long.join(F.broadcast(places), "id").groupBy("ex").agg(
-            F.collect_list(F.struct("place", "value")).alias("e")
-        )
-        empty = F.array().cast("array<struct<place: long, value: double>>")
-        rows = numbered.select("ex", "y", "s").join(known, "ex", "left").withColumn("e", F.coalesce("e", empty)).select(
-            F.col("e.place").alias("ids"), F.col("e.value").alias("values"), "y", "s"
-        )
-        self.blocks = checkpointed(rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in PACKED)))
+        known = self.spark.sparkContext.broadcast(self.ids[:-1])
+        kind = ", ".join(f"{n} binary" for n in PACKED)
+        cores, entries = self.spark.sparkContext.defaultParallelism, int(np.sum(table["n"].to_numpy()))
+        tasks = cores * max(1, -(-entries // (TASK_ENTRIES * cores)))
+        self.blocks = checkpointed(rows.coalesce(tasks).mapInArrow(lambda batches: pack(batches, known.value), kind))
+        known.destroy()
         self.parts = self.blocks.rdd.getNumPartitions()
 
     def sums(self, what, vectors: dict[int, tuple[np.ndarray, ...]], size: int) -> dict[int, np.ndarray]:
@@ -421,11 +439,27 @@ class Newton:
 
         def solver(k: int) -> Callable[[np.ndarray], np.ndarray]:
             n = len(lead[k])
-            inverse = np.linalg.inv(np.eye(n) + found[k][: n * n].reshape(n, n))
+            block = found[k][: n * n].reshape(n, n)
+            block = block + np.eye(n) + ROUNDED * np.diag(np.diag(block))
+            try:
+                half = np.linalg.inv(np.linalg.cholesky(block))
+                inverse = half.T @ half
+            except np.linalg.LinAlgError:
+                # Rounded too far: the diagonal alone.
+                inverse = np.diag(1 / d[k][lead[k]])
+
+            pairs = self.kept[k]
 
             def solve(r: np.ndarray) -> np.ndarray:
+                # The two loops of L-BFGS over the last step's directions.
+                r, shares = r.copy(), []
+                for v, h, vh in reversed(pairs):
+                    shares.append(float(v @ r) / vh)
+                    r -= shares[-1] * h
                 out = r / d[k]
                 out[lead[k]] = inverse @ r[lead[k]]
+                for (v, h, vh), share in zip(pairs, reversed(shares)):
+                    out += (share - float(h @ out) / vh) * v
                 return out
 
             return solve
@@ -439,6 +473,8 @@ class Newton:
         v = {k: solve[k](r[k]) for k in w}
         left = {k: float(r[k] @ v[k]) for k in w}
         first = dict(left)
+        most = max(0, min(KEPT, KEPT_BYTES // (8 * self.size * len(self.costs))))
+        used = {k: [] for k in w}
         for _ in range(rounds):
             open_ = [k for k in w if left[k] > forcing[k] ** 2 * first[k]]
             if not open_:
@@ -447,10 +483,15 @@ class Newton:
             for k in open_:
                 h = np.where(self.member[k], v[k] + found[k], 0.0)
                 a = left[k] / float(v[k] @ h)
+                if len(used[k]) < most:
+                    pair = v[k].astype(np.float32), h.astype(np.float32)
+                    used[k].append((*pair, float(pair[0].astype(float) @ pair[1])))
                 p[k], r[k] = p[k] + a * v[k], r[k] - a * h
                 z = solve[k](r[k])
                 after = float(r[k] @ z)
                 v[k], left[k] = z + after / left[k] * v[k], after
+        for k in w:
+            self.kept[k] = [x for x in (self.kept[k] + used[k])[-most:] if x[2] > 0] if most else []
         return p
 
     def run(self, tolerance: float, max_iter: int, cg_rounds: int) -> tuple[DataFrame, dict[int, tuple[int, float, float]]]:
